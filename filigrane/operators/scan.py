@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from filigrane.session import checkpointed
+
 CHUNK = 4096
 
 
@@ -16,30 +18,39 @@ def _agg(kind: str, e: Column) -> Column:
     return {"sum": F.sum, "max": F.max, "min": F.min, "last": lambda c: F.last(c, ignorenulls=True)}[kind](e)
 
 
-def running(df: DataFrame, keys, order, chunk: str, specs: dict, reverse: bool = False, exclusive=()) -> DataFrame:
-    """Add running values {name: (kind, expression)} in `order` within `keys`; kind is sum, max, min or last (the
-    latest non-null). `chunk` is a column that never decreases along the order. Names in `exclusive` leave the
-    row itself out; with `reverse` the scan runs from the end."""
+def running(df: DataFrame, keys, order, chunk: str, specs: dict, exclusive=(), cut: bool = False) -> DataFrame:
+    """Add running values in `order` within `keys`: {name: (kind, expression)} from the start, {name: (kind,
+    expression, "back")} from the end; kind is sum, max, min or last (the latest non-null). `chunk` is a column that
+    never decreases along the order. Names in `exclusive` leave the row itself out.
+
+    The rows are read twice (once for the chunk totals); `cut` checkpoints them first, which chained scans need so
+    that the work does not double with every step."""
     keys = list(keys)
-    exprs = {n: (k, F.expr(e) if isinstance(e, str) else e) for n, (k, e) in specs.items()}
-    direction = (lambda c: F.col(c).desc()) if reverse else (lambda c: F.col(c).asc())
-    inner = Window.partitionBy(*keys, chunk).orderBy(*[direction(c) for c in order])
-    upto = {True: inner.rowsBetween(Window.unboundedPreceding, -1),
-            False: inner.rowsBetween(Window.unboundedPreceding, 0)}
-    pick = F.min_by if reverse else F.max_by
-    totals = []
-    for n, (k, e) in exprs.items():
+    if cut:
+        df = checkpointed(df)
+    exprs = {}
+    for n, spec in specs.items():
+        exprs[n] = (spec[0], F.expr(spec[1]) if isinstance(spec[1], str) else spec[1], len(spec) > 2)
+    fwd, back = [F.col(c).asc() for c in order], [F.col(c).desc() for c in order]
+
+    def frame(n, rev):
+        w = Window.partitionBy(*keys, chunk).orderBy(*(back if rev else fwd))
+        return w.rowsBetween(Window.unboundedPreceding, -1 if n in exclusive else 0)
+
+    totals, carries = [], []
+    for n, (k, e, rev) in exprs.items():
         if k == "last":
+            pick = F.min_by if rev else F.max_by
             totals.append(pick(e, F.when(e.isNotNull(), F.struct(*order))).alias(f"_t_{n}"))
         else:
             totals.append(_agg(k, e).alias(f"_t_{n}"))
-    per_chunk = df.groupBy(*keys, chunk).agg(*totals)
-    before = Window.partitionBy(*keys).orderBy(direction(chunk)).rowsBetween(Window.unboundedPreceding, -1)
-    carry = per_chunk.select(*keys, chunk, *[_agg(k, F.col(f"_t_{n}")).over(before).alias(f"_c_{n}")
-                                             for n, (k, _) in exprs.items()])
-    out = df.select("*", *[_agg(k, e).over(upto[n in exclusive]).alias(f"_i_{n}") for n, (k, e) in exprs.items()])
+        before = (Window.partitionBy(*keys).orderBy(F.col(chunk).desc() if rev else F.col(chunk).asc())
+                  .rowsBetween(Window.unboundedPreceding, -1))
+        carries.append(_agg(k, F.col(f"_t_{n}")).over(before).alias(f"_c_{n}"))
+    carry = df.groupBy(*keys, chunk).agg(*totals).select(*keys, chunk, *carries)
+    out = df.select("*", *[_agg(k, e).over(frame(n, rev)).alias(f"_i_{n}") for n, (k, e, rev) in exprs.items()])
     out = out.join(carry, keys + [chunk], "left")
-    for n, (k, _) in exprs.items():
+    for n, (k, _, _) in exprs.items():
         i, c = F.col(f"_i_{n}"), F.col(f"_c_{n}")
         v = {"sum": F.when(i.isNull() & c.isNull(), None).otherwise(F.coalesce(i, F.lit(0)) + F.coalesce(c, F.lit(0))),
              "max": F.greatest(i, c), "min": F.least(i, c), "last": F.coalesce(i, c)}[k]
@@ -49,12 +60,13 @@ def running(df: DataFrame, keys, order, chunk: str, specs: dict, reverse: bool =
 
 def halo(df: DataFrame, reach: int, pos: str = "i", chunk: int = CHUNK) -> DataFrame:
     """Copy every row into its chunk `_c` and, near a border, into the next one, so that a frame of up to `reach`
-    rows around a row with dense positions lies in one chunk. `_own` marks the original; keep only those after the
-    windows over (keys, _c)."""
+    positions around a row lies in one chunk. `_own` marks the original; keep only those after the windows over
+    (keys, _c). For row frames the positions have to be dense."""
     if reach > chunk:
         raise ValueError("reach must not exceed the chunk")
-    c, off = F.expr(f"({pos}) div {chunk}"), F.expr(f"({pos}) % {chunk}")
-    copies = F.array_compact(F.array(c, F.when(off < reach, c - 1), F.when(off >= chunk - reach, c + 1)))
+    c = F.expr(f"cast(floor(({pos}) / {chunk}) as long)")
+    off = F.expr(f"({pos}) - {chunk} * floor(({pos}) / {chunk})")
+    copies = F.array_compact(F.array(c, F.when(off <= reach, c - 1), F.when(off >= chunk - reach, c + 1)))
     return df.withColumn("_c", F.explode(copies)).withColumn("_own", F.col("_c") == c)
 
 
@@ -83,4 +95,12 @@ def _stretch(df: DataFrame, keys, flag: str, pos: str = "i", chunk: int = CHUNK)
     return d.withColumn("_gap", F.coalesce("_gap", F.lit(-1)))
 
 
+def groups_by_break(df: DataFrame, keys, order, chunk: str, prev: dict, brk: str, name: str = "_run") -> DataFrame:
+    """Number the groups of consecutive rows: `prev` holds running values over the rows before ({name: (kind,
+    expression)}), and `brk` is true where a row starts a new group."""
+    d = running(df, keys, order, chunk, prev, exclusive=tuple(prev))
+    d = d.withColumn("_brk", F.expr(f"cast(coalesce({brk}, true) as long)"))
+    return running(d, keys, order, chunk, {name: ("sum", "_brk")}, cut=True).drop("_brk")
+
+
 with_stretch = _stretch

@@ -104,4 +104,4 @@ def sql(needs: str, body: str) -> str:
     body = body.replace("--recursive", "").strip()
     if not ctes:
         return f"with {rec}{body[1:].strip()}" if body.startswith(",") else body
-    return f"with {rec}{ctes} {body}"
+    return f"with {rec}{ctes}{body if body.startswith(',') else ' ' + body}"

@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filigrane.operators.scan import CHUNK, even_chunks, running
+from filigrane.operators.scan import even_chunks, running
+from filigrane.session import checkpointed
 
 FRAME_W, FRAME_H = 160, 100
 USERS_PER_IMAGE = 25
@@ -30,10 +31,10 @@ def _steps(spark, sf) -> DataFrame:
 
 
 def samples(spark, sf) -> DataFrame:
-    """One row per px along an edge."""
+    """One row per px along an edge. Written once, as a stored table would be: the queries scan it several times."""
     inside = f"x between 0 and {FRAME_W - 1} and y between 0 and {FRAME_H - 1}"
-    return (_steps(spark, sf)
-            .selectExpr("*", f"(131 * vid) % {FRAME_W} + _sx as xi", f"(197 * vid) % {FRAME_H} + _sy as yi",
+    return checkpointed(
+        _steps(spark, sf).selectExpr("*", f"(131 * vid) % {FRAME_W} + _sx as xi", f"(197 * vid) % {FRAME_H} + _sy as yi",
                         "case when dx = 0 and dy = 0 then 1.0D else sqrt(cast(dx * dx + dy * dy as double)) end as len")
             .selectExpr(f"vid div {USERS_PER_IMAGE} as image_id", "vid", "_n - 1 as i",
                         "cast(_n - 1 as double) as s_px", "1.0D as ds", "cast(xi as double) as x",
