@@ -1,3 +1,3 @@
 """All registered queries."""
-from filigrane.plans import sequences, statistics  # noqa: F401
+from filigrane.plans import networks, relations, sequences, statistics  # noqa: F401
 from filigrane.plans.registry import ORACLES, QUERIES  # noqa: F401
