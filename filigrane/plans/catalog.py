@@ -1,3 +1,6 @@
-"""All registered queries."""
-from filigrane.plans import networks, relations, sequences, statistics  # noqa: F401
+"""All registered queries. Later modules use the SQL views of earlier ones."""
+from filigrane.plans import statistics  # noqa: F401, I001
+from filigrane.plans import sequences  # noqa: F401
+from filigrane.plans import relations  # noqa: F401
+from filigrane.plans import networks  # noqa: F401
 from filigrane.plans.registry import ORACLES, QUERIES  # noqa: F401
