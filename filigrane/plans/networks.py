@@ -110,10 +110,10 @@ def path11(spark, sf):
 @query("agg22_junction_reach", "dirs", """
   select a.node, round(1.25 * max(case when acos(least(greatest(a.dx * b.dx + a.dy * b.dy, -1.0), 1.0)) < radians(150)
     then (a.r + b.r + 0.5) / greatest(sin(acos(least(greatest(a.dx * b.dx + a.dy * b.dy, -1.0), 1.0))), 0.25)
-    else a.r + b.r + 0.5 end) + 1, 6) as reach
+    else a.r + b.r + 0.5 end) + 1, 8) as reach
   from dirs a join dirs b on a.node = b.node and (a.vid, a."end") < (b.vid, b."end") group by a.node""")
 def agg22(spark, sf):
-    return N.junction_reach(N.end_directions(V.with_ctrl(spark, sf))).selectExpr("node", "round(reach, 6) as reach")
+    return N.junction_reach(N.end_directions(V.with_ctrl(spark, sf))).selectExpr("node", "round(reach, 8) as reach")
 
 
 @query("val01_integrity", "with_ctrl kinds", """
@@ -332,12 +332,12 @@ def src12(spark, sf):
 
 
 @query("prj17_reverse_edge", "with_ctrl", """
-  select vid, v as u, u as v, round(ctrl[4].x, 6) as x0, round(ctrl[1].x, 6) as x1, round(r_ctrl[3], 6) as r0,
+  select vid, v as u, u as v, ctrl[4].x as x0, ctrl[1].x as x1, r_ctrl[3] as r0,
     z_ctrl[3] as z0 from with_ctrl""")
 def prj17(spark, sf):
     return V.with_ctrl(spark, sf).selectExpr(
         "vid", "v as u", "u as v", "reverse(ctrl) as c", "reverse(r_ctrl) as r", "reverse(z_ctrl) as z").selectExpr(
-        "vid", "u", "v", "round(c[0].x, 6) as x0", "round(c[3].x, 6) as x1", "round(r[0], 6) as r0", "z[0] as z0")
+        "vid", "u", "v", "c[0].x as x0", "c[3].x as x1", "r[0] as r0", "z[0] as z0")
 
 
 @query("prj03_bounding_boxes", "with_ctrl", """
