@@ -5,4 +5,5 @@ from filigrane.plans import relations  # noqa: F401
 from filigrane.plans import networks  # noqa: F401
 from filigrane.plans import pathways  # noqa: F401
 from filigrane.plans import pixels  # noqa: F401
+from filigrane.plans import measures  # noqa: F401
 from filigrane.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -74,7 +74,7 @@ def _bez(coef, ax):
       {_bez(DD, 'x')} as x2, {_bez(DD, 'y')} as y2, power(1 - t, 2) * r_ctrl[1] + 2 * t * (1 - t) * r_ctrl[2]
       + t * t * r_ctrl[3] as r
     from (select *, q / 8.0 as t from (select *, unnest(range(9)) as q from with_ctrl)))
-  select vid, round(sum(sqrt(power(x - px, 2) + power(y - py, 2))), 5) as chords, round(avg(r), 6) as mean_r,
+  select vid, round(sum(sqrt(power(x - px, 2) + power(y - py, 2))), 5) as chords, round(avg(r), 9) as mean_r,
     round(max(abs(x1 * y2 - y1 * x2) / power(greatest(sqrt(x1 * x1 + y1 * y1), 1e-12), 3)), 5) as max_kappa
   from (select *, lag(x) over (partition by vid order by q) px, lag(y) over (partition by vid order by q) py from s)
   group by vid""")
@@ -86,7 +86,7 @@ def path03(spark, sf):
     c = c.withColumn("px", F.lag("x").over(w)).withColumn("py", F.lag("y").over(w))
     return c.groupBy("vid").agg(
         F.expr("round(sum(sqrt(power(x - px, 2) + power(y - py, 2))), 5)").alias("chords"),
-        F.expr("round(avg(r), 6)").alias("mean_r"), F.expr("round(max(abs(kappa)), 5)").alias("max_kappa"))
+        F.expr("round(avg(r), 9)").alias("mean_r"), F.expr("round(max(abs(kappa)), 5)").alias("max_kappa"))
 
 
 @query("path04_edge_means", "samples", """
