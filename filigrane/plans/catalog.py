@@ -7,4 +7,5 @@ from filigrane.plans import pathways  # noqa: F401
 from filigrane.plans import pixels  # noqa: F401
 from filigrane.plans import measures  # noqa: F401
 from filigrane.plans import junctions  # noqa: F401
+from filigrane.plans import storage  # noqa: F401
 from filigrane.plans.registry import ORACLES, QUERIES  # noqa: F401

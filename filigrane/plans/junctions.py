@@ -304,7 +304,7 @@ oracle.define("obs5", ("samples",), """
 
 
 @query("set05_threshold_subset", "obs obs5", """
-  select 5.0 as hi, 3.0 as lo, (select count(*) from obs5) as n_hi, (select count(*) from obs where observable) as n_lo,
+  select 5.0::double as hi, 3.0::double as lo, (select count(*) from obs5) as n_hi, (select count(*) from obs where observable) as n_lo,
     (select count(*) from (select vid, i from obs5 except select vid, i from obs where observable)) as n_outside""")
 def set05(spark, sf):
     """Samples observable at a higher threshold are among those at the lower one."""
@@ -458,7 +458,7 @@ def prj15(spark, sf):
 
 
 @query("prj18_rules", "samples", """
-  select image_id, 3.0 as cnr_observe, 11.9 as min_run_px, 5.95 as bridge_px, 11.9 as lambda_px, 1 as version, count(*) as n
+  select image_id, 3.0::double as cnr_observe, 11.9::double as min_run_px, 5.95::double as bridge_px, 11.9::double as lambda_px, 1 as version, count(*) as n
   from samples group by image_id""")
 def prj18(spark, sf):
     """The rules a result was made under, written beside it."""
