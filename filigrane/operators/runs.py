@@ -76,11 +76,12 @@ def chain_from_start(iv: DataFrame, keys, chain: int, start: int = 0) -> DataFra
                                 .alias("reach"))
 
 
-def chain_around(iv: DataFrame, keys, anchors: DataFrame, chain: int) -> DataFrame:
-    """The merged stretch around an anchor position (keys, anchor): the first one within `chain` of it."""
+def chain_around(iv: DataFrame, keys, anchors: DataFrame, chain) -> DataFrame:
+    """The merged stretch around an anchor position (keys, anchor): the first one within `chain` (a number or an
+    expression over the keys) of it."""
     m = merge_intervals(iv, keys, str(chain))
-    return (m.join(anchors, list(keys)).where(f"lo - {chain} <= anchor and anchor <= hi + {chain}").groupBy(*keys, "anchor")
-            .agg(F.expr("min_by(hi, lo)").alias("hi"), F.min("lo").alias("lo")))
+    return (m.join(anchors, list(keys)).where(f"lo - ({chain}) <= anchor and anchor <= hi + ({chain})")
+            .groupBy(*keys, "anchor").agg(F.expr("min_by(hi, lo)").alias("hi"), F.min("lo").alias("lo")))
 
 
 def interval_samples(iv: DataFrame, samples: DataFrame, keys, lo="lo", hi="hi") -> DataFrame:
