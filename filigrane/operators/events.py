@@ -193,7 +193,7 @@ def junction_table(samples: DataFrame, w: int, h: int, max_step: float = 3.0):
     cl = checkpointed(clipped.selectExpr(*E, "jid", "lo2 as lo", "hi2 as hi"))
     shared = R.owner_runs(R.share_out(cl, E, ["jid"], "(lo + hi) div 2", ["lo", "hi", "jid"]), E)
     lim = R.claim_limits(shared, E, "9223372036854775806L", "jid")
-    pts = R.arm_points(lim.join(m, E), "m", "last").join(m, E)
+    pts = R.arm_points(lim.join(m, E), "m", "last")
     claims = checkpointed(pts.selectExpr(*E, "owner.jid as jid", "lo", "hi", "in_at", "out_at", "in_crowded", "out_crowded",
                                          "last"))
     arms = claims.selectExpr(*E, "jid", "stack(2, in_at, -1, lo > 0, out_at, 1, hi < last) as (i, sgn, open)").where(

@@ -96,37 +96,32 @@ def linkage(items: DataFrame, pairs: DataFrame, fits: DataFrame, keys=("image_id
     """Complete linkage, nearest pairs first: two clusters join when every two of their items fit. items: keys, id;
     pairs: keys, a, b, d (candidates, a < b); fits: keys, a, b (all fitting pairs, a < b).
 
-    A pair that is the nearest pending one for both its clusters can be settled whatever happens elsewhere, so every
-    round settles all of those at once: joined if the number of fitting pairs between the clusters is the product of
-    their sizes, dropped otherwise. Returns keys, id, cluster (its smallest item)."""
+    Two clusters that do not fit never will, as clusters only grow, so their pairs are dropped at once; of the rest,
+    every pair that is the nearest for both its clusters is joined in the same round. Returns keys, id, cluster (its
+    smallest item)."""
     k = list(keys)
     c = checkpointed(items.selectExpr(*k, "id", "id as cluster"))
     p = checkpointed(pairs.select(*k, "a", "b", "d"))
     f = checkpointed(fits.select(*k, "a", "b"))
     while True:
-        ca = c.selectExpr(*k, "id as a", "cluster as ka")
-        cb = c.selectExpr(*k, "id as b", "cluster as kb")
-        # one pending pair per two clusters: the nearest
-        m = (p.join(ca, [*k, "a"]).join(cb, [*k, "b"]).where("ka <> kb")
-             .selectExpr(*k, "a", "b", "d", "least(ka, kb) as ka", "greatest(ka, kb) as kb"))
-        m = checkpointed(m)
+        ca, cb = c.selectExpr(*k, "id as a", "cluster as ka"), c.selectExpr(*k, "id as b", "cluster as kb")
+        size = c.groupBy(*k, "cluster").agg(F.count(F.lit(1)).alias("n"))
+        side = ["least(ka, kb) as ka", "greatest(ka, kb) as kb"]
+        have = (f.join(ca, [*k, "a"]).join(cb, [*k, "b"]).where("ka <> kb").selectExpr(*k, *side)
+                .groupBy(*k, "ka", "kb").agg(F.count(F.lit(1)).alias("h")))
+        fit = (have.join(size.selectExpr(*k, "cluster as ka", "n as na"), [*k, "ka"])
+               .join(size.selectExpr(*k, "cluster as kb", "n as nb"), [*k, "kb"]).where("h = na * nb").select(*k, "ka", "kb"))
+        m = checkpointed(p.join(ca, [*k, "a"]).join(cb, [*k, "b"]).where("ka <> kb").selectExpr(*k, "a", "b", "d", *side)
+                         .join(fit, [*k, "ka", "kb"], "left_semi"))
         if m.isEmpty():
             return c
-        near = (m.selectExpr(*k, "ka as q", "struct(d, a, b) as s").unionByName(
-            m.selectExpr(*k, "kb as q", "struct(d, a, b) as s")).groupBy(*k, "q").agg(F.min("s").alias("s")))
-        pick = near.groupBy(*k, "s").agg(F.count(F.lit(1)).alias("c")).where("c = 2").select(*k, "s.a", "s.b")
-        pick = checkpointed(pick.join(m, [*k, "a", "b"]))
-        size = c.groupBy(*k, "cluster").agg(F.count(F.lit(1)).alias("n"))
-        have = (f.join(ca, [*k, "a"]).join(cb, [*k, "b"]).where("ka <> kb")
-                .groupBy(*k, F.expr("least(ka, kb)").alias("ka"), F.expr("greatest(ka, kb)").alias("kb"))
-                .agg(F.count(F.lit(1)).alias("h")))
-        ok = (pick.join(have, [*k, "ka", "kb"], "left")
-              .join(size.selectExpr(*k, "cluster as ka", "n as na"), [*k, "ka"])
-              .join(size.selectExpr(*k, "cluster as kb", "n as nb"), [*k, "kb"])
-              .where("coalesce(h, 0) = na * nb").selectExpr(*k, "kb as cluster", "ka as _to"))
+        near = (m.selectExpr(*k, "ka as q", "struct(d, a, b, ka, kb) as s").unionByName(
+            m.selectExpr(*k, "kb as q", "struct(d, a, b, ka, kb) as s")).groupBy(*k, "q").agg(F.min("s").alias("s")))
+        pick = near.groupBy(*k, "s").agg(F.count(F.lit(1)).alias("c")).where("c = 2").selectExpr(
+            *k, "s.kb as cluster", "s.ka as _to")
         # picked pairs share no cluster, so one step moves every joined cluster to its partner
-        c = checkpointed(c.join(ok, [*k, "cluster"], "left").selectExpr(*k, "id", "coalesce(_to, cluster) as cluster"))
-        p = checkpointed(p.join(pick.select(*k, "a", "b"), [*k, "a", "b"], "left_anti"))
+        c = checkpointed(c.join(pick, [*k, "cluster"], "left").selectExpr(*k, "id", "coalesce(_to, cluster) as cluster"))
+        p = m.select(*k, "a", "b", "d")
 
 
 def chain_positions(links: DataFrame) -> DataFrame:

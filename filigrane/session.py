@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,16 +19,22 @@ def local_session(cores: str = "8", partitions: int = 8, app: str = "filigrane")
             .getOrCreate())
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables: the one the cluster names in spark.checkpoint.dir. Only a local session
+    without one gets a folder of its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        folder = tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage by a reliable checkpoint. The folder is the session's (spark.checkpoint.dir); only a local
-    session without one gets a folder of its own."""
+    """Cut lineage by a table written to the shared folder. Unlike a checkpointed plan, the table has true sizes (plans
+    in a loop would multiply their estimates round by round) and later reads take only the columns they need."""
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-            folder = tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

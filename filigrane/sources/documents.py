@@ -12,17 +12,14 @@ from pyspark.sql import functions as F
 
 from filigrane import tables as T
 from filigrane.operators.scan import running
-from filigrane.session import checkpointed
+from filigrane.session import shared_folder
 
 FORMAT, VERSION, PART = "filigrane-network", 1, 1000
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder inside the session's shared checkpoint folder."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        checkpointed(spark.range(1))
-    return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    """A new folder inside the session's shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def parts(df: DataFrame, key: str, order: str, size: int = PART) -> DataFrame:
