@@ -76,20 +76,25 @@ def pair_arms(arms: DataFrame, max_turn: float, keys=("jid",)) -> DataFrame:
     k = list(keys)
     a, b = arms.selectExpr(*k, "ang as a"), arms.selectExpr(*k, "ang as b")
     d = "abs(a - b)"
-    p = checkpointed(a.join(b, k).where("a < b").withColumn("turn", F.expr(f"180 - least({d}, 360 - {d})"))
-                     .where(f"turn <= {max_turn}"))
-    out = None
+    p = a.join(b, k).where("a < b").withColumn("turn", F.expr(f"180 - least({d}, 360 - {d})")).where(f"turn <= {max_turn}")
+    return greedy_pairs(p, "turn", k)
+
+
+def greedy_pairs(pairs: DataFrame, cost: str, keys) -> DataFrame:
+    """Pairs (keys, a, b, cost) taken cheapest first, every end once: rounds of the pairs that are best for both ends."""
+    k = list(keys)
+    p, out = checkpointed(pairs.select(*k, "a", "b", cost)), None
     while not p.isEmpty():
-        key = "struct(turn, a, b)"
-        best = (p.selectExpr(*k, "a as m", "turn", "a", "b").unionByName(p.selectExpr(*k, "b as m", "turn", "a", "b"))
+        key = f"struct({cost}, a, b)"
+        best = (p.selectExpr(*k, "a as m", cost, "a", "b").unionByName(p.selectExpr(*k, "b as m", cost, "a", "b"))
                 .groupBy(*k, "m").agg(F.expr(f"min({key})").alias("p")))
         got = checkpointed(best.groupBy(*k, "p").agg(F.count(F.lit(1)).alias("c")).where("c = 2")
-                           .select(*k, "p.a", "p.b", "p.turn"))
+                           .select(*k, "p.a", "p.b", f"p.{cost}"))
         out = got if out is None else out.unionByName(got)
         used = got.selectExpr(*k, "a as m").unionByName(got.selectExpr(*k, "b as m"))
         p = checkpointed(p.join(used.withColumnRenamed("m", "a"), [*k, "a"], "left_anti")
                          .join(used.withColumnRenamed("m", "b"), [*k, "b"], "left_anti"))
-    return out
+    return out if out is not None else p
 
 
 def linkage(items: DataFrame, pairs: DataFrame, fits: DataFrame, keys=("image_id",)) -> DataFrame:

@@ -9,4 +9,5 @@ from filigrane.plans import measures  # noqa: F401
 from filigrane.plans import junctions  # noqa: F401
 from filigrane.plans import storage  # noqa: F401
 from filigrane.plans import observation  # noqa: F401
+from filigrane.plans import images  # noqa: F401
 from filigrane.plans.registry import ORACLES, QUERIES  # noqa: F401

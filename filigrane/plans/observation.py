@@ -158,23 +158,6 @@ def observable_truth(s, w, h, rounds: int = 50):
     return e, jn.join(claims.select("image_id", "jid").distinct(), ["image_id", "jid"], "left_semi")
 
 
-@query("itr11_line_fixpoint")
-def itr11(spark, sf):
-    e, _ = observable_truth(_seen(spark, sf), V.FRAME_W, V.FRAME_H)
-    return e.select(*E, "i0", "i1", "p0", "p1", "linked", "stub")
-
-
-@query("itr15_observable_truth")
-def itr15(spark, sf):
-    """Per image: lines, their length, junctions kept and their types."""
-    e, jn = observable_truth(_seen(spark, sf), V.FRAME_W, V.FRAME_H)
-    a = e.where("not stub").groupBy("image_id").agg(F.count(F.lit(1)).alias("n_edges"), F.expr(
-        "sum(greatest(i1 - i0, 0))").alias("length_px"), F.expr("count_if(linked)").alias("n_linked"))
-    j = jn.groupBy("image_id").agg(F.count(F.lit(1)).alias("n_junctions"), F.expr("count_if(type = 'compound')").alias(
-        "n_compound"), F.expr("count_if(type = 'crossing')").alias("n_crossing"))
-    return a.join(j, "image_id", "left").na.fill(0)
-
-
 # ------------------------------------------------------------------------------------------------ image graph
 END = "coalesce(cast({j} as string), 'end:' || vid || ':' || {p} )"
 
