@@ -5,11 +5,9 @@ import json
 import os
 import time
 
-HEADLINE = ("sta01_scorecard", "agg14_reference_summary", "sta02_quantile_functions", "sta03_wasserstein", "sta06_spearman",
-            "run03_observable_mask", "run08_merge_intervals", "run10_claims", "jn01_close_pairs", "jn03_crossings",
-            "jn04_pair_records", "jn10_inside_taken", "agg06_visibility", "agg13_share_by_cnr", "path01_arclength",
-            "ker02_gaussian", "cc01_components", "skl01_pixel_graph", "agg22_junction_reach", "rul06_observable_type",
-            "top11_pair_arms", "itr06_pressures")
+HEADLINE = ("sta01_scorecard", "agg14_reference_summary", "sta06_spearman", "run03_observable_mask", "run08_merge_intervals",
+            "jn01_close_pairs", "jn03_crossings", "jn10_inside_taken", "agg06_visibility", "ker02_gaussian",
+            "agg22_junction_reach", "rul06_observable_type")
 
 
 def main() -> None:
