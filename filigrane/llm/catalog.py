@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filigrane.llm import copies, lines, pii
+from filigrane.llm import copies, lines, mixing, pii, shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -64,3 +64,84 @@ def op10(spark, sf):
     return out.select("doc_id", *[counted(k).alias(f"n_{k}") for k in pii.BASE_KINDS],
                       F.sha2(joined(inside), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"),
                       F.transform("spans", lambda s: s.score).alias("scores"))
+
+
+#: Target weights of the registered mixture: domains (the source's number by 4) and languages; sources weigh the same.
+DOMAIN_WEIGHTS = {"d0": 4, "d1": 3, "d2": 2}
+LANG_WEIGHTS = {"en": 5, "de": 2, "fr": 2}
+
+
+def domain(source: str = "source") -> F.Column:
+    return F.concat(F.lit("d"), F.expr(f"try_cast(regexp_extract({source}, '[0-9]+$', 0) as bigint) % 4"))
+
+
+def by_value(name: str, table: dict[str, int], other: int = 1) -> F.Column:
+    out = F.lit(other)
+    for k, v in table.items():
+        out = F.when(F.col(name) == k, v).otherwise(out)
+    return out
+
+
+def mixture(docs: DataFrame, budget: F.Column) -> DataFrame:
+    return mixing.mix(docs, [("domain", domain()), ("lang", F.col("lang")), ("source", F.col("source"))],
+                      [by_value("domain", DOMAIN_WEIGHTS), by_value("lang", LANG_WEIGHTS), F.lit(1)], budget)
+
+
+def _fill_sql(name: str, nodes: str, parents: str) -> str:
+    """One level of the sharing out: all children whose capacity is below their share are full."""
+    part = f"PARTITION BY {parents}" if parents else ""
+    return f"""{name}_r AS (SELECT *, coalesce(sum(cap) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::HUGEINT AS c0,
+      (sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::HUGEINT AS w0
+    FROM {nodes} WINDOW w AS ({part} ORDER BY cap / weight, child)),
+{name}_f AS (SELECT *, cap::HUGEINT * w0 <= (budget - c0) * weight AS isfull FROM {name}_r),
+{name} AS (SELECT *, CASE WHEN isfull THEN cap ELSE ((budget - coalesce(sum(cap) FILTER (isfull) OVER ({part}), 0))::HUGEINT * weight
+      // sum(weight) FILTER (NOT isfull) OVER ({part}))::BIGINT END AS alloc FROM {name}_f)"""
+
+
+def _case(name: str, table: dict[str, int]) -> str:
+    return f"CASE {name} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in table.items()) + " ELSE 1 END"
+
+
+MIX_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce('d' || (TRY_CAST(regexp_extract(source, '[0-9]+$') AS BIGINT) % 4), '') AS domain,
+    coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    coalesce(len(regexp_extract_all(text, '[^ 	-]+')), 0) AS tokens FROM documents),
+leaf AS (SELECT domain, lang, source, sum(tokens)::BIGINT AS size, 2 * sum(tokens)::BIGINT AS cap FROM d GROUP BY ALL),
+n1 AS (SELECT domain, domain AS child, sum(cap)::BIGINT AS cap, {_case("domain", DOMAIN_WEIGHTS)} AS weight,
+    (SELECT least(sum(size) * 3 // 4, sum(cap))::BIGINT FROM leaf) AS budget FROM leaf GROUP BY ALL HAVING sum(cap) > 0),
+{_fill_sql("a1", "n1", "")},
+n2 AS (SELECT l.domain, l.lang, l.lang AS child, sum(l.cap)::BIGINT AS cap, {_case("l.lang", LANG_WEIGHTS)} AS weight, a1.alloc AS budget
+    FROM leaf l JOIN a1 USING (domain) GROUP BY ALL HAVING sum(l.cap) > 0),
+{_fill_sql("a2", "n2", "domain")},
+n3 AS (SELECT l.domain, l.lang, l.source, l.source AS child, l.size, l.cap, 1 AS weight, a2.alloc AS budget
+    FROM leaf l JOIN a2 USING (domain, lang) WHERE l.cap > 0),
+{_fill_sql("a3", "n3", "domain, lang")},
+plan AS (SELECT domain, lang, source, alloc // size AS whole, alloc % size AS rest FROM a3),
+placed AS (SELECT d.*, whole, rest, md5('7|' || whole || '|' || doc_id) AS place FROM d JOIN plan USING (domain, lang, source)),
+summed AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY place) - tokens AS before FROM placed),
+kept AS (SELECT *, unnest(range(whole + CASE WHEN before < rest THEN 1 ELSE 0 END)) AS epoch FROM summed)
+SELECT doc_id, domain, lang, source, epoch, tokens, CASE WHEN epoch = whole THEN least(tokens, rest - before)::BIGINT ELSE tokens END AS take
+FROM kept"""
+
+
+@query("op8_mixing", MIX_SQL)
+def op8(spark, sf):
+    docs = documents(spark, sf).select("doc_id", "text", F.col("lang"), F.col("source"))
+    out = mixture(docs, F.expr("total * 3 div 4"))
+    return out.select("doc_id", "_mix.domain", "_mix.lang", "_mix.source", "_mix.epoch", "_mix.tokens", "_mix.take")
+
+
+SHARDS = 24
+
+
+def sharding(docs: DataFrame) -> DataFrame:
+    """Documents lie in a space of source, language, length and id."""
+    return shards.shard(docs, [("source", shards.hashed(F.col("source"))), ("lang", shards.hashed(F.col("lang"))),
+                               ("length", shards.magnitude(F.length("text"))), ("id", shards.hashed(F.col("doc_id")))], SHARDS)
+
+
+@query("op9_sharding")
+def op9(spark, sf):
+    out = sharding(documents(spark, sf))
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                      F.lit(None).cast("int").alias("grown_shard"))
