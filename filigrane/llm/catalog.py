@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filigrane.llm import copies, lines, mixing, pii, shards
+from filigrane.llm import copies, language, lines, mixing, pii, shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -145,3 +145,15 @@ def op9(spark, sf):
     out = sharding(documents(spark, sf))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                       F.lit(None).cast("int").alias("grown_shard"))
+
+
+def held_out(docs: DataFrame) -> F.Column:
+    return F.coalesce(F.crc32(docs["doc_id"].cast("string").cast("binary")) % 4 == 2, F.lit(False)).alias("held_out")
+
+
+@query("op2_language_id")
+def op2(spark, sf):
+    docs = documents(spark, sf)
+    model = language.learn(docs.where(~held_out(docs)))
+    out = language.identify(docs, model)
+    return out.select("doc_id", held_out(out), "lang_pred", "score")
