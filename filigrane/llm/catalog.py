@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filigrane.llm import copies, language, lines, mixing, pii, shards
+from filigrane.llm import copies, decontaminate, language, lines, mixing, pii, shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -105,7 +105,8 @@ def _case(name: str, table: dict[str, int]) -> str:
 MIX_SQL = rf"""
 WITH d AS (SELECT doc_id, coalesce('d' || (TRY_CAST(regexp_extract(source, '[0-9]+$') AS BIGINT) % 4), '') AS domain,
     coalesce(lang, '') AS lang, coalesce(source, '') AS source,
-    coalesce(len(regexp_extract_all(text, '[^ 	-]+')), 0) AS tokens FROM documents),
+    coalesce(len(regexp_extract_all(text, '[^ 	-
+]+')), 0) AS tokens FROM documents),
 leaf AS (SELECT domain, lang, source, sum(tokens)::BIGINT AS size, 2 * sum(tokens)::BIGINT AS cap FROM d GROUP BY ALL),
 n1 AS (SELECT domain, domain AS child, sum(cap)::BIGINT AS cap, {_case("domain", DOMAIN_WEIGHTS)} AS weight,
     (SELECT least(sum(size) * 3 // 4, sum(cap))::BIGINT FROM leaf) AS budget FROM leaf GROUP BY ALL HAVING sum(cap) > 0),
@@ -157,3 +158,8 @@ def op2(spark, sf):
     model = language.learn(docs.where(~held_out(docs)))
     out = language.identify(docs, model)
     return out.select("doc_id", held_out(out), "lang_pred", "score")
+
+
+@query("op7_decontamination")
+def op7(spark, sf):
+    return decontaminate.judge(documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"))
