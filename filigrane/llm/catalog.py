@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filigrane.llm import copies, decontaminate, language, lines, mixing, pii, shards
+from filigrane.llm import copies, decontaminate, forest, language, lines, mixing, pii, shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -163,3 +163,8 @@ def op2(spark, sf):
 @query("op7_decontamination")
 def op7(spark, sf):
     return decontaminate.judge(documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"))
+
+
+@query("op1_jaccard_join")
+def op1(spark, sf):
+    return forest.near_duplicates(documents(spark, sf))
