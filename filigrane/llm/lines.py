@@ -159,8 +159,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for p, t in merged:
         twice[p * size:(p + 1) * size] = np.frombuffer(zlib.decompress(t), np.uint8)
     found = checkpointed(map_arrow(rows, _suspects(spark.sparkContext.broadcast(twice.tobytes())), "_id long, _key binary"))
-    repeated = (found.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"), F.max("_id").alias("_last"))
-                .where(F.col("_n") >= min_docs))
+    # A written table also lets the join split the rows of a line that a third of the documents hold.
+    repeated = checkpointed(found.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"), F.max("_id").alias("_last"))
+                            .where(F.col("_n") >= min_docs))
     drops = (found.join(repeated, "_key").where("_id <> _last")
              .groupBy("_id").agg(F.collect_set("_key").alias("_drop")))
     out = map_arrow(rows.join(drops, "_id", "left"), _apply, "_id long, n_lines long, n_dropped long, kept string")
