@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filigrane.llm import copies, decontaminate, forest, language, lines, mixing, pii, shards
+from filigrane.llm import copies, decontaminate, forest, language, lines, mixing, pii, secret_scan, shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -168,3 +168,12 @@ def op7(spark, sf):
 @query("op1_jaccard_join")
 def op1(spark, sf):
     return forest.near_duplicates(documents(spark, sf))
+
+
+@query("op4_secret_scan")
+def op4(spark, sf):
+    docs = documents(spark, sf)
+    out = secret_scan.find_secrets(docs, secret_scan.learn(docs))
+    inside = F.filter("spans", lambda s: s.kind != "tagged")
+    return out.select("doc_id", *[counted(k).alias(f"n_{k}") for k in secret_scan.KINDS],
+                      F.sha2(joined(inside), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
