@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filigrane.llm import copies, decontaminate, forest, language, lines, mixing, pii, secret_scan, shards
+from filigrane.llm import copies, decontaminate, forest, language, lines, mixing, pii, repeats, secret_scan, shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -177,3 +177,9 @@ def op4(spark, sf):
     inside = F.filter("spans", lambda s: s.kind != "tagged")
     return out.select("doc_id", *[counted(k).alias(f"n_{k}") for k in secret_scan.KINDS],
                       F.sha2(joined(inside), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+@query("op5_suffix_dedup")
+def op5(spark, sf):
+    out = repeats.dedup_substrings(documents(spark, sf))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
