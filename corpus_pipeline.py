@@ -19,11 +19,7 @@ MIN_SCORE = 0.2
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents in a language the model knows. It learns from the labelled documents that are not held out."""
     model = language.learn(docs.where(~held_out(docs)))
-    if model is None:  # nothing to tell languages by: only texts without letters go
-        return docs.where(F.col("text").rlike(r"\\p{L}"))
-    known = (language.identify(docs, model).where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_SCORE))
-             .select(F.col("doc_id").alias("_keep")).distinct())
-    return docs.join(known, docs["doc_id"].eqNullSafe(F.col("_keep")), "left_semi")
+    return language.keep_known(docs, model, MIN_SCORE) if model else docs.where(F.col("text").rlike(r"\p{L}"))  # nothing to tell languages by
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

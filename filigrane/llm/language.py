@@ -7,6 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -162,12 +163,30 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     repeated results, empty input gives an empty result."""
     def run(batches):
         for ids, texts in blocks(batches):
-            lang, score = [UNKNOWN] * len(ids), [0.0] * len(ids)
-            at = [k for k, t in enumerate(texts) if (m := LETTER.search(t)) and (m[0].isalpha() or any(map(str.isalpha, t)))]
-            for start in range(0, len(at) if model else 0, 256):
-                part = at[start:start + 256]
-                for k, v, s in zip(part, *model.predict([texts[k] for k in part])):
-                    lang[k], score[k] = v, float(s)
+            lang, score = judged(texts, model)
             yield {"_id": ids, "lang_pred": lang, "score": score}
     return map_arrow(base(docs, id_col, text_col), run, "_id long, lang_pred string, score double").select(
         id_out(), "lang_pred", "score")
+
+
+def judged(texts: list[str], model: Model | None) -> tuple[list[str], list[float]]:
+    lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
+    at = [k for k, t in enumerate(texts) if (m := LETTER.search(t)) and (m[0].isalpha() or any(map(str.isalpha, t)))]
+    for start in range(0, len(at) if model else 0, 256):
+        part = at[start:start + 256]
+        for k, v, s in zip(part, *model.predict([texts[k] for k in part])):
+            lang[k], score[k] = v, float(s)
+    return lang, score
+
+
+def keep_known(docs: DataFrame, model: Model | None, min_score: float, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose language is known with at least `min_score`, judged where they are read."""
+    def run(batches):
+        for b in batches:
+            mask: list[bool] = []
+            numbered = pa.RecordBatch.from_arrays(
+                [pa.array(range(b.num_rows)), b.column(b.schema.get_field_index(text_col)).fill_null("")], names=["k", "t"])
+            for _, texts in blocks(iter([numbered])):
+                mask += [v != UNKNOWN and s >= min_score for v, s in zip(*judged(texts, model))]
+            yield b.filter(pa.array(mask, pa.bool_()))
+    return docs.mapInArrow(run, docs.schema)
