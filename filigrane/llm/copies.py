@@ -39,6 +39,6 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
     """The rows of docs, all columns, that stay."""
     keep = exact_groups(docs, id_col, text_col, salts).where("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, docs[id_col].eqNullSafe(F.col("_keep")), "left_semi")
+    return docs.join(keep, docs[id_col].eqNullSafe(keep["_keep"]), "left_semi")
 
 

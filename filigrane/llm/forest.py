@@ -234,4 +234,4 @@ def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """The rows of docs, all columns, whose id is the smallest of its class."""
     keep = (near_duplicates(docs, id_col, text_col, **options)
             .where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_keep")).distinct())
-    return docs.join(keep, docs[id_col].eqNullSafe(F.col("_keep")), "left_semi")
+    return docs.join(keep, docs[id_col].eqNullSafe(keep["_keep"]), "left_semi")

@@ -37,7 +37,7 @@ def fill(nodes: DataFrame, parents: Sequence[str], name: str) -> DataFrame:
 def mix(docs: DataFrame, levels: Sequence[tuple[str, Column]], weights: Sequence[Column], budget: Column | int,
         max_epochs: int = 2, seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, that make up the mixture, with `_mix`: a struct of epoch, tokens, take and the
-    levels. A row appears once per epoch that takes it.
+    levels (a column of that name in docs is replaced). A row appears once per epoch that takes it.
 
     levels: (name, expression of docs) from the root down; a null value is a child of its own, named ''. weights: per
     level a positive whole-number expression over the level names. budget: tokens to hand out, a number or an
@@ -55,7 +55,7 @@ def mix(docs: DataFrame, levels: Sequence[tuple[str, Column]], weights: Sequence
     names = [n for n, _ in levels]
     own = {c: F.coalesce(e.cast("string"), F.lit("")).alias(f"_l_{c}") for c, e in levels}
     cols = [f"_l_{c}" for c in names]
-    keyed = docs.select(F.struct("*").alias("_row"), *own.values(), words(text_col).alias("_tok"),
+    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns if c != "_mix"]).alias("_row"), *own.values(), words(text_col).alias("_tok"),
                         F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("_key"))
     slim = checkpointed(keyed.drop("_row"))
     leaf = slim.groupBy(*cols).agg(F.sum("_tok").alias("_size"), F.count(F.lit(1)).alias("_rows"))

@@ -31,6 +31,8 @@ ANNOUNCED = ("passw", "pwd", "secret", "token", "key", "credential", "auth", "be
 SIGN = re.compile(r'[0-9=:"_]|[A-Z]{8,}', re.ASCII)
 SIGN_OR_CUE = re.compile(f'[0-9=:"_]|[A-Z]{{8,}}|(?i:{"|".join(ANNOUNCED)})', re.ASCII)
 KEYWORDS = ("password", "passwd", "secret", "token", "api")
+#: Tagged spans shorter than this are no credible secrets.
+MIN_TAGGED = 8
 AROUND = 4  # tokens on either side of a notable place that are decoded with it
 OUTSIDE, BEGIN, INSIDE = range(3)
 #: Documents to learn from, in expectation (a hash of the id selects them).
@@ -164,12 +166,13 @@ def tagged(text: str, model: Model) -> list[tuple[int, int]]:
             elif tag != OUTSIDE:
                 out.append((s, e))
             last = e
-    return out
+    return [(s, e) for s, e in out if e - s >= MIN_TAGGED]
 
 
 _MANY = string.ascii_letters + string.digits
 MADE = [("", _MANY + "+/"), ("", _MANY), ("", string.hexdigits[:16]), ("", string.ascii_uppercase + string.digits)] + [
     (p, _MANY) for p in PREFIXES]
+HARMLESS = (string.digits, string.digits, _MANY, string.ascii_lowercase)
 FIRM = {SIMPLE.index(x) for x in SIGNS + CUES}
 
 
@@ -202,6 +205,12 @@ def _examples(batches):
                     out["types"].append([SIMPLE.index(v) if v == "lower" else v for v, _ in made])
                     out["tags"].append(tags)
                     out["kind"].append(file_kind(text))
+                # and short values, which are no secrets
+                for pool in HARMLESS if any(inside) else ():
+                    value = token_type("".join(pool[k] for k in rng.integers(0, len(pool), rng.integers(1, 8))))
+                    out["types"].append([value if i else v for v, i in zip(types, inside)])
+                    out["tags"].append([OUTSIDE] * len(types))
+                    out["kind"].append(file_kind(text))
         yield out
 
 
