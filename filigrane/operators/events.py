@@ -160,12 +160,12 @@ def cluster_events(cores: DataFrame, samples: DataFrame):
     return checkpointed(ev.join(c.selectExpr("image_id", "id as ev", "cluster"), ["image_id", "ev"]))
 
 
-def junction_table(samples: DataFrame, w: int, h: int, max_step: float = 3.0):
+def junction_table(samples: DataFrame, w: int, h: int):
     """The whole way from samples (with a mask `seen`) to junctions. Returns (junctions, claims, arms)."""
     s = checkpointed(samples)
     rec = checkpointed(J.pair_records(s.where("seen")))
     res = checkpointed(R.record_runs(rec.where("unresolved")))
-    x = checkpointed(J.crossings(s, max_step).where(C.doubles(C.in_frame("x", "y", w, h))))
+    x = checkpointed(J.crossings(s).where(C.doubles(C.in_frame("x", "y", w, h))))
     cc = checkpointed(crossing_cores(x, s, res))
     tc = touching_cores(res, s, cc, x)
     fc = fading_cores(J.fading_ends(s, "seen", w, h), s)

@@ -49,7 +49,7 @@ def junction_reach(arms: DataFrame, gap: float = 0.5) -> DataFrame:
         "1.25D * max(case when ang < radians(150) then w / greatest(sin(ang), 0.25D) else w end) + 1").alias("reach"))
 
 
-def connected_components(pairs: DataFrame, nodes: DataFrame | None = None, rounds: int = 50) -> DataFrame:
+def connected_components(pairs: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """node, comp: the smallest node of each component. pairs: src, dst (any direction). Alternates large-star and
     small-star steps (every node linked to its smallest neighbour); both are joins with a minimum per node, so a
     node with very many neighbours is only a skewed join key."""
@@ -66,7 +66,7 @@ def connected_components(pairs: DataFrame, nodes: DataFrame | None = None, round
                 .where("a <> b").distinct())
 
     last = None
-    for _ in range(rounds):
+    while True:  # every round links nodes to smaller ones, so it ends
         e = checkpointed(star(checkpointed(star(e, True)), False))
         stamp = tuple(e.selectExpr("count(1)", "bit_xor(xxhash64(a, b))", "sum(cast(hash(b, a) as long))").first())
         if stamp == last:
@@ -79,12 +79,12 @@ def connected_components(pairs: DataFrame, nodes: DataFrame | None = None, round
     return nodes.join(comp, "node", "left").withColumn("comp", F.expr("coalesce(comp, node)"))
 
 
-def levels(nodes: DataFrame, edges: DataFrame, rounds: int = 10_000):
+def levels(nodes: DataFrame, edges: DataFrame):
     """Peel sources off a directed graph: (nid, level) of the nodes peeled; nodes on cycles stay out."""
     left = checkpointed(nodes.select("nid").distinct())
     e = checkpointed(edges.select("u", "v").distinct())
     out, level = None, 0
-    while level < rounds:
+    while True:
         src = checkpointed(left.join(e.selectExpr("v as nid"), "nid", "left_anti"))
         if src.isEmpty():
             break
@@ -180,12 +180,12 @@ def orient(edges: DataFrame, pressure: DataFrame) -> DataFrame:
                         "abs(g * dp) as flow", "back")
 
 
-def shortest(edges: DataFrame, sources: DataFrame, limit: float, rounds: int = 10_000) -> DataFrame:
+def shortest(edges: DataFrame, sources: DataFrame, limit: float) -> DataFrame:
     """Shortest distance of every node reached within `limit` from its nearest source, with the node before it."""
     best = checkpointed(sources.selectExpr("nid", "0.0D as dist", "cast(null as long) as pred"))
     front = best
     e = checkpointed(edges.groupBy("u", "v").agg(F.min("length").alias("length")))
-    for _ in range(rounds):
+    while True:
         step = (front.selectExpr("nid as u", "dist").join(e, "u").selectExpr("v as nid", "dist + length as nd", "u")
                 .where(f"nd <= {limit}D").groupBy("nid").agg(F.expr("min(struct(nd, u))").alias("m")))
         better = step.join(best, "nid", "left").where("dist is null or m.nd < dist").selectExpr(
@@ -194,7 +194,6 @@ def shortest(edges: DataFrame, sources: DataFrame, limit: float, rounds: int = 1
         if front.isEmpty():
             return best
         best = checkpointed(best.join(front.select("nid"), "nid", "left_anti").unionByName(front))
-    return best
 
 
 def problems(nodes: DataFrame, edges: DataFrame, domain=None) -> DataFrame:

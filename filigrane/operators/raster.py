@@ -15,7 +15,8 @@ def pad(px: DataFrame, axis: str, size: str, reach: int, mode: str) -> DataFrame
     """Copies of border pixels beyond both ends of an axis, so that a stencil of that reach finds its rows. mode:
     reflect (the edge pixel repeats once, then mirrored) or nearest. Copies carry _pad."""
     if mode == "reflect":
-        turns = f"array(-2, -1, 0, 1, 2)"
+        far = f"cast({reach} div (2 * {size}) + 1 as int)"  # as many mirror images as the stencil reaches
+        turns = f"sequence(-{far}, {far})"
         pos = (f"filter(flatten(transform({turns}, m -> array({axis} + 2 * {size} * m, -1 - {axis} + 2 * {size} * m))), "
                f"e -> e >= -{reach} and e < {size} + {reach})")
     else:

@@ -58,13 +58,26 @@ def isolated(s: DataFrame) -> DataFrame:
             .selectExpr("image_id", "vid", "i", "not coalesce(c or (l and r), false) as isolated"))
 
 
-def crossings(s: DataFrame, max_step: float) -> DataFrame:
-    """Where the polylines of two edges cross: point, positions along both, depths, which is on top, angle. A
-    crossing found twice within a quarter unit counts once (the first by positions)."""
+CROSS_CELL = 8.0
+
+
+def in_cells(seg: DataFrame, cell: float) -> DataFrame:
+    """A segment (x, y) to (x_p1, y_p1) in every grid cell that its box covers, however long it is."""
+    def span(c):
+        return F.explode(F.expr(f"sequence(cast(floor(least({c}, {c}_p1) / {cell!r}) as long), "
+                                f"cast(floor(greatest({c}, {c}_p1) / {cell!r}) as long))"))
+    return seg.withColumn("_cx", span("x")).withColumn("_cy", span("y"))
+
+
+def crossings(s: DataFrame) -> DataFrame:
+    """Where the polylines of two edges cross: point, positions along both, depths, which is on top, angle. Segments
+    meet in the grid cells that both cover. A crossing found twice (in two cells, or within a quarter unit) counts once,
+    the first by positions."""
     seg = with_neighbours(s.select("image_id", "vid", "i", "x", "y", "z", "tx", "ty", "s_px", "r"),
                           ["image_id", "vid"], ["x", "y", "s_px"], [1]).where("x_p1 is not null")
-    a, b = tag(seg, "a"), tag(seg, "b")
-    p = grid_join(a, b, 2.0 * max_step, "a_vid < b_vid")
+    keys = ["image_id", "_cx", "_cy"]
+    seg = in_cells(seg, CROSS_CELL)
+    p = tag(seg, "a", keys).join(tag(seg, "b", keys), keys).where("a_vid < b_vid")
     den = "((a_x_p1 - a_x) * (b_y_p1 - b_y) - (a_y_p1 - a_y) * (b_x_p1 - b_x))"
     p = (p.withColumn("_den", F.expr(den)).where("abs(_den) >= 1e-12")
          .withColumn("_ta", F.expr("((b_x - a_x) * (b_y_p1 - b_y) - (b_y - a_y) * (b_x_p1 - b_x)) / _den"))
@@ -92,9 +105,21 @@ def nearest_within(left: DataFrame, right: DataFrame, tol: float, ident, take: s
         *keys, *[f"a_{c} as {c}" for c in ident], "sqrt(_m.d2) as distance", "_m.take as nearest")
 
 
-def nearest_any(left: DataFrame, right: DataFrame, ident: str, take: str, start: float, limit: float,
+def within_radius(points: DataFrame, centres: DataFrame, least: float) -> DataFrame:
+    """Pairs (a_, b_) of points and centres with a `radius` that lie within the radius, or within `least`. Wide and
+    narrow centres are joined class by class, so no radius is too large."""
+    b = centres.withColumn("_reach", F.greatest(F.col("radius"), F.lit(float(least))))
+    # reach_join keeps distances below the reach; a hair more, then the exact test
+    return reach_join(tag(points, "a"), tag(b, "b"), "0.0D", "b__reach + 1e-6D", T.REACH_CLASSES,
+                      f"sqrt({D2}) <= b__reach").drop("b__reach")
+
+
+def nearest_any(left: DataFrame, right: DataFrame, ident: str, take: str, start: float,
                 keys=("image_id",), on: str = "true") -> DataFrame:
-    """Nearest right row at any distance up to `limit`: the search radius doubles for the rows still without one."""
+    """Nearest right row at any distance: the search radius doubles for the rows still without one, until it spans
+    everything there is."""
+    both = left.select("x", "y").unionByName(right.select("x", "y"))
+    limit = both.selectExpr("hypot(max(x) - min(x), max(y) - min(y))").first()[0] or 0.0
     todo, out, r = left, None, float(start)
     while True:
         found = checkpointed(nearest_within(todo, right, r, [ident], take, keys, on))

@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filigrane import tables as T
-from filigrane.operators.grid import grid_join, near_positions, tag
-from filigrane.operators.relate import match_in_order
+from filigrane.operators.grid import near_positions
+from filigrane.operators.relate import match_in_order, within_radius
 from filigrane.session import checkpointed
 
 
@@ -26,19 +26,16 @@ def centreline_score(samples: DataFrame, traced: DataFrame, tol: float = 3.0) ->
         "case when recall + precision > 0 then 2 * recall * precision / (recall + precision) else 0.0D end"))
 
 
-def junction_score(truth: DataFrame, traced: DataFrame, ignore: DataFrame, tol: float = T.LAMBDA_PX,
-                   reach: float = 32.0) -> DataFrame:
+def junction_score(truth: DataFrame, traced: DataFrame, ignore: DataFrame, tol: float = T.LAMBDA_PX) -> DataFrame:
     """Matches in the traced order, then recall, precision, F1, type accuracy and false positives per image. Traced
-    junctions near an ignored one are no false positives. `reach` bounds every radius."""
-    c = grid_join(tag(traced, "a"), tag(truth, "b"), reach,
-                  f"sqrt((a_x - b_x) * (a_x - b_x) + (a_y - b_y) * (a_y - b_y)) <= greatest(b_radius, {tol}D)")
+    junctions near an ignored one are no false positives."""
+    c = within_radius(traced, truth, tol)
     c = c.selectExpr("image_id", "a_tj as tj", "b_jid as jid", "a_tj as ord",
                      "sqrt((a_x - b_x) * (a_x - b_x) + (a_y - b_y) * (a_y - b_y)) as d")
     m = match_in_order(c, "tj", "jid", "d", "ord")
     t = (traced.join(m, ["image_id", "tj"], "left")
          .join(truth.selectExpr("image_id", "jid", "type as true_type"), ["image_id", "jid"], "left"))
-    ig = (grid_join(tag(traced, "a"), tag(ignore, "b"), reach,
-                    f"sqrt((a_x - b_x) * (a_x - b_x) + (a_y - b_y) * (a_y - b_y)) <= greatest(b_radius, {tol}D)")
+    ig = (within_radius(traced, ignore, tol)
           .selectExpr("image_id", "a_tj as tj").distinct().withColumn("ign", F.lit(True)))
     t = t.join(ig, ["image_id", "tj"], "left")
     s = t.groupBy("image_id").agg(
@@ -98,4 +95,6 @@ def cnr_at_half(hits: DataFrame, rounds: int = 50, tol: float = 1e-8):
         a, b = a + sa, b + sb
         if max(abs(sa), abs(sb)) < tol:
             break
+    else:
+        raise ArithmeticError(f"no convergence in {rounds} steps: traced and untraced samples can be told apart by CNR")
     return math.exp(-a / b) if b > 0 else None

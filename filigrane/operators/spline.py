@@ -5,7 +5,8 @@ points; positions and derivatives are then plain sums of basis times control val
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -37,22 +38,23 @@ def _derived(n: int, k: int, u: float, order: int):
     return out
 
 
-def basis_table(spark: SparkSession, counts, m: int) -> DataFrame:
-    """n_ctrl, ui, u, j, b0, b1, b2 for m + 1 evenly spaced parameters; a few rows per control-point count."""
-    rows = []
-    for n in counts:
-        k = min(3, n - 1)
-        for q in range(m + 1):
-            u = q / m
-            rows += [(n, q, u, j, *v) for j, v in enumerate(zip(*(_derived(n, k, u, o) for o in (0, 1, 2))))]
-    return spark.createDataFrame(rows, "n_ctrl INT, ui INT, u DOUBLE, j INT, b0 DOUBLE, b1 DOUBLE, b2 DOUBLE")
+def basis_table(curves: DataFrame, col: str, m: int) -> DataFrame:
+    """n_ctrl, ui, u, j, b0, b1, b2 for m + 1 evenly spaced parameters and every control-point count that occurs. The
+    counts stay a table, however many there are."""
+    def rows(batches):
+        for b in batches:
+            out = [(n, q, q / m, j, *v) for n in b.column(0).to_pylist() if n and n > 0 for q in range(m + 1)
+                   for j, v in enumerate(zip(*(_derived(n, min(3, n - 1), q / m, o) for o in (0, 1, 2))))]
+            names = ("n_ctrl", "ui", "u", "j", "b0", "b1", "b2")
+            kinds = (pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.float64(), pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=names)
+    return curves.select(F.size(col).alias("n")).distinct().mapInArrow(
+        rows, "n_ctrl INT, ui INT, u DOUBLE, j INT, b0 DOUBLE, b1 DOUBLE, b2 DOUBLE")
 
 
 def sample_curves(edges: DataFrame, m: int, ident=("vid",)) -> DataFrame:
     """ident, ui, u, x, y, unit tangent tx, ty and signed curvature kappa of the curves `ctrl`."""
-    spark = edges.sparkSession
-    counts = [r[0] for r in edges.select(F.size("ctrl").alias("n")).distinct().limit(4096).collect()]
-    tab = F.broadcast(basis_table(spark, sorted(counts), m))
+    tab = basis_table(edges, "ctrl", m)
     c = edges.select(*ident, F.size("ctrl").alias("n_ctrl"), F.posexplode("ctrl").alias("j", "p"))
     s = c.join(tab, ["n_ctrl", "j"]).groupBy(*ident, "ui", "u").agg(
         *[F.expr(f"sum({b} * p.{a})").alias(f"{a}{o}") for a in "xy" for o, b in enumerate(("b0", "b1", "b2"))])
@@ -63,7 +65,6 @@ def sample_curves(edges: DataFrame, m: int, ident=("vid",)) -> DataFrame:
 
 def sample_profile(edges: DataFrame, col: str, m: int, out: str, ident=("vid",)) -> DataFrame:
     """Values of a profile (its control values over the edge) at the same parameters."""
-    counts = [r[0] for r in edges.select(F.size(col).alias("n")).distinct().limit(4096).collect()]
-    tab = F.broadcast(basis_table(edges.sparkSession, sorted(counts), m))
+    tab = basis_table(edges, col, m)
     c = edges.select(*ident, F.size(col).alias("n_ctrl"), F.posexplode(col).alias("j", "p"))
     return c.join(tab, ["n_ctrl", "j"]).groupBy(*ident, "ui").agg(F.expr("sum(b0 * p)").alias(out))

@@ -1,8 +1,8 @@
 """Queries that put whole images together: per-image analysis, line groups, spectra, bridged gaps."""
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -97,31 +97,41 @@ def skl08(spark, sf):
 
 
 def radial_power(px, tile: int, bins: int):
-    """Radially averaged power of half-overlapping Hann-windowed tiles; a tile is a small group of fixed size."""
+    """Mean power per logarithmic ring of spatial frequency, over the half-overlapping Hann-windowed tiles of an image
+    that are at least 99 % there. The transform is two passes of cosine and sine sums, along x, then along y."""
     half = tile // 2
-    t = px.withColumn("ty", F.explode(F.expr(f"filter(array(y div {half}, y div {half} - 1), k -> k >= 0)"))).withColumn(
-        "tx", F.explode(F.expr(f"filter(array(x div {half}, x div {half} - 1), k -> k >= 0)")))
-    t = t.selectExpr("image_id", "ty", "tx", f"cast(y - ty * {half} as int) as ry", f"cast(x - tx * {half} as int) as rx",
-                     "value")
-    edges = np.geomspace(2.0 / tile, 0.5, bins + 1)
-    win = np.outer(np.hanning(tile), np.hanning(tile))
-    f = np.fft.fftfreq(tile)
-    radius = np.digitize(np.hypot(*np.meshgrid(f, f, indexing="ij")).ravel(), edges)
-
-    def power(pdf: pd.DataFrame) -> pd.DataFrame:
-        g = np.full((tile, tile), np.nan)
-        g[pdf.ry, pdf.rx] = pdf.value
-        if np.isnan(g).mean() > 0.01:
-            return pd.DataFrame({"image_id": [], "bin": [], "power": [], "n": []})
-        g = np.nan_to_num(g, nan=np.nanmean(g))
-        p = np.abs(np.fft.fft2((g - g.mean()) * win)) ** 2 / (win ** 2).sum()
-        s = pd.DataFrame({"bin": radius, "power": p.ravel()})
-        s = s[(s.bin >= 1) & (s.bin <= bins)].groupby("bin").power.agg(["sum", "count"]).reset_index()
-        return pd.DataFrame({"image_id": pdf.image_id.iloc[0], "bin": s.bin, "power": s["sum"], "n": s["count"]})
-    out = t.groupBy("image_id", "ty", "tx").applyInPandas(power, "image_id LONG, bin LONG, power DOUBLE, n LONG")
-    return out.groupBy("image_id", "bin").agg(F.expr("sum(power) / sum(n)").alias("power"), F.sum("n").alias("n"))
-
-
-@query("sta14_radial_power")
+    key = ["image_id", "ty", "tx"]
+    at = {c: f"filter(array({c} div {half}, {c} div {half} - 1), k -> k >= 0)" for c in "yx"}
+    t = (px.where("value is not null").withColumn("ty", F.explode(F.expr(at["y"]))).withColumn("tx", F.explode(F.expr(at["x"])))
+         .selectExpr(*key, f"y - {half} * ty as q", f"x - {half} * tx as n", "value"))
+    full = t.groupBy(*key).agg(F.avg("value").alias("m"), F.count(F.lit(1)).alias("k")).where(f"k >= {0.99 * tile * tile!r}")
+    hann = "(0.5D - 0.5D * cos(2 * pi() * {} / " + str(tile - 1) + "))"
+    d = t.join(full, key).selectExpr(*key, "q", "n", f"(value - m) * {hann.format('q')} * {hann.format('n')} as c")
+    turn = f"explode(sequence(0L, {tile - 1}L))"
+    along = (d.withColumn("u", F.expr(turn)).groupBy(*key, "q", "u").agg(
+        F.expr(f"sum(c * cos(2 * pi() * u * n / {tile}))").alias("a"), F.expr(f"sum(c * sin(2 * pi() * u * n / {tile}))").alias("b")))
+    both = along.withColumn("v", F.expr(turn)).withColumn("f", F.expr(f"2 * pi() * v * q / {tile}")).groupBy(*key, "u", "v").agg(
+        F.expr("sum(a * cos(f) - b * sin(f))").alias("re"), F.expr("sum(a * sin(f) + b * cos(f))").alias("im"))
+    weight = sum((0.5 - 0.5 * math.cos(2 * math.pi * k / (tile - 1))) ** 2 for k in range(tile)) ** 2
+    fold = "(case when {0} < " + str(half) + " then {0} else {0} - " + str(tile) + " end)"
+    ring = (f"cast(floor(round({bins} * ln(sqrt(power({fold.format('u')}, 2) + power({fold.format('v')}, 2)) / 2) "
+            f"/ ln({tile / 4!r}D), 9)) as long) + 1")
+    return (both.where("u > 0 or v > 0").withColumn("bin", F.expr(ring)).where(f"bin between 1 and {bins}")
+            .groupBy("image_id", "bin").agg(F.expr(f"round(avg(re * re + im * im) / {weight!r}D, 6)").alias("power"),
+                                            F.count(F.lit(1)).alias("n")))
+
+
+@query("sta14_radial_power", "pixels", """
+  , m as (select image_id, avg(value) as m from pixels group by image_id having count(value) >= 64),
+  w as (select p.image_id, p.y, p.x, (p.value - m.m) * (0.5 - 0.5 * cos(2 * pi() * p.y / 7)) * (0.5 - 0.5 * cos(2 * pi() * p.x / 7)) as c
+    from pixels p join m on m.image_id = p.image_id),
+  f as (select image_id, u, v, power(sum(c * cos(2 * pi() * (u * x + v * y) / 8)), 2)
+      + power(sum(c * sin(2 * pi() * (u * x + v * y) / 8)), 2) as p
+    from w, (select unnest(range(8)) as u), (select unnest(range(8)) as v) group by image_id, u, v),
+  r as (select image_id, p, sqrt(power(least(u, 8 - u), 2) + power(least(v, 8 - v), 2)) / 8 as radius from f),
+  k as (select image_id, p, case when radius < 0.25 * power(2, 0.25) then 1 when radius < 0.25 * power(2, 0.5) then 2
+      when radius < 0.25 * power(2, 0.75) then 3 else 4 end as bin from r where radius >= 0.25 and radius < 0.5 - 1e-12)
+  select image_id, bin, round(avg(p) / power((select sum(power(0.5 - 0.5 * cos(2 * pi() * n / 7), 2)) from (select unnest(range(8)) as n)), 2), 6)
+    as power, count(*) as n from k group by image_id, bin""")
 def sta14(spark, sf):
     return radial_power(V.pixels(spark, sf), 8, 4)

@@ -311,9 +311,10 @@ def set05(spark, sf):
     s = V.samples(spark, sf)
     lo = checkpointed(R.observable(s).where("observable").select("vid", "i"))
     hi = checkpointed(R.observable(s, cnr=5.0).where("observable").select("vid", "i"))
-    n = hi.agg(F.count(F.lit(1)).alias("n_hi")).join(lo.agg(F.count(F.lit(1)).alias("n_lo"))).join(
-        hi.subtract(lo).agg(F.count(F.lit(1)).alias("n_outside")))
-    return n.selectExpr("5.0D as hi", "3.0D as lo", "n_hi", "n_lo", "n_outside")
+    both = (hi.withColumn("h", F.lit(1)).withColumn("l", F.lit(0)).unionByName(lo.withColumn("h", F.lit(0)).withColumn("l", F.lit(1)))
+            .groupBy("vid", "i").agg(F.max("h").alias("h"), F.max("l").alias("l")))
+    return both.selectExpr("5.0D as hi", "3.0D as lo", "h", "l").groupBy("hi", "lo").agg(
+        F.sum("h").alias("n_hi"), F.sum("l").alias("n_lo"), F.sum(F.expr("h * (1 - l)")).alias("n_outside"))
 
 
 # ------------------------------------------------------------------------------------------------ projections
@@ -395,7 +396,7 @@ def prj07(spark, sf):
     k = checkpointed(running(j, ["image_id"], ["jid"], "_ck", {"r": ("sum", "1L")}).selectExpr(
         "image_id", "jid", "x", "y", "r - 1 as new_id"))
     t = k.selectExpr("image_id", "jid - 1 as jid", "new_id as link")
-    n = J.nearest_any(k, k, "jid", "b_jid", 8.0, 512.0, on="a_jid <> b_jid").selectExpr(
+    n = J.nearest_any(k, k, "jid", "b_jid", 8.0, on="a_jid <> b_jid").selectExpr(
         "image_id", "jid", "round(distance, 6) as nearest")
     return k.join(t, ["image_id", "jid"], "left").join(n, ["image_id", "jid"], "left").select(
         "image_id", "jid", "new_id", "link", "nearest")
@@ -541,13 +542,6 @@ def top08(spark, sf):
         "image_id", "jid", "r - 1 as ord")
 
 
-@query("top09_capped_sample")
-def top09(spark, sf):
-    """At most 40 profiles per image, picked by a hash of their key: the same rows on every run."""
-    p = V.profiles(spark, sf).selectExpr("image_id", "pid", "contrast", "xxhash64(image_id, pid, contrast) as h")
-    return top_by(p, ["image_id"], [F.col("h"), F.col("pid")], 40).select("image_id", "pid", "contrast", "rank")
-
-
 # ------------------------------------------------------------------------------------------------ summaries
 @query("agg08_junction_summary", "lines members", """
   , j as (select m.jid, m.type, least(count(l.jid), 5) as n_arms, coalesce(bool_or(width <= 3), false) as amb

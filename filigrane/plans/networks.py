@@ -398,7 +398,7 @@ def fn01(spark, sf):
 def fn05(spark, sf):
     """Parameters of the intersections along both segments, summed per image."""
     from filigrane.operators.relate import crossings
-    c = crossings(V.samples(spark, sf), 3.0)
+    c = crossings(V.samples(spark, sf))
     return c.groupBy("image_id").agg(F.count(F.lit(1)).alias("n"), F.expr("round(sum(s_a - i), 6)").alias("ta"),
                                      F.expr("round(sum(s_b - j), 6)").alias("tb"))
 

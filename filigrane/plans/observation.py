@@ -71,14 +71,14 @@ def run13(spark, sf):
 def rul02(spark, sf):
     s = _seen(spark, sf)
     res = checkpointed(R.record_runs(checkpointed(J.pair_records(s.where("seen"))).where("unresolved")))
-    return V2.crossing_cores(J.crossings(s, 3.0), s, res)
+    return V2.crossing_cores(J.crossings(s), s, res)
 
 
 @query("rul03_touching_events")
 def rul03(spark, sf):
     s = _seen(spark, sf)
     res = checkpointed(R.record_runs(checkpointed(J.pair_records(s.where("seen"))).where("unresolved")))
-    x = checkpointed(J.crossings(s, 3.0))
+    x = checkpointed(J.crossings(s))
     return V2.touching_cores(res, s, checkpointed(V2.crossing_cores(x, s, res)), x)
 
 
@@ -112,7 +112,7 @@ def itr14(spark, sf):
     return jn
 
 
-def observable_truth(s, w, h, rounds: int = 50):
+def observable_truth(s, w, h):
     """Runs and edges an observer can trace, once junctions with at most two lines have been given up and short stubs
     absorbed; repeated until nothing changes. s: samples with `seen`. Returns (edges, junctions kept)."""
     jn, claims, _ = V2.junction_table(s, w, h)
@@ -124,7 +124,7 @@ def observable_truth(s, w, h, rounds: int = 50):
                         .withColumn("i", F.explode(F.expr("sequence(lo, hi)"))).select(*E, "i").distinct())
     claims = checkpointed(claims.select(*E, "jid", "lo", "hi"))
     absorbed = None
-    for _ in range(rounds):
+    while True:
         held = claims.withColumn("i", F.explode(F.expr("sequence(lo, hi)"))).select(*E, "i", "jid")
         free = gone.join(held.select(*E, "i"), [*E, "i"], "left_anti").withColumn("_m", F.lit(True))
         line = s.join(free, [*E, "i"], "left").withColumn("line", F.expr("seen and _m is null")).drop("_m")
@@ -153,7 +153,7 @@ def observable_truth(s, w, h, rounds: int = 50):
         new = checkpointed(new)
         if left.count() == claims.count() and new.isEmpty():
             break
-        claims = left
+        claims = left  # claims only go and stubs only come, so it ends
         absorbed = checkpointed(new if absorbed is None else absorbed.unionByName(new))
     return e, jn.join(claims.select("image_id", "jid").distinct(), ["image_id", "jid"], "left_semi")
 

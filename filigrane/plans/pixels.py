@@ -178,7 +178,8 @@ def ker06(spark, sf):
 
 
 def fill_invalid(px, sigma, w, h, size):
-    """NULL pixels from the Gaussian mean of the valid ones; the Gaussian doubles for pixels it does not reach."""
+    """NULL pixels from the Gaussian mean of the valid ones; the Gaussian doubles for pixels it does not reach. They stay
+    NULL in an image without a valid pixel."""
     base = checkpointed(px.selectExpr("image_id", "y", "x", "value", "coalesce(value, 0.0D) as l",
                                       "cast(cast(value is not null as int) as double) as v"))
     todo, out, s = base.where("value is null").select("image_id", "y", "x"), None, sigma
@@ -194,7 +195,8 @@ def fill_invalid(px, sigma, w, h, size):
             break
         s *= 2
     known = base.where("value is not null").selectExpr("image_id", "y", "x", "value", "false as filled")
-    return known.unionByName(out) if out is not None else known
+    left = todo.selectExpr("image_id", "y", "x", "cast(null as double) as value", "true as filled")
+    return known.unionByName(left if out is None else out.unionByName(left))
 
 
 @query("ker09_whitened", "hess1", """

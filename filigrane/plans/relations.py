@@ -127,7 +127,7 @@ oracle.VIEWS["crossings"] = (("seg",), oracle.VIEWS["crossings"][1])
   select image_id, a, b, i, j, round(x, 6) as x, round(y, 6) as y, round(s_a, 6) as s_a, round(s_b, 6) as s_b,
     z_a, z_b, above, round(angle_deg, 6) as angle_deg from crossings""")
 def jn03(spark, sf):
-    c = J.crossings(V.samples(spark, sf), 3.0)
+    c = J.crossings(V.samples(spark, sf))
     return c.selectExpr("image_id", "a", "b", "i", "j", "round(x, 6) as x", "round(y, 6) as y", "round(s_a, 6) as s_a",
                         "round(s_b, 6) as s_b", "z_a", "z_b", "above", "round(angle_deg, 6) as angle_deg")
 
@@ -144,7 +144,7 @@ def jn20(spark, sf):
     s = V.samples(spark, sf)
     e = s.groupBy(F.col("vid").alias("arcade")).agg(
         F.expr("min_by(struct(x, y), i)").alias("p"), F.expr("max_by(struct(x, y), i)").alias("q"))
-    c = J.crossings(s, 3.0).select("image_id", "a", "b", "x", "y", "r_a", "r_b")
+    c = J.crossings(s).select("image_id", "a", "b", "x", "y", "r_a", "r_b")
     c = c.withColumn("arcade", F.explode(F.array("a", "b")))
     d = ("least(sqrt(power(x - p.x, 2) + power(y - p.y, 2)), sqrt(power(x - q.x, 2) + power(y - q.y, 2))) "
          "> 3 * (r_a + r_b) + 2")
@@ -156,7 +156,7 @@ def jn20(spark, sf):
   from crossings where x between -0.5 and 159.5 and y between -0.5 and 99.5 group by image_id, above""")
 def src07(spark, sf):
     """Crossings inside the frame with px coordinates (k = 4), counted by the edge on top."""
-    c = J.crossings(V.samples(spark, sf), 3.0).where(C.doubles(C.in_frame("x", "y", 160, 100)))
+    c = J.crossings(V.samples(spark, sf)).where(C.doubles(C.in_frame("x", "y", 160, 100)))
     return c.groupBy("image_id", "above").agg(F.count(F.lit(1)).alias("n"), F.expr("round(min(x * 4), 6)").alias(
         "x_min_px"), F.expr("round(max(y * 4), 6)").alias("y_max_px"))
 
@@ -179,7 +179,7 @@ def jn06(spark, sf):
     group by a.image_id, a.jid, a.radius)""")
 def jn07(spark, sf):
     j = V.obs_junctions(spark, sf).select("image_id", "jid", "x", "y", "radius")
-    n = J.nearest_any(j, j, "jid", "struct(b_jid, b_radius)", 8.0, 512.0, on="a_jid <> b_jid")
+    n = J.nearest_any(j, j, "jid", "struct(b_jid, b_radius)", 8.0, on="a_jid <> b_jid")
     return n.join(j, ["image_id", "jid"]).selectExpr(
         "image_id", "jid", "round(distance, 6) as distance", "round(distance - radius - nearest.b_radius, 6) as gap",
         "nearest.b_jid as nearest")
@@ -265,7 +265,7 @@ def jn12(spark, sf):
 @query("jn13_match_in_order")
 def jn13(spark, sf):
     t, j = V.traced_junctions(spark, sf), V.obs_junctions(spark, sf)
-    c = J.grid_join(J.tag(t, "a"), J.tag(j, "b"), 32.0, f"sqrt({J.D2}) <= greatest(b_radius, {T.LAMBDA_PX}D)")
+    c = J.within_radius(t, j, T.LAMBDA_PX)
     c = c.selectExpr("image_id", "a_tj as tj", "b_jid as jid", f"sqrt({J.D2}) as d", "a_tj as ord")
     return J.match_in_order(c, "tj", "jid", "d", "ord")
 
@@ -297,13 +297,17 @@ def jn14(spark, sf):
   join samples p on p.vid = r.b and p.i between r.j0 - 6 and r.j1 + 6 group by r.image_id, r.a, r.b, r.i0, s.i""")
 def jn16(spark, sf):
     """For every sample of a run of records: the nearest sample of the other edge among those it is unresolved from,
-    a few more on both sides. It lies within reach of the records, so the grid finds it."""
+    a few more on both sides. The two meet in the stretches of 64 positions that the other edge's run covers."""
     s = V.samples(spark, sf)
     r = checkpointed(R.record_runs(checkpointed(J.pair_records(s))))
     pos = s.select("image_id", "vid", "i", "x", "y")
     left = r.withColumn("i", F.explode(F.expr("sequence(i0, i1)"))).join(pos.withColumnRenamed("vid", "a"),
                                                                         ["image_id", "a", "i"])
-    p = J.grid_join(J.tag(left, "a"), J.tag(pos, "b"), 32.0, "b_vid = a_b and b_i between a_j0 - 6 and a_j1 + 6")
+    k = ["image_id", "b", "_s"]
+    left = left.withColumn("_s", F.explode(F.expr("sequence((j0 - 6) div 64, (j1 + 6) div 64)")))
+    other = pos.selectExpr("image_id", "vid as b", "i div 64 as _s", "i", "x", "y")
+    p = (J.tag(left, "a", k).join(J.tag(other, "b", k), k).where("b_i between a_j0 - 6 and a_j1 + 6")
+         .withColumnRenamed("b", "a_b"))
     return p.groupBy("image_id", F.col("a_a").alias("a"), F.col("a_b").alias("b"), F.col("a_i0").alias("i0"),
                      F.col("a_i").alias("i")).agg(F.expr(f"min_by(b_i, struct({J.D2}, b_i))").alias("partner"))
 
@@ -437,7 +441,7 @@ def bilinear(sites, pixels, ident):
 def jn24(spark, sf):
     r = V.raster(spark, sf).selectExpr("image_id", "pid", "cast(y as double) as y", "cast(x as double) as x", "value")
     d = checkpointed(J.nearest_any(r.where("value > 17").select("image_id", "pid", "x", "y"),
-                                   r.where("value <= 17").select("image_id", "x", "y"), "pid", "b_x", 2.0, 128.0))
+                                   r.where("value <= 17").select("image_id", "x", "y"), "pid", "b_x", 2.0))
     q = quantiles(d, ["image_id"], "distance", {"med": 0.5, "p90": 0.9}, count="n")
     return q.join(d.groupBy("image_id").agg(F.max("distance").alias("far")), "image_id").selectExpr(
         "image_id", "round(med, 6) as med", "round(p90, 6) as p90", "round(far, 6) as far", "n")
