@@ -378,12 +378,25 @@ FNS = {
     "margin": "cast(greatest(3, ceil((2 * st + 1) / ds)) as bigint)",
     "mean_ratio": "greatest(r, st, 0.0001) / greatest(least(r, st), 0.0001)",
 }
-FN_COLS = ", ".join((f"round({e}, 6) as {n}" if n != "margin" else f"{e} as {n}") for n, e in FNS.items())
 
-
-@query("fn01_scalar_functions", "samples steps", f"""
-  select s.vid, s.i, {FN_COLS.replace('dx', 'p.dx').replace('dy', 'p.dy')}
-  from samples s join steps p on p.event_id = s.event_id""".replace("round(case when p.dx", "round(case when p.dx"))
+@query("fn01_scalar_functions", "samples steps", """
+  , t(x0, x1, y0, y1) as (values (0.0, 0.1, 2.73, 2.57), (0.1, 0.2, 2.57, 2.38), (0.2, 0.3, 2.38, 2.2), (0.3, 0.4, 2.2, 2.03),
+    (0.4, 0.5, 2.03, 1.86), (0.5, 0.6, 1.86, 1.7), (0.6, 0.8, 1.7, 1.4), (0.8, 1.0, 1.4, 1.13), (1.0, 1.25, 1.13, 0.84),
+    (1.25, 1.5, 0.84, 0.59), (1.5, 1.75, 0.59, 0.39), (1.75, 2.0, 0.39, 0.21), (2.0, 2.5, 0.21, 0.0)),
+  b as (select *, sqrt((st * st + 1.5625) / 2) as spread from samples),
+  u as (select *, least(r, 1.5) / greatest(spread, 1e-6) as rho, least(greatest((cnr - 1) / 19, 0), 1) as ramp,
+    floor(log10(abs(peak)))::int as size from b)
+  select s.vid, s.i, round(coalesce(degrees(atan2(nullif(p.dy, 0), p.dx)), case when p.dx < 0 then 180 else 0 end), 6) as angle,
+    round(degrees(acos(greatest(least(s.tx * 0.6 + s.ty * 0.8, 1), -1))), 6) as between,
+    round(degrees(acos(least(abs(s.tx * 0.6 + s.ty * 0.8), 1))), 6) as acute,
+    round(abs(0.6 * (s.y - 50) - 0.8 * (s.x - 80)), 6) as off_line,
+    round(s.spread * coalesce(t.y0::double + (s.rho - t.x0) * (t.y1 - t.y0)::double / (t.x1 - t.x0)::double, 0), 6) as resolution_gap,
+    round(3 * power(s.ramp, 2) - 2 * power(s.ramp, 3), 6) as step, round(ln(greatest(s.cnr, 0.000001)), 6) as log_cnr,
+    round(case when s.peak = 0 then 0 when s.size <= 3 then floor(s.peak * power(10, 3 - s.size) + 0.5) / power(10, 3 - s.size)
+      else floor(s.peak / power(10, s.size - 3) + 0.5) * power(10, s.size - 3) end, 6) as four_digits,
+    round(sqrt((s.r + s.st) / 2), 6) as blur, case when 2 * s.st + 1 > 3 * s.ds then ceil((2 * s.st + 1) / s.ds) else 3 end::bigint as margin,
+    round(case when s.r > s.st then s.r / greatest(s.st, 0.0001) else s.st / greatest(s.r, 0.0001) end, 6) as mean_ratio
+  from u s join steps p on p.event_id = s.event_id left join t on s.rho >= t.x0 and s.rho < t.x1""")
 def fn01(spark, sf):
     """FN-01..04, 07, 09, 11 and PRJ-09 over every sample."""
     s = V.samples(spark, sf).withColumn("dx", F.expr("cast((37 * event_id) % 5 - 2 as bigint)")).withColumn(

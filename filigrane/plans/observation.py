@@ -223,7 +223,7 @@ def rul12(spark, sf):
 
 @query("val03_junction_checks", "limits", """
   , a as (select *, case when in_link is not null then lo else greatest(lo - (3 + 2 * (vid % 2)), in_lim, 0) end as i0,
-    case when out_link is not null then hi else least(hi + 3 + 2 * (vid % 2), out_lim, 3000) end as o0 from limits)
+    case when out_link is not null then hi else least(hi + 3 + 2 * (vid % 2), out_lim, last) end as o0 from limits)
   select 'arms at one sample' as problem, vid, cid, lo from a where i0 >= o0
   union all select 'arm inside another claim', a.vid, a.cid, a.lo from a join limits b on b.vid = a.vid and b.cid <> a.cid
     and a.o0 between b.lo and b.hi and a.o0 <> a.hi
@@ -231,11 +231,11 @@ def rul12(spark, sf):
     where b.vid = a.vid and b.lo = a.hi + 1 and b.in_link is not null)""")
 def val03(spark, sf):
     from filigrane.plans.sequences import _owner_runs
-    lim = R.claim_limits(_owner_runs(spark, sf), ["vid"], "3000L", "cid").selectExpr(
-        "vid", "lo", "hi", "owner.cid as cid", "in_lim", "in_link", "out_lim", "out_link")
+    lim = R.claim_limits(_owner_runs(spark, sf), ["vid"], "last", "cid").selectExpr(
+        "vid", "lo", "hi", "last", "owner.cid as cid", "in_lim", "in_link", "out_lim", "out_link")
     a = checkpointed(lim.selectExpr(
         "*", "case when in_link is not null then lo else greatest(lo - (3 + 2 * (vid % 2)), in_lim, 0L) end as i0",
-        "case when out_link is not null then hi else least(hi + 3 + 2 * (vid % 2), out_lim, 3000L) end as o0"))
+        "case when out_link is not null then hi else least(hi + 3 + 2 * (vid % 2), out_lim, last) end as o0"))
     one = a.where("i0 >= o0").selectExpr("'arms at one sample' as problem", "vid", "cid", "lo")
     # claims of an edge are disjoint, so a point lies in at most one: met in its stretch of 64
     held = a.selectExpr("vid", "cid as oc", "lo as ol", "hi as oh", "explode(sequence(lo div 64, hi div 64)) as b")

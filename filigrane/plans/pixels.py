@@ -491,21 +491,23 @@ oracle.define("lumen", ("samples",), """
 oracle.VIEWS["lumen"] = (("obs",), oracle.VIEWS["lumen"][1])
 
 
-def _lumen(s):
-    d = s.selectExpr("image_id", "vid", "z", "x as px", "y as py", "r", "observable", "peak")
+def _lumen(s, *more):
+    d = s.selectExpr("image_id", "vid", "z", "x as px", "y as py", "r", "observable", "peak", *more)
     return A.disc(d, "r", 160, 100)
 
 
-@query("ras02_lumen_masks", "lumen", """
-  select image_id, count(*) filter (o) as n_lumen, count(*) filter (not o) as n_dont_care from (
-    select image_id, py, px, bool_or(observable) as o from lumen group by image_id, py, px) group by image_id""")
+@query("ras02_lumen_masks", "flags", """
+  , d as (select image_id, cast(y + dy as bigint) as py, cast(x + dx as bigint) as px, bool_or(observable) as o, bool_or(dont_care) as c
+    from flags, (select unnest(range(-3, 4)) as dy), (select unnest(range(-3, 4)) as dx)
+    where dx * dx + dy * dy <= r * r and y + dy between 0 and 99 and x + dx between 0 and 159 group by all)
+  select image_id, count(*) filter (o) as n_lumen, count(*) filter (c and not o) as n_dont_care from d group by image_id""")
 def ras02(spark, sf):
-    """Pixels under observable samples, and pixels only under the others."""
-    from filigrane.operators.runs import observable
-    d = _lumen(observable(V.samples(spark, sf)))
-    p = d.groupBy("image_id", "y", "x").agg(F.expr("bool_or(observable)").alias("o"))
-    return p.groupBy("image_id").agg(F.expr("count_if(o)").alias("n_lumen"), F.expr("count_if(not o)").alias(
-        "n_dont_care"))
+    """Pixels under observable samples, and those outside them under samples that may be seen: in frame, permissively
+    seen and not observable."""
+    from filigrane.operators.runs import dont_care
+    d = _lumen(dont_care(V.samples(spark, sf)), "dont_care")
+    p = d.groupBy("image_id", "y", "x").agg(F.expr("bool_or(observable)").alias("o"), F.expr("bool_or(dont_care)").alias("c"))
+    return p.groupBy("image_id").agg(F.expr("count_if(o)").alias("n_lumen"), F.expr("count_if(c and not o)").alias("n_dont_care"))
 
 
 @query("ras03_centreline_ids", "obs", """

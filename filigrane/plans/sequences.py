@@ -133,38 +133,39 @@ oracle.define("owner_runs", ("owned",), """
         over (partition by vid order by i) as g
     from (select *, lag(i) over (partition by vid order by i) p, lag(cid) over (partition by vid order by i) pc,
         lag(ln) over (partition by vid order by i) pl from owned)) group by vid, g, cid, ln""")
-oracle.define("limits", ("owner_runs",), """
-  select vid, lo, hi, cid, ln,
+oracle.define("limits", ("owner_runs", "claims"), """
+  select vid, lo, hi, cid, ln, last,
     case when ph is null then 0 when ph = lo - 1 then lo else (ph + lo + 1) // 2 end as in_lim,
     case when ph = lo - 1 and pc <> cid then pc end as in_link,
-    case when nl is null then 3000 when nl = hi + 1 then hi else (hi + nl) // 2 end as out_lim,
+    case when nl is null then last when nl = hi + 1 then hi else (hi + nl) // 2 end as out_lim,
     case when nl = hi + 1 and nc <> cid then nc end as out_link
   from (select *, lag(hi) over w ph, lag(cid) over w pc, lead(lo) over w nl, lead(cid) over w nc from owner_runs
-        window w as (partition by vid order by lo))""")
+        join (select vid, max(hi) + 25 as last from claims group by vid) using (vid) window w as (partition by vid order by lo))""")
 
 
 def _owner_runs(spark, sf):
     c = V.claims(spark, sf)
-    return R.owner_runs(R.share_out(c, ["vid"], ["cid", "ln"], "(lo + hi) div 2", ["lo", "hi", "cid", "ln"]), ["vid"])
+    r = R.owner_runs(R.share_out(c, ["vid"], ["cid", "ln"], "(lo + hi) div 2", ["lo", "hi", "cid", "ln"]), ["vid"])
+    return r.join(V.claim_edges(spark, sf), "vid")
 
 
 @query("run10_claims", "limits", "select vid, lo, hi, cid, ln, in_lim, in_link, out_lim, out_link from limits")
 def run10(spark, sf):
-    return R.claim_limits(_owner_runs(spark, sf), ["vid"], "3000L", "cid").selectExpr(
+    return R.claim_limits(_owner_runs(spark, sf), ["vid"], "last", "cid").selectExpr(
         "vid", "lo", "hi", "owner.cid as cid", "owner.ln as ln", "in_lim", "in_link", "out_lim", "out_link")
 
 
 @query("run18_arm_points", "limits", """
   select vid, lo, hi, cid, ln,
     case when i0 >= o0 then greatest(lo - 1, 0) else i0 end as in_at,
-    case when i0 >= o0 then least(hi + 1, 3000) else o0 end as out_at,
-    lo - i0 < 0.5 * m and i0 > 0 as in_crowded, o0 - hi < 0.5 * m and o0 < 3000 as out_crowded
+    case when i0 >= o0 then least(hi + 1, last) else o0 end as out_at,
+    lo - i0 < 0.5 * m and i0 > 0 as in_crowded, o0 - hi < 0.5 * m and o0 < last as out_crowded
   from (select *, case when in_link is not null then lo else greatest(lo - m, in_lim, 0) end as i0,
-      case when out_link is not null then hi else least(hi + m, out_lim, 3000) end as o0
+      case when out_link is not null then hi else least(hi + m, out_lim, last) end as o0
     from (select *, 3 + 2 * (vid % 2) as m from limits))""")
 def run18(spark, sf):
-    lim = R.claim_limits(_owner_runs(spark, sf), ["vid"], "3000L", "cid")
-    return R.arm_points(lim, "3 + 2 * (vid % 2)", "3000L").selectExpr(
+    lim = R.claim_limits(_owner_runs(spark, sf), ["vid"], "last", "cid")
+    return R.arm_points(lim, "3 + 2 * (vid % 2)", "last").selectExpr(
         "vid", "lo", "hi", "owner.cid as cid", "owner.ln as ln", "in_at", "out_at", "in_crowded", "out_crowded")
 
 

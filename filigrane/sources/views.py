@@ -150,6 +150,11 @@ def claims(spark, sf) -> DataFrame:
         "cast(datediff(l_shipdate, date'1992-01-01') + l_quantity as bigint) as hi")
 
 
+def claim_edges(spark, sf) -> DataFrame:
+    """Last position of every edge that has claims: an edge goes on for 25 positions beyond the last one."""
+    return claims(spark, sf).groupBy("vid").agg(F.expr("max(hi) + 25").alias("last"))
+
+
 def pixels(spark, sf) -> DataFrame:
     """8 x 8 images, one per vector."""
     return (table(spark, sf, "embeddings")

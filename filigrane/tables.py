@@ -7,21 +7,14 @@ CNR_VISIBLE = 1.5
 CNR_OBSERVE = 3.0
 MIN_RUN_PX = LAMBDA_PX
 BRIDGE_PX = 0.5 * LAMBDA_PX
-ARM_MIN_PX = 0.5 * LAMBDA_PX
 MERGE_BLUR_RATIO = 2.0
 RECORD_BRIDGE = 3
-PAD_PX = 48.0
 VIS_END_ANGLE_DEG = 60.0
 SHALLOW_DEG = 15.0
 SYM_R = 0.85
-SYM_TURN_DEG = 10.0
-VISUAL_TURN_MAX_DEG = 45.0
-THROUGH_W = 0.75
-RUN_CAP_PX = 4 * LAMBDA_PX
 CORE_JOIN = 0.5
 JOIN_DIAM_PX = 2 * LAMBDA_PX
 Z_MAX = 2.0
-SCALES = (1, 2, 4, 8, 16)
 REACH_CLASSES = (6.0, 12.0, 24.0, 48.0, 96.0)
 CNR_BINS = (0, 0.5, 1, 1.5, 2, 2.5, 3, 4, 5, 7, 10, 20, 50, 1e9)
 
@@ -37,11 +30,6 @@ DEFAULT_BAND_RMS = {
 
 # Closed lists of names.
 CLASSES = ("capillary", "arteriole", "venule", "episcleral_artery", "episcleral_vein", "anastomosis", "perforator")
-SIDES = ("A", "V", "C", "D")
-NODE_KINDS = ("inlet", "outlet", "fork", "confluence", "anastomosis")
-JUNCTION_TYPES = ("bifurcation", "confluence", "anastomosis", "crossing", "touching", "pseudo-T", "compound")
-VISIBILITIES = ("visible", "faint", "invisible", "out_of_frame")
-PSD_BANDS = ((1 / 128, 1 / 16), (1 / 16, 1 / 4), (1 / 4, 0.51))
 
 # Layout of network documents (Spark DDL).
 NETWORK_DOC = (
