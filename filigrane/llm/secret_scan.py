@@ -138,16 +138,26 @@ class Model:
             tags.append(came[tags[-1]])
         return tags[::-1]
 
-    @cached_property
-    def gap(self) -> bool:
-        """True if words without any notable neighbour are outside in every best tagging: their lead in score is more
-        than what the steps to their neighbours can give back. Then decoding the regions alone equals decoding all."""
+    def lead(self) -> float:
+        """By how much words without any notable neighbour are surely outside: their lead in score less what the steps
+        to their neighbours can give back. Above 0, no best tagging has them otherwise, so decoding the regions alone
+        equals decoding the whole text."""
         plain = list(range(len(PLAIN)))
         lead = min(sum((self.emit[k, plain, OUTSIDE] - self.emit[k, plain, y]).min() for k in range(len(WINDOW)))
                    + (self.file[:, OUTSIDE] - self.file[:, y]).min() for y in (BEGIN, INSIDE))
         give = max(max(self.step[a, y] - self.step[a, OUTSIDE] for a in range(3))
                    + max(self.step[y, b] - self.step[OUTSIDE, b] for b in range(3)) for y in (BEGIN, INSIDE))
-        return bool(lead > give)
+        return float(lead - give)
+
+    @cached_property
+    def gap(self) -> bool:
+        return self.lead() > 0
+
+    def firm(self) -> Model:
+        """Plain words get as much of a prior for outside as a positive lead takes."""
+        emit = self.emit.copy()
+        emit[WINDOW.index(0), :len(PLAIN), OUTSIDE] += max(0.0, 0.1 - self.lead())
+        return Model(emit, self.file, self.step)
 
 
 def tagged(text: str, model: Model) -> list[tuple[int, int]]:
@@ -214,8 +224,10 @@ def _examples(batches):
         yield out
 
 
-def fit(types: list[np.ndarray], tags: list[np.ndarray], kinds: list[int], rounds: int = 250, decay: float = 0.02) -> Model:
-    """Maximum conditional likelihood with a quadratic penalty; gradients by the forward-backward recursions."""
+def fit(types: list[np.ndarray], tags: list[np.ndarray], kinds: list[int], weights: list[float] | None = None,
+        rounds: int = 200, decay: float = 0.02) -> Model:
+    """Maximum conditional likelihood with a quadratic penalty; gradients by the forward-backward recursions. weights:
+    how often each sequence occurs."""
     n, width = len(types), max(map(len, types))
     t, y, on = np.zeros((n, width + 3), int), np.zeros((n, width), int), np.zeros((n, width), bool)
     for k, (a, b) in enumerate(zip(types, tags)):
@@ -224,8 +236,11 @@ def fit(types: list[np.ndarray], tags: list[np.ndarray], kinds: list[int], round
     shapes = [(len(WINDOW), TYPES, 3), (FILES, 3), (3, 3)]
     theta = [np.zeros(s) for s in shapes]
     mean, square = [np.zeros(s) for s in shapes], [np.zeros(s) for s in shapes]
+    often = np.ones(n) if weights is None else np.asarray(weights, float)
     hot = np.eye(3)[y] * on[:, :, None]
     pairs = on[:, 1:]
+    total = often.sum()
+    places = [t[:, 2 + w:2 + w + width].ravel() for w in WINDOW]
     for r in range(1, rounds + 1):
         emit, file, step = theta
         s = sum(emit[k][t[:, 2 + w:2 + w + width]] for k, w in enumerate(WINDOW)) + file[kind][:, None]
@@ -240,31 +255,29 @@ def fit(types: list[np.ndarray], tags: list[np.ndarray], kinds: list[int], round
             beta[:, k] = np.where(on[:, k + 1, None], b, 0)
         p = np.exp(alpha + beta - z[:, None, None]) * on[:, :, None]
         joint = np.exp(alpha[:, :-1, :, None] + step + (s[:, 1:] + beta[:, 1:])[:, :, None, :] - z[:, None, None, None])
-        joint *= pairs[:, :, None, None]
-        diff = hot - p
-        g_emit = np.zeros(shapes[0])
-        for k, w in enumerate(WINDOW):
-            np.add.at(g_emit[k], t[:, 2 + w:2 + w + width], diff)
-        g_file = np.zeros(shapes[1])
-        np.add.at(g_file, kind, diff.sum(axis=1))
-        g_step = np.einsum("nka,nkb->ab", hot[:, :-1] * pairs[:, :, None], hot[:, 1:]) - joint.sum(axis=(0, 1))
+        joint *= (pairs * often[:, None])[:, :, None, None]
+        diff = (hot - p) * often[:, None, None]
+        g_emit = np.stack([np.stack([np.bincount(at, diff[:, :, tag].ravel(), TYPES) for tag in range(3)], axis=1) for at in places])
+        g_file = np.stack([np.bincount(kind, diff[:, :, tag].sum(axis=1), FILES) for tag in range(3)], axis=1)
+        g_step = np.einsum("n,nka,nkb->ab", often, hot[:, :-1] * pairs[:, :, None], hot[:, 1:]) - joint.sum(axis=(0, 1))
         for j, g in enumerate((g_emit, g_file, g_step)):
-            g = g / n - decay / n * theta[j]
+            g = g / total - decay / total * theta[j]
             mean[j] = 0.9 * mean[j] + 0.1 * g
             square[j] = 0.999 * square[j] + 0.001 * g * g
             theta[j] = theta[j] + 0.1 * (mean[j] / (1 - 0.9 ** r)) / (np.sqrt(square[j] / (1 - 0.999 ** r)) + 1e-8)
-    return Model(*theta)
+    return Model(*theta).firm()
 
 
 def _fit(rows: pd.DataFrame) -> pd.DataFrame:
     """Long regions are cut, so that the padded arrays stay small."""
-    types, tags, kinds = [], [], []
-    for a, b, k in zip(rows["types"], rows["tags"], rows["kind"]):
-        for s in range(0, len(a), 60):
-            types.append(np.asarray(a[s:s + 60]))
-            tags.append(np.asarray(b[s:s + 60]))
+    types, tags, kinds, often = [], [], [], []
+    for a, b, k, n in zip(rows["types"], rows["tags"], rows["kind"], rows["often"]):
+        for s in range(0, len(a), 30):
+            types.append(np.asarray(a[s:s + 30]))
+            tags.append(np.asarray(b[s:s + 30]))
             kinds.append(k)
-    m = fit(types, tags, kinds)
+            often.append(n)
+    m = fit(types, tags, kinds, often)
     return pd.DataFrame({"emit": [m.emit.tobytes()], "file": [m.file.tobytes()], "step": [m.step.tobytes()]})
 
 
@@ -276,7 +289,8 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     rows = map_arrow(base(chosen, id_col, text_col), _examples, "types array<int>, tags array<int>, kind int")
     # outside regions are thinned by a hash to a bounded number, those with a secret all stay
     has = F.array_contains("tags", BEGIN)
-    few = rows.where(has | (F.pmod(F.xxhash64("types"), F.lit(4)) == 0)).withColumn("_g", F.lit(0))
+    few = (rows.where(has | (F.pmod(F.xxhash64("types"), F.lit(4)) == 0)).groupBy("types", "tags", "kind")
+           .agg(F.count(F.lit(1)).alias("often")).withColumn("_g", F.lit(0)))
     got = few.groupBy("_g").applyInPandas(lambda r: _fit(r) if any(BEGIN in x for x in r["tags"]) else pd.DataFrame(
         {"emit": [], "file": [], "step": []}), "emit binary, file binary, step binary").collect()
     if not got:
