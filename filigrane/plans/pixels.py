@@ -13,6 +13,7 @@ from filigrane.operators.paths import kernel
 from filigrane.operators.quantile import median_abs_dev, quantiles
 from filigrane.operators.scorecard import top_by
 from filigrane.plans import oracle
+from filigrane.plans import sequences  # noqa: F401  (defines the views of visible samples)
 from filigrane.plans.registry import query
 from filigrane.session import checkpointed
 from filigrane.sources import views as V
