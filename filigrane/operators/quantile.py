@@ -15,15 +15,28 @@ from filigrane.operators.scan import CHUNK, running
 BINS = 1024
 
 
+def value_bins(base: DataFrame, keys, value: str, weight: str) -> DataFrame:
+    """base with `_b`, a bin number that never decreases with the value, and `_n`, the weight of the group. Bins are of
+    equal width, twice: each first bin is cut again between the values it really has, so that a far outlier or a heavy
+    tail does not leave all other values in one bin."""
+    keys = list(keys)
+
+    def bin_of(lo, hi):
+        return (f"case when {hi} > {lo} then cast(least(floor(({value} - {lo}) / ({hi} - {lo}) * {BINS}), {BINS - 1}) as long) "
+                f"else 0L end")
+    span = base.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum(weight).alias("_n"))
+    first = base.join(span, keys).withColumn("_b", F.expr(bin_of("_lo", "_hi"))).drop("_lo", "_hi")
+    inner = first.groupBy(*keys, "_b").agg(F.min(value).alias("_l2"), F.max(value).alias("_h2"))
+    return (first.join(inner, keys + ["_b"]).withColumn("_b", F.expr(f"_b * {BINS} + {bin_of('_l2', '_h2')}"))
+            .drop("_l2", "_h2"))
+
+
 def rank_values(df: DataFrame, keys, value: str, probs) -> DataFrame:
     """keys, _n, _rank, _v: the values at the ranks around p * (n - 1) for every p of probs."""
     keys = list(keys)
     base = (df.select(*keys, F.expr(value).cast("double").alias("_v")).where("_v is not null")
             .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_w")))
-    span = base.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_w").alias("_n"))
-    binned = base.join(span, keys).withColumn(
-        "_b", F.expr(f"case when _hi > _lo then least(floor((_v - _lo) / (_hi - _lo) * {BINS}), {BINS - 1}) "
-                     f"else 0 end"))
+    binned = value_bins(base, keys, "_v", "_w")
     hist = binned.groupBy(*keys, "_b").agg(F.sum("_w").alias("_bw"), F.first("_n").alias("_n"))
     wb = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     ranks = ", ".join(f"floor({p!r} * (_n - 1)), ceil({p!r} * (_n - 1))" for p in probs)
@@ -63,9 +76,7 @@ def quantile_levels(df: DataFrame, keys, value: str, levels, min_n: int = 1) ->
             .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_w")))
     span = (base.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_w").alias("_n"))
             .where(f"_n >= {min_n}"))
-    binned = base.join(span, keys).withColumn("_b", F.expr(
-        f"case when _hi > _lo then cast(least(floor((_v - _lo) / (_hi - _lo) * {BINS}), {BINS - 1}) as long) "
-        f"else 0L end"))
+    binned = value_bins(base, keys, "_v", "_w").where(f"_n >= {min_n}")
     rows = (running(binned, keys, ["_v"], "_b", {"_cum": ("sum", "_w")})
             .selectExpr(*keys, "_cum - _w as _pos", "_v", "0 as _kind", "cast(null as int) as level",
                         "cast(null as double) as _p"))

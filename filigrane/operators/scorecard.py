@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from filigrane import tables as T
-from filigrane.operators.quantile import BINS, quantiles
+from filigrane.operators.quantile import quantiles, value_bins
 from filigrane.operators.scan import running
+from filigrane.session import checkpointed
 
 
 def summarise(stats: DataFrame, keys=("key",)) -> DataFrame:
@@ -104,24 +105,25 @@ def curve_gate(distances: DataFrame, group=("dist",), min_real: int = 3) -> Data
             .withColumn("passed", F.expr("coalesce(syn_mean <= rr_p95, false)")))
 
 
-def average_ranks(df: DataFrame, keys, value: str, name: str) -> DataFrame:
+def average_ranks(df: DataFrame, keys, value: str, name: str, weight: str = "1L") -> DataFrame:
     """keys, value, name: average rank of every distinct value in its group, counted up from a histogram so that no
-    group is sorted in one task."""
+    group is sorted in one task. A row counts `weight` times."""
     keys = list(keys)
-    base = df.where(f"{value} is not null").groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_w"))
-    span = base.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    b = base.join(span, keys).withColumn("_b", F.expr(
-        f"case when _hi > _lo then cast(floor(({value} - _lo) / (_hi - _lo) * {BINS}) as long) else 0L end"))
-    r = running(b, keys, [value], "_b", {"_cum": ("sum", "_w")})
+    base = df.where(f"{value} is not null").groupBy(*keys, value).agg(F.sum(F.expr(weight)).alias("_w"))
+    r = running(value_bins(base, keys, value, "_w"), keys, [value], "_b", {"_cum": ("sum", "_w")})
     return r.selectExpr(*keys, value, f"_cum - (_w - 1) / 2.0D as {name}")
 
 
 def spearman(df: DataFrame, keys, a: str, b: str, name: str = "rho") -> DataFrame:
+    """Correlation of the average ranks, from the distinct pairs of values and how often they occur."""
     keys = list(keys)
-    d = df.where(f"{a} is not null and {b} is not null").select(*keys, a, b)
-    ra, rb = average_ranks(d, keys, a, "_ra"), average_ranks(d, keys, b, "_rb")
-    return (d.join(ra, keys + [a]).join(rb, keys + [b]).groupBy(*keys)
-            .agg(F.expr("corr(_ra, _rb)").alias(name), F.count(F.lit(1)).alias("n")))
+    d = checkpointed(df.where(f"{a} is not null and {b} is not null").groupBy(*keys, a, b).agg(F.count(F.lit(1)).alias("_m")))
+    ra, rb = average_ranks(d, keys, a, "_ra", "_m"), average_ranks(d, keys, b, "_rb", "_m")
+    mid = d.groupBy(*keys).agg(F.expr("(sum(_m) + 1) / 2.0D").alias("_mid"))  # the mean of any n average ranks
+    j = (d.join(ra, keys + [a]).join(rb, keys + [b]).join(mid, keys)
+         .withColumn("_x", F.expr("_ra - _mid")).withColumn("_y", F.expr("_rb - _mid")))
+    return j.groupBy(*keys).agg(F.expr("sum(_m * _x * _y) / nullif(sqrt(sum(_m * _x * _x) * sum(_m * _y * _y)), 0)").alias(name),
+                                F.sum("_m").alias("n"))
 
 
 def top_by(df: DataFrame, keys, order: list, n: int) -> DataFrame:

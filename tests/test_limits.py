@@ -89,3 +89,24 @@ def test_scalar_functions(spark):
              C.significant("98765.0D", 2): 99000.0, C.clip("5.0D", "0.0D", "2.0D"): 2.0}
     got = one.select(*[F.expr(C.doubles(e)).alias(f"c{k}") for k, e in enumerate(cases)]).first()
     assert all(abs(g - w) < 1e-9 for g, w in zip(got, cases.values())), list(zip(got, cases.values()))
+
+
+def test_outliers_leave_bins_small(spark):
+    """One far value and one heavy group: exact quantiles and ranks, and no bin with more than a few values."""
+    import numpy as np
+
+    from filigrane.operators.quantile import quantiles, value_bins
+    from filigrane.operators.scorecard import average_ranks, spearman
+    rng = np.random.default_rng(3)
+    a = np.concatenate([rng.random(3000), [1e12]])
+    b = np.round(a % 1 + rng.random(3001) * 0.5, 2)
+    df = spark.createDataFrame([("g", float(x), float(y)) for x, y in zip(a, b)], "g string, a double, b double")
+    q = quantiles(df, ["g"], "a", {"q1": 0.25, "q9": 0.9}).first()
+    assert np.allclose([q.q1, q.q9], np.quantile(a, [0.25, 0.9]))
+    bins = value_bins(df.selectExpr("g", "a", "1L as w"), ["g"], "a", "w").groupBy("_b").count()
+    assert bins.agg(F.max("count")).first()[0] < 40
+    rank = lambda v: np.array([(v < x).sum() + ((v == x).sum() + 1) / 2 for x in v])
+    got = {r.b: r.k for r in average_ranks(df, ["g"], "b", "k").collect()}
+    assert got == dict(zip(b.tolist(), rank(b).tolist()))
+    rho = spearman(df, ["g"], "a", "b").first()
+    assert abs(rho.rho - np.corrcoef(rank(a), rank(b))[0, 1]) < 1e-9 and rho.n == 3001
