@@ -65,6 +65,18 @@ class Index:
         self.gains = [[g for _, g in found[t]] for t in self.terms.tolist()]
         self.tops = [[max(g[s:s + BLOCK]) for s in range(0, len(g), BLOCK)] for g in self.gains]
         self.best = np.array([max(g) for g in self.gains])
+        # heavy postings by term: an item's light ones are its least gains, half a threshold together at most
+        rest, light = [0.0] * len(items), set()
+        for g, t, k in sorted((g, t, k) for t in range(len(self.docs)) for k, g in zip(self.docs[t], self.gains[t])):
+            if rest[k] + g <= THRESHOLD / 2:
+                rest[k] += g
+                light.add((t, k))
+        self.rest = np.array(rest)
+        heavy = [[(k, g) for k, g in zip(d, gs) if (t, k) not in light] for t, (d, gs) in enumerate(zip(self.docs, self.gains))]
+        self.heavy_n = np.array([len(h) for h in heavy])
+        self.heavy_at = np.cumsum(self.heavy_n) - self.heavy_n
+        self.heavy_item = np.array([k for h in heavy for k, _ in h], np.int64)
+        self.heavy_gain = np.array([g for h in heavy for _, g in h])
 
     def lookup(self, words: np.ndarray) -> np.ndarray:
         """Term number of each word, -1 for words that no item has."""
@@ -72,6 +84,27 @@ class Index:
         at[at == len(self.terms)] = 0
         return np.where(self.terms[at] == words, at, -1)
 
+    def passages(self, term: np.ndarray, at: np.ndarray, threshold: float):
+        """(document, first word, end) of all passages that may reach the threshold: for some item the heavy terms
+        in the passage and all its light ones come to it."""
+        count = np.maximum(1, -(-(np.diff(at) - self.stride) // self.stride))
+        first = np.cumsum(count) - count
+        pos = np.flatnonzero((term >= 0) & (self.heavy_n[term] > 0))
+        doc = np.searchsorted(at, pos, "right") - 1
+        q = (pos - at[doc]) // self.stride
+        here, before = q < count[doc], q > 0  # a word lies in two passages that overlap
+        pair = np.unique(np.concatenate([(first[doc] + q)[here] * len(self.terms) + term[pos[here]],
+                                         (first[doc] + q - 1)[before] * len(self.terms) + term[pos[before]]]))
+        where, t = np.divmod(pair, len(self.terms))
+        n = self.heavy_n[t]
+        post = np.repeat(self.heavy_at[t] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        cell, back = np.unique(np.repeat(where, n) * len(self.items) + self.heavy_item[post], return_inverse=True)
+        reach = np.bincount(back, self.heavy_gain[post], len(cell)) + self.rest[cell % len(self.items)]
+        for p in np.unique(cell[reach >= threshold - 1e-9] // len(self.items)):
+            d = int(np.searchsorted(first, p, "right")) - 1
+            lo = at[d] + (p - first[d]) * self.stride
+            yield d, lo, min(lo + self.width, at[d + 1])
+
     def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
         """Every item whose terms among `terms` (distinct) sum up to the threshold: block-max WAND. The threshold is
         fixed, so all that reach it are found."""
@@ -172,24 +205,14 @@ def _retrieve(index, threshold: float, overlap: float):
         for ids, texts in blocks(batches):
             w, at = hash_words(texts)
             term = ix.lookup(w)
-            # a passage can only reach the threshold if the best impacts of its words do
-            gain = np.concatenate([[0.0], np.cumsum(np.where(term >= 0, ix.best[term], 0.0))])
             out: dict[str, list] = {"_id": [], "item": [], "score": [], "question": [], "answer": []}
-            doc = np.repeat(np.arange(len(ids)), np.maximum(1, -(-(np.diff(at) - ix.stride) // ix.stride)))
-            first = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(ids)))])
-            lo = at[doc] + (np.arange(len(doc)) - first[doc]) * ix.stride
-            hi = np.minimum(lo + ix.width, at[doc + 1])
             best: dict[tuple[int, int], tuple] = {}
-            for p in np.flatnonzero(gain[hi] - gain[lo] >= threshold - 1e-9):
-                t = term[lo[p]:hi[p]]
-                t = np.unique(t[t >= 0])
-                if ix.best[t].sum() < threshold - 1e-9:
-                    continue
-                for item, score in ix.search(t.tolist(), threshold):
-                    ok = ix.verified(item, w[lo[p]:hi[p]], overlap)
-                    key = (int(doc[p]), item)
-                    if ok and (score, *ok) > best.get(key, ()):
-                        best[key] = (score, *ok)
+            for d, lo, hi in ix.passages(term, at, threshold):
+                t = term[lo:hi]
+                for item, score in ix.search(np.unique(t[t >= 0]).tolist(), threshold):
+                    ok = ix.verified(item, w[lo:hi], overlap)
+                    if ok and (score, *ok) > best.get((d, item), ()):
+                        best[d, item] = (score, *ok)
             for (d, item), found in best.items():
                 for name, v in zip(out, (ids[d], ix.items[item].id, *found)):
                     out[name].append(v)
