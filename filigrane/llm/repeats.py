@@ -13,14 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filigrane.llm.common import base, groups, id_out, map_arrow, scratch
-from filigrane.llm.words import mix
+from filigrane.llm.words import mix, span_hashes
 
 LENGTH = 50
 #: Bytes of an anchor. Every string of LENGTH bytes holds LENGTH - GRAM + 1 grams; the one with the least hash, the
 #: leftmost of equals, is its anchor, so equal strings have equal anchors at equal places.
 GRAM = 22
 #: Windows handled at once, anchors gathered by a task before it sends them on, symbols of one transform.
-STRETCH, GATHER, SYMBOLS = 2_000_000, 3_000_000, 2_000_000
+STRETCH, GATHER, SYMBOLS = 2_000_000, 3_000_000, 1_000_000
 #: Anchors of a bucket in expectation; distinct stretches of an anchor above which its strings are dealt out singly.
 BUCKET, CROWDED = 1_000_000, 8_000
 _PLACE = np.uint64((1 << 24) - 1)
@@ -142,30 +142,50 @@ def _suspect(batches):
 
 
 def _stretches(bits: int):
-    """The bytes of the windows whose anchor is suspected."""
+    """Where the windows of suspected anchors are, and a hash of their bytes."""
     def run(batches):
+        names = ("_id", "_td", "at", "n", "anchor", "k")
         for b in batches:
-            out: dict[str, list] = {"_id": [], "_td": [], "at": [], "anchor": [], "k": [], "bytes": []}
+            held: list[tuple] = []
             size = 0
             for i, td, text, asked in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist()):
-                text = text.as_py().encode()
                 wanted = np.unique(np.concatenate([(np.uint64(q["bucket"]) << np.uint64(32)) | np.frombuffer(q["anchors"], np.uint32).astype(np.uint64)
                                                    for q in asked]))
+                text = text.as_py().encode()
                 for off, first, n, h in sections(text):
                     short = ((h >> np.uint64(64 - bits)) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
-                    for k in np.flatnonzero(np.isin(short, wanted)):
-                        s = off + int(first[k])
-                        part = text[s:s + int(n[k]) + LENGTH - 1]
-                        for name, v in zip(out, (i, td, s, h[k].astype(np.int64), xxhash.xxh3_128_digest(part), part)):
-                            out[name].append(v)
-                        size += len(part)
-                    if size > 4_000_000:
-                        yield out
-                        out, size = {n: [] for n in out}, 0
-            yield out
+                    pick = np.flatnonzero(np.isin(short, wanted))
+                    at, m = first[pick], n[pick]
+                    chunk = np.frombuffer(text, np.uint8)[off:off + int(first[-1] + n[-1]) + LENGTH - 1]
+                    held.append((np.full(len(at), i), np.full(len(at), td), at + off, m, h[pick].view(np.int64),
+                                 span_hashes(chunk, at, at + m + LENGTH - 1).view(np.int64)))
+                    size += len(at)
+                if size > 200_000:
+                    yield dict(zip(names, map(np.concatenate, zip(*held))))
+                    held, size = [], 0
+            if held:
+                yield dict(zip(names, map(np.concatenate, zip(*held))))
     return run
 
 
+def _bytes(batches):
+    """The bytes of chosen stretches."""
+    for b in batches:
+        out: dict[str, list] = {"anchor": [], "k": [], "m": [], "first": [], "bytes": []}
+        size = 0
+        for i, text, asked in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
+            text = text.as_py().encode()
+            for q in asked:
+                part = text[q["at"]:q["at"] + q["n"] + LENGTH - 1]
+                for name, v in zip(out, (q["anchor"], q["k"], q["m"], i, part)):
+                    out[name].append(v)
+                size += len(part)
+            if size > 4_000_000:
+                yield out
+                out, size = {n: [] for n in out}, 0
+        yield out
+
+
 def earliest(parts: list[bytes], ids: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
     """For every string of `length` bytes in the parts, by part and place: the least id of the parts that hold it.
 
@@ -180,23 +200,30 @@ def earliest(parts: list[bytes], ids: np.ndarray, length: int = LENGTH) -> list[
     n = len(t)
     owner = np.repeat(np.arange(len(parts)), sizes + 1)
     left = ends[owner] - np.arange(n)  # symbols before the mark
-    key, reach = np.zeros(n, np.int64), 7
+    # ranks of prefixes by doubling; a place rides in the low bits of its key, so that keys alone are sorted and equal
+    # suffixes come in the order of their parts
+    bits = n.bit_length()
+    if 3 * bits > 63:
+        raise ValueError("too many symbols for one transform")
+    place = np.arange(n, dtype=np.int64)
+    key, reach = np.zeros(n, np.int64), 4
     for j in range(reach):
         nxt = np.zeros(n, np.int64)
         nxt[:n - j] = t[j:]
         key = (key << 9) | np.where(left >= j, nxt, 0)
     while True:
-        order = np.argsort(key, kind="stable")
-        sorted_ = key[order]
+        packed = np.sort((key << bits) | place)
+        order = packed & ((1 << bits) - 1)
+        packed >>= bits
         rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate([[0], sorted_[1:] != sorted_[:-1]]))
+        rank[order] = np.cumsum(np.concatenate([[0], packed[1:] != packed[:-1]]))
         if reach > sizes.max():
             break
         nxt = np.zeros(n, np.int64)
         nxt[:n - reach] = rank[reach:] + 1
-        key = rank * (n + 1) + np.where(left >= reach, nxt, 0)
+        key = (rank << bits) | np.where(left >= reach, nxt, 0)
         reach *= 2
-    sa = np.lexsort((owner, rank)).astype(np.int32) if rank.max() < n - 1 else order.astype(np.int32)
+    sa = order.astype(np.int32)
     isa = np.empty(n, np.int32)
     isa[sa] = np.arange(n, dtype=np.int32)
     # the transform, the step back from a suffix to the one before it, and the last earlier place of its character
@@ -204,17 +231,20 @@ def earliest(parts: list[bytes], ids: np.ndarray, length: int = LENGTH) -> list[
     char = np.where(inner, t[sa - 1], 0)
     at = np.flatnonzero(char)
     back = isa[sa[at] - 1]
-    by = np.argsort(char[at], kind="stable")
+    chars = char[at].astype(np.uint16)
+    by = np.argsort(chars, kind="stable")
     same = np.full(len(at), -1, np.int32)
-    sorted_c = char[at][by]
-    same[by[1:]] = np.where(sorted_c[1:] == sorted_c[:-1], at[by[:-1]], -1)
-    start = np.zeros(n, np.int32)
+    same[by[1:]] = np.where(chars[by[1:]] == chars[by[:-1]], at[by[:-1]], -1)
+    at = at.astype(np.int32)
     place = np.arange(n, dtype=np.int32)
+    mark = np.zeros(n, np.int32)  # where intervals begin; once an interval begins somewhere, it does at all later levels
+    mark[:len(parts)] = place[:len(parts)]  # the ends of parts are alone
+    start = np.zeros(n, np.int32)
     for _ in range(length):
-        mark = np.zeros(n, np.int32)
-        mark[:len(parts)] = place[:len(parts)]  # the ends of parts are alone
-        new = back[same < start[at]]
-        mark[new] = new
+        new = same < start[at]
+        begun = back[new]
+        mark[begun] = begun
+        at, back, same = at[~new], back[~new], same[~new]
         start = np.maximum.accumulate(mark)
     first = np.flatnonzero(start == place)
     low = np.minimum.reduceat(ids[owner[sa]], first)
@@ -241,33 +271,39 @@ def _expanded(held: list[pa.Table]) -> dict:
     every = pa.concat_tables(held)
     ids = np.array(every.column("first").to_pylist(), np.int64)
     found = earliest(every.column("bytes").to_pylist(), ids)
-    return {"k": every.column("k").to_pylist(), "least": [f.tobytes() for f in found]}
+    return {"anchor": every.column("anchor").combine_chunks(), "k": every.column("k").combine_chunks(),
+            "least": [zlib.compress(f.tobytes(), 1) for f in found]}
 
 
 def _ranges(batches):
     """Bytes to remove: of every window whose string starts in a smaller document."""
     for b in batches:
         ids, tds, starts, ends = [], [], [], []
-        for i, td, at, least in zip(*(b.column(k).to_pylist() for k in range(4))):
-            gone = np.frombuffer(least, np.int64) < i
-            edge = np.flatnonzero(np.diff(gone.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
-            if len(edge):
+        for i, td, at, _, least in zip(*(b.column(k).to_pylist() for k in range(5))):
+            gone = np.frombuffer(zlib.decompress(least), np.int64) < i
+            if gone.all():
+                cut = (0, len(gone))
+            elif gone.any():
+                cut = np.flatnonzero(np.diff(gone.view(np.int8), prepend=np.int8(0), append=np.int8(0))).tolist()
+            else:
+                continue
+            for a, z in zip(cut[0::2], cut[1::2]):
                 ids.append(i)
                 tds.append(td)
-                starts.append((at + edge[0::2]).tolist())
-                ends.append((at + edge[1::2] + LENGTH - 1).tolist())
-        yield {"_id": ids, "_td": tds, "starts": starts, "ends": ends}
+                starts.append(at + a)
+                ends.append(at + z + LENGTH - 1)
+        yield {"_id": ids, "_td": tds, "s": starts, "e": ends}
 
 
 def _cut(batches):
     for b in batches:
         out: dict[str, list] = {"_id": [], "n_bytes": [], "n_removed": [], "n_spans": [], "kept": []}
-        for i, text, starts, ends in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist()):
+        for i, text, cuts in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
             text = text.as_py().encode()
             kept, spans, removed, at = text, 0, 0, 0
-            if starts:
+            if cuts:
                 pieces = []
-                for s, e in sorted(zip((x for y in starts for x in y), (x for y in ends for x in y))):
+                for s, e in sorted((c["s"], c["e"]) for c in cuts):
                     if s > at or not spans:
                         pieces.append(text[at:s])
                         spans += 1
@@ -295,9 +331,10 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     1. Every task lists the anchors of its documents by hash bucket. Anchors that more than one document holds are
        suspects: one pass over each bucket, with one entry per task and anchor.
-    2. The bytes around suspected anchors go out, equal stretches are combined (least id), the distinct stretches of
-       an anchor meet in one task and `earliest` finds the least id of each string in them. An anchor with very many
-       distinct stretches is taken apart: its strings are combined one by one, so no task gets them all.
+    2. Stretches of windows with a suspected anchor are listed by place and a hash of their bytes, and equal ones are
+       combined (least id). Where an anchor has one stretch only, all its strings have that id. Otherwise the bytes of
+       its distinct stretches meet in one task, and `earliest` finds the least id of each string in them. An anchor
+       with very many stretches is taken apart: its strings are combined one by one, so no task gets them all.
     3. The least ids return to the places they came from, and texts meet their removed ranges.
 
     Null and empty texts have no bytes. A null id sorts first. Rows that share an id are documents of equal standing:
@@ -306,62 +343,64 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = base(docs, id_col, text_col)
     size = rows.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()[0]
     bits = min(16, max(4, (size * 2 // (LENGTH - GRAM + 2) // BUCKET).bit_length()))
-    shared, stretches, distinct = _candidates(spark, rows, bits)
+    keyed = rows.withColumn("_td", F.hash("_text"))
+    stretches, done = _candidates(spark, rows, keyed, bits)
     _settled(spark)
-    least = _least(distinct)
-    ranges = scratch(map_arrow(stretches.join(least, "k").select("_id", "_td", "at", "least"), _ranges,
-                               "_id long, _td long, starts array<long>, ends array<long>"))[0]
-    shared()
+    ranges = _removed(spark, keyed, stretches)
+    done()
     _settled(spark)
-    per = ranges.groupBy("_id", "_td").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends"))
-    keyed = rows.withColumn("_td", F.xxhash64("_text"))
-    out = map_arrow(keyed.join(per, ["_id", "_td"], "left").select("_id", "_text", "starts", "ends"), _cut,
+    per = ranges.groupBy("_id", "_td").agg(F.collect_list(F.struct("s", "e")).alias("cuts"))
+    out = map_arrow(keyed.join(per, ["_id", "_td"], "left").select("_id", "_text", "cuts"), _cut,
                     "_id long, n_bytes long, n_removed long, n_spans long, kept binary")
     return out.select(id_out(), "n_bytes", "n_removed", "n_spans", "kept")
 
 
-def _candidates(spark: SparkSession, rows: DataFrame, bits: int):
+def _candidates(spark: SparkSession, rows: DataFrame, keyed: DataFrame, bits: int):
     packed = map_arrow(rows, _gather(bits), "route long, bucket long, kind int, ids binary, counts binary, anchors binary")
     suspects, drop = scratch(map_arrow(packed.repartition("route").sortWithinPartitions("route"), _suspect,
                                        "_id long, bucket long, anchors binary"))
     del packed
     _settled(spark)
     asked = suspects.groupBy("_id").agg(F.collect_list(F.struct("bucket", "anchors")).alias("asked"))
-    found = rows.withColumn("_td", F.xxhash64("_text")).join(asked, "_id").select("_id", "_td", "_text", "asked")
-    stretches, drop2 = scratch(map_arrow(found, _stretches(bits),
-                                         "_id long, _td long, at long, anchor long, k binary, bytes binary"))
-    del found, asked
+    stretches, drop2 = scratch(map_arrow(keyed.join(asked, "_id").select("_id", "_td", "_text", "asked"), _stretches(bits),
+                                         "_id long, _td int, at long, n int, anchor long, k long"))
     drop()
-    _settled(spark)
-    distinct, drop3 = scratch(stretches.groupBy("anchor", "k", "bytes").agg(F.min("_id").alias("first"), F.max("_id").alias("last")))
-    return lambda: (drop2(), drop3()), stretches, distinct
-
-
-def _least(distinct: DataFrame) -> DataFrame:
-    """k, least: the least id of every string of a stretch, as an array of bytes of longs."""
-    count = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
-    sized = scratch(distinct.join(count, "anchor"))[0]
-    # an anchor with one stretch: no other string is equal to one of its strings
-    alone = sized.where("n = 1 and first < last").select("k", F.length("bytes").alias("size"), "first")
-    alone = map_arrow(alone, _repeat, "k binary, least binary")
-    few = sized.where(f"n > 1 and n <= {CROWDED}")
-    some = map_arrow(few.select("anchor", "k", "bytes", "first").repartition("anchor").sortWithinPartitions("anchor"), _expand,
-                     "k binary, least binary")
-    each = (sized.where(f"n > {CROWDED}")
-            .select("k", "first", F.posexplode(F.expr(f"transform(sequence(1, length(bytes) - {LENGTH - 1}), i -> substring(bytes, i, {LENGTH}))"))
-                    .alias("place", "string")))
-    low = each.groupBy("string").agg(F.min("first").alias("low"))
-    crowded = (each.join(low, "string").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("place", "low"))).alias("lows")))
-    crowded = map_arrow(crowded.select("k", F.col("lows.low").alias("low")), _pack, "k binary, least binary")
-    return alone.unionByName(some).unionByName(crowded)
+    return stretches, drop2
 
 
-def _repeat(batches):
-    for b in batches:
-        yield {"k": b.column(0), "least": [np.full(n - LENGTH + 1, f, np.int64).tobytes() for n, f in
-                                           zip(b.column(1).to_pylist(), b.column(2).to_pylist())]}
+def _removed(spark: SparkSession, keyed: DataFrame, stretches: DataFrame) -> DataFrame:
+    key = ["anchor", "k"]
+    distinct, drop = scratch(stretches.groupBy(*key).agg(F.min(F.struct("_id", "_td", "at", "n")).alias("first"), F.max("_id").alias("last")))
+    count = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    several = (distinct.join(count, "anchor").select("first.*", "anchor", "k", "m")
+               .groupBy("_id", "_td").agg(F.collect_list(F.struct("at", "n", "anchor", "k", "m")).alias("asked")))
+    shown, drop2 = scratch(map_arrow(keyed.join(several, ["_id", "_td"]).dropDuplicates(["_id", "_td"]).select("_id", "_text", "asked"), _bytes,
+                                     "anchor long, k long, m long, first long, bytes binary"))
+    _settled(spark)
+    few = map_arrow(shown.where(f"m <= {CROWDED}").repartition("anchor").sortWithinPartitions("anchor"), _expand,
+                    "anchor long, k long, least binary")
+    each = (shown.where(f"m > {CROWDED}").select(*key, "first", F.posexplode(F.expr(
+        f"transform(sequence(1, length(bytes) - {LENGTH - 1}), i -> substring(bytes, i, {LENGTH}))")).alias("place", "string")))
+    low = each.groupBy("string").agg(F.min("first").alias("low"))
+    crowded = each.join(low, "string").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("place", "low"))).alias("lows"))
+    crowded = map_arrow(crowded.select(*key, F.col("lows.low").alias("low")), _pack, "anchor long, k long, least binary")
+    least, drop3 = scratch(few.unionByName(crowded))
+    drop2()
+    _settled(spark)
+    alone = distinct.join(count, "anchor", "left_anti").where("first._id < last").select(*key, F.col("first._id").alias("low"))
+    # both joins read the same rows and columns of the stretches, so that they are shuffled once
+    stretches = stretches.where("_id is not null")
+    whole = stretches.join(alone, key).where("low < _id").select(
+        "_id", "_td", F.col("at").alias("s"), F.expr(f"at + n + {LENGTH - 1}").alias("e"))
+    parts = map_arrow(stretches.join(least, key).select("_id", "_td", "at", "n", "least"), _ranges,
+                      "_id long, _td int, s long, e long")
+    out = scratch(whole.unionByName(parts))[0]
+    drop()
+    drop3()
+    return out
 
 
 def _pack(batches):
     for b in batches:
-        yield {"k": b.column(0), "least": [np.array(x, np.int64).tobytes() for x in b.column(1).to_pylist()]}
+        yield {"anchor": b.column(0), "k": b.column(1),
+               "least": [zlib.compress(np.array(x, np.int64).tobytes(), 1) for x in b.column(2).to_pylist()]}
