@@ -549,10 +549,18 @@ def _noise_bins(spark, sf):
     return x.join(m, "k").selectExpr("k", "x", "power(1.4826D * mad, 2) / 20 as y")
 
 
-@query("agg51_noise_fit")
+@query("agg51_noise_fit", "lap", """
+  , q as (select quantile_cont(value, [0.02, 0.14, 0.26, 0.38, 0.5, 0.62, 0.74, 0.86, 0.98]) as e from lap),
+  c as (select value, lap, len(list_filter(e, lambda b: value >= b)) as k from lap, q),
+  m as (select *, median(lap) over (partition by k) as ml from c where k between 1 and 8),
+  p as (select median(value) as x, power(1.4826 * median(abs(lap - ml)), 2) / 20 as y from m group by k having count(*) >= 200),
+  a as (select regr_slope(x * x, x) as b1, regr_intercept(x * x, x) as b0, regr_slope(y, x) as d1, regr_intercept(y, x) as d0 from p),
+  f as (select any_value(b0) as b0, any_value(b1) as b1, any_value(d0) as d0, any_value(d1) as d1,
+    sum((y - d0 - d1 * x) * (x * x - b0 - b1 * x)) / sum(power(x * x - b0 - b1 * x, 2)) as c2 from p, a)
+  select round(d0 - c2 * b0, 6) as c0, round(d1 - c2 * b1, 6) as c1, round(c2, 6) as c2 from f""")
 def agg51_fit(spark, sf):
     """Quadratic through the bins by normal equations: seven sums, then a 3 x 3 solve in expressions."""
-    return quadratic_fit(_noise_bins(spark, sf), "x", "y")
+    return quadratic_fit(_noise_bins(spark, sf), "x", "y").selectExpr(*[f"round({c}, 6) as {c}" for c in ("c0", "c1", "c2")])
 
 
 def quadratic_fit(points, x: str, y: str):

@@ -262,7 +262,18 @@ def jn12(spark, sf):
     return by_node.unionByName(near.selectExpr("a_id as a", "b_id as b"))
 
 
-@query("jn13_match_in_order")
+@query("jn13_match_in_order", "traced_junctions obs_junctions", f"""
+  , w as (select a.image_id, a.tj, list(b.jid order by {D2}, b.jid) as near from traced_junctions a join obs_junctions b
+      on a.image_id = b.image_id and sqrt({D2}) <= greatest(b.radius, {T.LAMBDA_PX}) group by a.image_id, a.tj),
+  o as (select *, row_number() over (partition by image_id order by tj) as n from w)
+  select image_id, tj, jid from (
+    with recursive walk as (
+      select distinct image_id, 0::bigint as n, []::bigint[] as taken, null::bigint as tj, null::bigint as jid from o
+      union all
+      select image_id, n, case when jid is null then taken else list_append(taken, jid) end, tj, jid from (
+        select o.image_id, o.n, v.taken, o.tj, list_filter(o.near, lambda x: not list_contains(v.taken, x))[1] as jid
+        from walk v join o on o.image_id = v.image_id and o.n = v.n + 1))
+    select * from walk) where jid is not null""")
 def jn13(spark, sf):
     t, j = V.traced_junctions(spark, sf), V.obs_junctions(spark, sf)
     c = J.within_radius(t, j, T.LAMBDA_PX)
@@ -535,12 +546,23 @@ def agg13(spark, sf):
     return G.share_by_cnr(near_positions(s.where("in_frame"), t, 3.0)).withColumn("share", F.expr("round(share, 6)"))
 
 
-@query("sta08_cnr_at_half")
+NEWTON = ["n0 as (select 0.0::double as a, 1.0::double as b)"]
+for _k in range(1, 16):
+    NEWTON.append(f"""
+  g{_k} as (select any_value(a) as a, any_value(b) as b, sum(t - p) as g0, sum((t - p) * lx) as g1, sum(w) + 1e-9 as h0,
+      sum(w * lx) as h1, sum(w * lx * lx) + 1e-9 as h2
+    from (select *, greatest(p * (1 - p), 1e-9) as w from (select *, 1 / (1 + exp(-(a + b * lx))) as p from d, n{_k - 1}))),
+  n{_k} as (select a + (h2 * g0 - h1 * g1) / (h0 * h2 - h1 * h1) as a, b + (h0 * g1 - h1 * g0) / (h0 * h2 - h1 * h1) as b from g{_k})""")
+
+
+@query("sta08_cnr_at_half", "score_hits", """
+  , d as (select ln(greatest(cnr, 0.001)) as lx, hit::int::double as t from score_hits where in_frame), """ + ", ".join(NEWTON) + """
+  select case when b > 0 and (select count(distinct t) from d) = 2 then round(exp(-a / b), 6) end as cnr50 from n15""")
 def sta08(spark, sf):
     """CNR at which half of the in-frame samples are traced."""
     s, t = _flagged(spark, sf)
     c = G.cnr_at_half(near_positions(s.where("in_frame"), t, 3.0))
-    return spark.createDataFrame([(c,)], "cnr50 DOUBLE")
+    return spark.createDataFrame([(c,)], "cnr50 DOUBLE").selectExpr("round(cnr50, 6) as cnr50")
 
 
 @query("prj14_observed_pieces", "obs", """,
