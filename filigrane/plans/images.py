@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from filigrane.operators import raster as A
 from filigrane.operators import rules as U
 from filigrane.operators.quantile import median_abs_dev, quantiles
-from filigrane.plans.registry import QUERIES, query
+from filigrane.plans import relations  # noqa: F401  (defines the gap candidates)
+from filigrane.plans.registry import ORACLES, QUERIES, query
 from filigrane.session import checkpointed
 from filigrane.sources import views as V
 
@@ -89,7 +90,17 @@ def pro02(spark, sf):
     return k.join(mid, ["vec_id", "grp"]).groupBy("vec_id", "center").agg(F.count(F.lit(1)).alias("n_lines"))
 
 
-@query("skl08_bridge_gaps")
+@query("skl08_bridge_gaps", "", """
+  select image_id, a, b, cost from (
+    with recursive c as (select image_id, a * 2 + sa as a, b * 2 + sb as b, cost, row_number() over (partition by image_id
+        order by cost, a * 2 + sa, b * 2 + sb) as n from (""" + ORACLES["jn22_gap_candidates"] + """)),
+    walk as (
+      select distinct image_id, 0::bigint as n, []::bigint[] as used, false as ok, 0::bigint as a, 0::bigint as b, 0::double as cost from c
+      union all
+      select image_id, n, case when ok then list_concat(used, [a, b]) else used end, ok, a, b, cost from (
+        select c.image_id, c.n, v.used, c.a, c.b, c.cost, not list_contains(v.used, c.a) and not list_contains(v.used, c.b) as ok
+        from walk v join c on c.image_id = v.image_id and c.n = v.n + 1))
+    select * from walk) where ok""")
 def skl08(spark, sf):
     """Path ends joined across gaps, cheapest first, every end once."""
     c = QUERIES["jn22_gap_candidates"](spark, sf).selectExpr("image_id", "a * 2 + sa as a", "b * 2 + sb as b", "cost")

@@ -262,18 +262,23 @@ def jn12(spark, sf):
     return by_node.unionByName(near.selectExpr("a_id as a", "b_id as b"))
 
 
-@query("jn13_match_in_order", "traced_junctions obs_junctions", f"""
-  , w as (select a.image_id, a.tj, list(b.jid order by {D2}, b.jid) as near from traced_junctions a join obs_junctions b
+def match_sql(truth: str) -> str:
+    """Traced junctions one after the other, each with its nearest free true one: (image_id, tj, jid)."""
+    return f"""
+  w as (select a.image_id, a.tj, list(b.jid order by {D2}, b.jid) as near from traced_junctions a join {truth} b
       on a.image_id = b.image_id and sqrt({D2}) <= greatest(b.radius, {T.LAMBDA_PX}) group by a.image_id, a.tj),
-  o as (select *, row_number() over (partition by image_id order by tj) as n from w)
-  select image_id, tj, jid from (
+  o as (select *, row_number() over (partition by image_id order by tj) as n from w),
+  matched as (select image_id, tj, jid from (
     with recursive walk as (
       select distinct image_id, 0::bigint as n, []::bigint[] as taken, null::bigint as tj, null::bigint as jid from o
       union all
       select image_id, n, case when jid is null then taken else list_append(taken, jid) end, tj, jid from (
         select o.image_id, o.n, v.taken, o.tj, list_filter(o.near, lambda x: not list_contains(v.taken, x))[1] as jid
         from walk v join o on o.image_id = v.image_id and o.n = v.n + 1))
-    select * from walk) where jid is not null""")
+    select * from walk) where jid is not null)"""
+
+
+@query("jn13_match_in_order", "traced_junctions obs_junctions", ", " + match_sql("obs_junctions") + " select * from matched")
 def jn13(spark, sf):
     t, j = V.traced_junctions(spark, sf), V.obs_junctions(spark, sf)
     c = J.within_radius(t, j, T.LAMBDA_PX)
@@ -520,7 +525,20 @@ def agg11(spark, sf):
         "n_traced")
 
 
-@query("agg11_junction_score")
+@query("agg11_junction_score", "traced_junctions obs_junctions", f"""
+  , truth as (select * from obs_junctions where type <> 4), {match_sql("truth")},
+  t as (select a.image_id, m.jid, a.type = j.type as same, exists (select 1 from obs_junctions b where b.type = 4
+      and a.image_id = b.image_id and sqrt({D2}) <= greatest(b.radius, {T.LAMBDA_PX})) as ign
+    from traced_junctions a left join matched m on m.image_id = a.image_id and m.tj = a.tj
+    left join truth j on j.image_id = m.image_id and j.jid = m.jid),
+  s as (select image_id, count(jid) as matched, count(*) as n_traced, count(*) filter (jid is null and not ign) as fp,
+    count(*) filter (same) as type_ok from t group by image_id),
+  n as (select image_id, count(*) as n_truth from truth group by image_id),
+  r as (select coalesce(n.image_id, s.image_id) as image_id, coalesce(n_truth, 0) as n_truth, coalesce(matched, 0) as matched,
+    coalesce(n_traced, 0) as n_traced, coalesce(fp, 0) as fp, coalesce(type_ok, 0) as type_ok from n full join s on s.image_id = n.image_id)
+  select *, matched / nullif(n_truth, 0) as recall, matched / nullif(matched + fp, 0) as precision,
+    type_ok / nullif(matched, 0) as type_accuracy, case when matched > 0 then 2 * (matched / n_truth) * (matched / (matched + fp))
+      / (matched / n_truth + matched / (matched + fp)) else 0 end as f1 from r""")
 def agg11_junctions(spark, sf):
     j = V.obs_junctions(spark, sf)
     truth, ignored = j.where("type <> 4"), j.where("type = 4")
