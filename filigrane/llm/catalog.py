@@ -165,7 +165,19 @@ def op7(spark, sf):
     return decontaminate.judge(documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"))
 
 
-@query("op1_jaccard_join")
+@query("op1_jaccard_join", r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\x{80}-\x{10FFFF}]+') AS ws FROM documents),
+c AS (SELECT ws, min(doc_id) AS id FROM w WHERE len(ws) > 0 GROUP BY ws),
+s AS (SELECT id, unnest(list_distinct(list_transform(range(greatest(len(ws) - 4, 1)), lambda i: array_to_string(ws[i + 1:i + 5], ' ')))) AS g
+  FROM c),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+p AS (SELECT a.id AS a, b.id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.id <> b.id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE k >= 0.8 * (x.n + y.n - k) - 1e-6),
+reach AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM reach r JOIN l ON l.a = r.b),
+k AS (SELECT a, least(a, min(b)) AS class FROM reach GROUP BY a),
+m AS (SELECT a, count(*) AS links FROM l GROUP BY a)
+SELECT doc_id, coalesce(id, doc_id) AS copy_of, coalesce(class, id, doc_id) AS class_id, coalesce(links, 0) AS n_links
+FROM w LEFT JOIN c ON c.ws = w.ws LEFT JOIN k ON k.a = c.id LEFT JOIN m ON m.a = c.id""")
 def op1(spark, sf):
     return forest.near_duplicates(documents(spark, sf))
 

@@ -39,12 +39,17 @@ def hash_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     inside = _WORD[b]
     edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0)))
     start, end = edge[0::2], edge[1::2]
+    h = span_hashes(b, start, end)
+    bounds = np.cumsum([0] + [len(r) + 1 for r in raw])
+    return h, np.searchsorted(start, bounds)
+
+
+def span_hashes(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the byte strings b[start:end]."""
     up, down = _powers(len(b) + 1)
     run = np.zeros(len(b) + 1, np.uint64)
     np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[:-1], out=run[1:])
-    h = mix((run[end] - run[start]) * down[start])
-    bounds = np.cumsum([0] + [len(r) + 1 for r in raw])
-    return h, np.searchsorted(start, bounds)
+    return mix((run[end] - run[start]) * down[start])
 
 
 def shingles(h: np.ndarray, n: int = SHINGLE) -> np.ndarray:
