@@ -60,13 +60,18 @@ def mix(docs: DataFrame, levels: Sequence[tuple[str, Column]], weights: Sequence
     slim = checkpointed(keyed.drop("_row"))
     leaf = slim.groupBy(*cols).agg(F.sum("_tok").alias("_size"), F.count(F.lit(1)).alias("_rows"))
     leaf = checkpointed(leaf.withColumn("_cap", F.col("_size") * max_epochs))
-    total = leaf.agg(F.coalesce(F.sum("_size"), F.lit(0)).alias("total"), F.coalesce(F.sum("_cap"), F.lit(0)).alias("_most"))
-    above = total.select(F.least((budget if isinstance(budget, Column) else F.lit(budget)).cast("long"), "_most").alias("_budget"))
+    every = Window.partitionBy()  # over the children of the root
+    above = None
     for k, c in enumerate(cols):
         node = leaf.groupBy(*cols[:k + 1]).agg(F.sum("_cap").alias("_cap")) if k + 1 < len(cols) else leaf
         node = node.where("_cap > 0").select("*", *[F.col(x).alias(n) for x, n in zip(cols, names[:k + 1])])
         node = node.withColumn("_weight", weights[k].cast("long")).drop(*names[:k + 1])
-        node = node.join(above, cols[:k]) if k else node.join(F.broadcast(above), F.lit(True))  # above: one row of totals
+        if k:
+            node = node.join(above, cols[:k])
+        else:
+            node = (node.withColumn("total", F.expr(f"sum(_cap) over () div {int(max_epochs)}"))
+                    .withColumn("_budget", F.least((budget if isinstance(budget, Column) else F.lit(budget)).cast("long"),
+                                                   F.sum("_cap").over(every))).drop("total"))
         above = fill(node, cols[:k], c).drop("_budget", "_weight").withColumnRenamed("_alloc", "_budget").drop("_cap")
     plan = (above.withColumn("_whole", F.expr("_budget div _size")).withColumn("_rest", F.expr("_budget % _size"))
             .withColumn("_bits", F.ceil(F.log2(F.greatest(F.col("_rows") / CHUNK, F.lit(1)))).cast("int")))

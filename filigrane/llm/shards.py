@@ -67,7 +67,8 @@ def assign(points: DataFrame, dims: Sequence[str], shards: int) -> DataFrame:
     """Add `shard` (0 .. shards - 1) to a table of _size, _tie and the dimensions. A node with k leaves to come gives
     floor(k / 2) of them, and that part of its bytes, to its left side."""
     spark = points.sparkSession
-    out, nodes = points.withColumn("_node", F.lit(0).cast("long")), {0: shards}
+    # all rows start in node 0; an expression of a column, as a constant would turn the joins by node into nested loops
+    out, nodes = points.withColumn("_node", F.col("_tie") - F.col("_tie")), {0: shards}
     while any(k > 1 for k in nodes.values()):
         split = {n: k for n, k in nodes.items() if k > 1}
         alive = out.where(F.col("_node").isin(*split)) if len(split) < len(nodes) else out
