@@ -4,8 +4,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+import filigrane
+
+# Functions for Python workers carry their code with them: the package need not be installed on the executors.
+cloudpickle.register_pickle_by_value(filigrane)
+
 
 def local_session(cores: str = "8", partitions: int = 8, app: str = "filigrane") -> SparkSession:
     """A local session for tests and the bench."""
