@@ -5,6 +5,7 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -201,7 +202,7 @@ def _frequencies(terms: np.ndarray):
 
 def _retrieve(index, threshold: float, overlap: float):
     def run(batches):
-        ix: Index = index.value
+        ix: Index = cloudpickle.loads(index.value)
         for ids, texts in blocks(batches):
             w, at = hash_words(texts)
             term = ix.lookup(w)
@@ -235,7 +236,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         terms = np.unique(np.concatenate([i.words for i in items]))
         df = (map_arrow(rows, _frequencies(terms), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect())
         index = Index(items, {int(terms[r["term"]]): r["n"] for r in df}, rows.count())
-        found = map_arrow(rows, _retrieve(spark.sparkContext.broadcast(index), threshold, overlap),
+        found = map_arrow(rows, _retrieve(spark.sparkContext.broadcast(cloudpickle.dumps(index)), threshold, overlap),
                           "_id long, item long, score double, question double, answer double")
         out = checkpointed(found if out is None else out.unionByName(found))
     if out is None:
