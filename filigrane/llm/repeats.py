@@ -3,6 +3,7 @@ Burrows-Wheeler transform level by level up to the minimum length."""
 from __future__ import annotations
 
 import gc
+import time
 import zlib
 from collections.abc import Iterator
 
@@ -318,9 +319,12 @@ def _cut(batches):
 
 
 def _settled(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps; what is still needed has been written."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark delete the shuffle files of finished steps; what is still needed has been written. The first round
+    frees the plans, which the end of the last job still held, the second one what hung on them."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
