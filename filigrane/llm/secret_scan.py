@@ -6,7 +6,6 @@ import re
 import string
 from collections import Counter
 from dataclasses import dataclass
-from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -26,19 +25,15 @@ CUES = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "ke
 PREFIXES = ("AKIA", "ghp_", "sk-", "xox", "eyJ", "glpat-", "AIza")
 
 TOKEN = re.compile(r"[^\W_](?:[\w+/.-]*[^\W])?|_+|[^\w\s]")
-#: What makes a token worth a look; texts between such places are tagged outside without decoding (see Model.gap).
-ANNOUNCED = ("passw", "pwd", "secret", "token", "key", "credential", "auth", "bearer", "private")
-SIGN = re.compile(r'[0-9=:"_]|[A-Z]{8,}', re.ASCII)
-SIGN_OR_CUE = re.compile(f'[0-9=:"_]|[A-Z]{{8,}}|(?i:{"|".join(ANNOUNCED)})', re.ASCII)
 KEYWORDS = ("password", "passwd", "secret", "token", "api")
 #: Tagged spans shorter than this are no credible secrets.
 MIN_TAGGED = 8
-AROUND = 4  # tokens on either side of a notable place that are decoded with it
+AROUND = 4  # tokens on either side of a notable one that are learnt with it
 OUTSIDE, BEGIN, INSIDE = range(3)
 #: Documents to learn from, in expectation (a hash of the id selects them).
 SAMPLE = 4000
 
-PLAIN = ("lower", "cap", "upper", "mark")  # shapes whose length says nothing; the text around them is not notable
+PLAIN = ("lower", "cap", "upper", "mark")  # shapes whose length says nothing; tokens of any other type are notable
 SIGNS = ("=", ":", '"')
 RICH = ("long upper", "mixed", "digits", "hex", "alnum", "rich")
 SIZES = (8, 12, 16, 24, 40)
@@ -88,31 +83,38 @@ def file_kind(text: str) -> int:
     return 2 * dense + (len(text) > 2000)
 
 
-def regions(text: str) -> list[tuple[int, int]]:
-    """Stretches of text around notable places, whole tokens, merged where they touch."""
-    out: list[list[int]] = []
-    at = 0
-    low = text.lower()
-    notable = SIGN_OR_CUE if any(k in low for k in ANNOUNCED) else SIGN
-    while (m := notable.search(text, at)) is not None:
-        a = m.start()
-        for _ in range(AROUND):
-            a = max(text.rfind(" ", 0, a), text.rfind("\n", 0, a), 0)
-            if a == 0:
-                break
-        b = m.end()
-        for _ in range(AROUND):
-            nxt = BLANK.search(text, b)
-            b = nxt.end() if nxt else len(text)
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(b, out[-1][1])
-        else:
-            out.append([a, b])
-        at = m.end()
-    return [(a, b) for a, b in out]
+class _Types(dict):
+    """Token types, kept for short tokens."""
+
+    def __missing__(self, t: str) -> int:
+        k = token_type(t)
+        if len(t) <= 24:
+            if len(self) >= 1 << 17:
+                self.clear()
+            self[t] = k
+        return k
+
+
+_TYPE_OF = _Types()
+
 
+def token_types(tokens: list[str]) -> np.ndarray:
+    return np.fromiter(map(_TYPE_OF.__getitem__, tokens), np.int64, len(tokens))
 
-BLANK = re.compile(r"\s+")
+
+def _stretches(on: np.ndarray) -> list[tuple[int, int]]:
+    """(first, end) of the runs of true values."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], on.astype(np.int8), [0]])))
+    return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
+
+
+def regions(types: np.ndarray) -> list[tuple[int, int]]:
+    """Stretches of tokens around notable ones, merged where they touch; examples are taken from them."""
+    on = np.zeros(len(types), bool)
+    at = np.flatnonzero(types >= len(PLAIN))
+    for k in range(-AROUND, AROUND + 1):
+        on[np.clip(at + k, 0, len(types) - 1)] = True
+    return _stretches(on)
 
 
 @dataclass
@@ -138,44 +140,44 @@ class Model:
             tags.append(came[tags[-1]])
         return tags[::-1]
 
-    def lead(self) -> float:
-        """By how much words without any notable neighbour are surely outside: their lead in score less what the steps
-        to their neighbours can give back. Above 0, no best tagging has them otherwise, so decoding the regions alone
-        equals decoding the whole text."""
-        plain = list(range(len(PLAIN)))
-        lead = min(sum((self.emit[k, plain, OUTSIDE] - self.emit[k, plain, y]).min() for k in range(len(WINDOW)))
-                   + (self.file[:, OUTSIDE] - self.file[:, y]).min() for y in (BEGIN, INSIDE))
-        give = max(max(self.step[a, y] - self.step[a, OUTSIDE] for a in range(3))
-                   + max(self.step[y, b] - self.step[OUTSIDE, b] for b in range(3)) for y in (BEGIN, INSIDE))
-        return float(lead - give)
-
-    @cached_property
-    def gap(self) -> bool:
-        return self.lead() > 0
-
-    def firm(self) -> Model:
-        """Plain words get as much of a prior for outside as a positive lead takes."""
-        emit = self.emit.copy()
-        emit[WINDOW.index(0), :len(PLAIN), OUTSIDE] += max(0.0, 0.1 - self.lead())
-        return Model(emit, self.file, self.step)
+    def tags(self, types: np.ndarray, kind: int) -> np.ndarray:
+        """The best tagging of a whole text. A token whose own score for outside leads by more than the steps to its
+        neighbours can give back is outside in every best tagging, whatever they are; Viterbi decodes the stretches
+        between such tokens, so the result is that of decoding the text in one piece."""
+        out = np.full(len(types), OUTSIDE)
+        if not len(types):
+            return out
+        s, step = self.scores(types, kind), self.step
+        sure = np.ones(len(types), bool)
+        for y in (BEGIN, INSIDE):
+            give = (step[:, y] - step[:, OUTSIDE]).max() + (step[y] - step[OUTSIDE]).max()
+            sure &= s[:, OUTSIDE] - s[:, y] > give + 1e-9
+        sure[[0, -1]] = False  # a step less
+        for a, b in _stretches(~sure):
+            part = s[a:b].copy()
+            if a > 0:
+                part[0] += step[OUTSIDE]
+            if b < len(types):
+                part[-1] += step[:, OUTSIDE]
+            out[a:b] = self.viterbi(part)
+        return out
 
 
 def tagged(text: str, model: Model) -> list[tuple[int, int]]:
     """Spans of the tokens tagged begin and those inside that follow."""
+    tags = model.tags(token_types(TOKEN.findall(text)), file_kind(text))
+    found = np.flatnonzero(tags != OUTSIDE)
+    if not len(found):
+        return []
+    spans = [m.span() for m in TOKEN.finditer(text)]
     out: list[tuple[int, int]] = []
-    last = -1
-    kind = file_kind(text)
-    for a, b in regions(text) if model.gap else [(0, len(text))]:
-        spans = [m.span() for m in TOKEN.finditer(text, a, b)]
-        if not spans:
-            continue
-        types = np.array([token_type(text[s:e]) for s, e in spans])
-        for (s, e), tag in zip(spans, model.viterbi(model.scores(types, kind))):
-            if tag == INSIDE and out and out[-1][1] == last:
-                out[-1] = (out[-1][0], e)
-            elif tag != OUTSIDE:
-                out.append((s, e))
-            last = e
+    last = -2
+    for k in found.tolist():
+        if tags[k] == INSIDE and k == last + 1:
+            out[-1] = (out[-1][0], spans[k][1])
+        else:
+            out.append(spans[k])
+        last = k
     return [(s, e) for s, e in out if e - s >= MIN_TAGGED]
 
 
@@ -196,13 +198,12 @@ def _examples(batches):
             secret = [(m.start(1), m.end(1)) for m in ASSIGN.finditer(text) if m.end(1) - m.start(1) >= 12]
             secret += [(s, e) for k, s, e in base_spans(text) if k != "assign" and not text[s:e].isdigit()]
             secret.sort()
-            for a, z in regions(text):
-                spans = [m.span() for m in TOKEN.finditer(text, a, z)]
-                inside = [any(s <= x and y <= e + 1 for s, e in secret) for x, y in spans]
+            whole = token_types(TOKEN.findall(text))
+            all_spans = [m.span() for m in TOKEN.finditer(text)]
+            for a, z in regions(whole):
+                inside = [any(s <= x and y <= e + 1 for s, e in secret) for x, y in all_spans[a:z]]
                 tags = [OUTSIDE if not i else INSIDE if k and inside[k - 1] else BEGIN for k, i in enumerate(inside)]
-                types = [token_type(text[x:y]) for x, y in spans]
-                if not spans:
-                    continue
+                types = whole[a:z].tolist()
                 # a secret's characters and the words before it are arbitrary: the same place with values of other
                 # alphabets and beginnings, half of them without the cues
                 out["types"].append(types)
@@ -265,7 +266,7 @@ def fit(types: list[np.ndarray], tags: list[np.ndarray], kinds: list[int], weigh
             mean[j] = 0.9 * mean[j] + 0.1 * g
             square[j] = 0.999 * square[j] + 0.001 * g * g
             theta[j] = theta[j] + 0.1 * (mean[j] / (1 - 0.9 ** r)) / (np.sqrt(square[j] / (1 - 0.999 ** r)) + 1e-8)
-    return Model(*theta).firm()
+    return Model(*theta)
 
 
 def _fit(rows: pd.DataFrame) -> pd.DataFrame:
@@ -302,8 +303,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
 def find_secrets(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, spans: array of kind, start, end and the text found; one row per row of docs, spans by start, then kind.
 
-    Base spans always stay. The model tags the tokens around notable places as secret begin, inside or outside with the
-    Viterbi algorithm; a tagged span that overlaps no base span is added as 'tagged'. Null and empty texts give an empty
+    Base spans always stay. The model tags all tokens as secret begin, inside or outside with the Viterbi algorithm; a tagged span that overlaps no base span is added as 'tagged'. Null and empty texts give an empty
     array, a null id stays null, repeated rows give repeated results, empty input gives an empty result; without a model
     only base spans are given. Each text is read once and nothing is shuffled."""
     def run(batches):

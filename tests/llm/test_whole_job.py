@@ -1,0 +1,51 @@
+"""Cases in which operators once did less than the whole job."""
+import random
+import string
+
+import numpy as np
+
+from filigrane.llm import secret_scan
+
+
+def random_token(rng):
+    letters, many = string.ascii_letters, string.ascii_letters + string.digits
+    pick = lambda pool, n: "".join(rng.choices(pool, k=n))
+    n = rng.randint(1, 45)
+    return rng.choice([
+        lambda: pick(string.ascii_lowercase, rng.randint(1, 9)), lambda: pick(string.ascii_lowercase, rng.randint(1, 9)),
+        lambda: pick(string.ascii_lowercase, n).capitalize(), lambda: pick(string.ascii_uppercase, n), lambda: pick(letters, n),
+        lambda: pick(letters, 5) + "/" + pick(letters, n) + "+" + pick(letters, 4), lambda: pick(many, n),
+        lambda: pick(string.digits, n), lambda: pick("0123456789abcdef", n), lambda: rng.choice(secret_scan.PREFIXES) + pick(letters, n),
+        lambda: rng.choice(secret_scan.CUES), lambda: rng.choice('=:".,;!_')])()
+
+
+def test_decoding_equals_whole_text_viterbi():
+    """Texts of tokens of all types, many without digits or signs, under weights of any leaning to outside."""
+    rng, gen = random.Random(7), np.random.default_rng(7)
+    some = cuts = 0
+    for k in range(150):
+        lean = np.array([rng.choice([0, 3, 6, 12]), 0, 0])
+        m = secret_scan.Model(gen.normal(size=(4, secret_scan.TYPES, 3)), gen.normal(size=(4, 3)) + lean, gen.normal(size=(3, 3)))
+        text = " ".join(random_token(rng) for _ in range(rng.randint(0, 120)))
+        spans = [x.span() for x in secret_scan.TOKEN.finditer(text)]
+        tags = m.viterbi(m.scores(np.array([secret_scan.token_type(text[a:b]) for a, b in spans]), secret_scan.file_kind(text))) if spans else []
+        want = []
+        for j, ((a, b), tag) in enumerate(zip(spans, tags)):
+            if tag == secret_scan.INSIDE and j and tags[j - 1] != secret_scan.OUTSIDE:
+                want[-1] = (want[-1][0], b)
+            elif tag != secret_scan.OUTSIDE:
+                want.append((a, b))
+        assert secret_scan.tagged(text, m) == [(a, b) for a, b in want if b - a >= secret_scan.MIN_TAGGED], text
+        some += bool(want)
+        cuts += secret_scan.OUTSIDE in tags and bool(want)
+    assert some > 50 and cuts > 50
+
+
+def test_letters_alone_are_scored():
+    emit = np.zeros((4, secret_scan.TYPES, 3))
+    emit[2, :, secret_scan.OUTSIDE] = 20.0
+    for word in ("QwErTyUiOpAsDfGhJkLzXcVb", "abCd/EfGh+IjkLmNoPq", "sk-abcdefghijklm", "AIzaabcdefghijkl"):
+        emit[2, secret_scan.token_type(word), secret_scan.BEGIN] = 60.0
+        text = f"please use {word} for now"
+        got = secret_scan.tagged(text, secret_scan.Model(emit, np.zeros((4, 3)), np.zeros((3, 3))))
+        assert [text[a:b] for a, b in got] == [word]
