@@ -181,6 +181,23 @@ def tagged(text: str, model: Model) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out if e - s >= MIN_TAGGED]
 
 
+def beyond(text: str, start: int, end: int, own: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """What a span covers outside the base spans, without the blanks and signs at the cuts; a piece that holds no letter or
+    digit is left out."""
+    cuts = sorted((s, e) for _, s, e in own if s < end and start < e)
+    out, at = [], start
+    for s, e in [*cuts, (end, end)]:
+        a, b = at, s
+        while a < b and at > start and not text[a].isalnum():
+            a += 1
+        while a < b and s < end and not text[b - 1].isalnum():
+            b -= 1
+        if any(c.isalnum() for c in text[a:b]):
+            out.append((a, b))
+        at = max(at, e)
+    return out
+
+
 _MANY = string.ascii_letters + string.digits
 MADE = [("", _MANY + "+/"), ("", _MANY), ("", string.hexdigits[:16]), ("", string.ascii_uppercase + string.digits)] + [
     (p, _MANY) for p in PREFIXES]
@@ -303,7 +320,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
 def find_secrets(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, spans: array of kind, start, end and the text found; one row per row of docs, spans by start, then kind.
 
-    Base spans always stay. The model tags all tokens as secret begin, inside or outside with the Viterbi algorithm; a tagged span that overlaps no base span is added as 'tagged'. Null and empty texts give an empty
+    Base spans always stay. The model tags all tokens as secret begin, inside or outside with the Viterbi algorithm; what a tagged span covers beyond the base spans is added as 'tagged'. Null and empty texts give an empty
     array, a null id stays null, repeated rows give repeated results, empty input gives an empty result; without a model
     only base spans are given. Each text is read once and nothing is shuffled."""
     def run(batches):
@@ -313,7 +330,7 @@ def find_secrets(docs: DataFrame, model: Model | None, id_col: str = "doc_id", t
                 text = t.as_py()
                 own = base_spans(text)
                 if model:
-                    more = [("tagged", s, e) for s, e in tagged(text, model) if not any(s < y and x < e for _, x, y in own)]
+                    more = [("tagged", s, e) for a, b in tagged(text, model) for s, e in beyond(text, a, b, own)]
                     own = sorted(own + more, key=lambda s: (s[1], KINDS.index(s[0])))
                 out.append([{"kind": k, "start": s, "end": e, "found": text[s:e]} for k, s, e in own])
             yield {"_id": b.column(0), "spans": out}
