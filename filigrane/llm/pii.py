@@ -26,7 +26,14 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=\x20?[A-Z0-9])")
+IBAN_SIGN = re.compile(r"\x20?[A-Z0-9]")
+#: Lengths by country (ISO 13616 registry); a country that is not listed may have any of 15 to 34.
+IBAN_LENGTHS = {c: int(n) for n, cs in (x.split(":") for x in (
+    "15:NO 16:BE 18:DK,FI,FK,FO,GL,NL,SD 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,MN,XK 21:CH,HR,LI,LV "
+    "22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA 23:AE,GI,IL,IQ,OM,SO,TL 24:AD,CZ,ES,MD,PK,SA,SE,SK,TN,VG,RO 25:LY,PT,ST 26:IS,TR "
+    "27:BI,DJ,FR,GR,IT,MC,MR,SM 28:AL,AZ,BY,CY,DO,GT,HN,HU,LB,NI,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE 31:MT,SC 32:LC "
+    "33:RU").split()) for c in cs.split(",")}
 SSN = re.compile(r"(?<![0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])")
 WORD = re.compile(r"[a-z-]+")
 #: Characters on either side of a span that count as nearby.
@@ -83,10 +90,22 @@ def _phones(text: str):
 
 
 def _ibans(text: str):
-    for m in IBAN.finditer(text):
-        code = m[0].replace(" ", "")
-        if 15 <= len(code) <= 34 and mod97(code):
-            yield m.span()
+    """From each start the end at the length of its country, or for countries not listed the shortest end, that is not
+    inside a word and for which mod 97 holds; the scan goes on behind it, or behind a start that has none."""
+    at = 0
+    while m := IBAN.search(text, at):
+        at = end = m.end()
+        code = m[0]
+        least = IBAN_LENGTHS.get(code[:2], 15)
+        most = IBAN_LENGTHS.get(code[:2], 34)
+        while len(code) < most and (sign := IBAN_SIGN.match(text, end)):
+            end = sign.end()
+            code += text[end - 1]
+            after = text[end:end + 1]
+            if len(code) >= least and not (after.isascii() and after.isalnum()) and mod97(code):
+                yield m.start(), end
+                at = end
+                break
 
 
 def _ssns(text: str):

@@ -4,7 +4,7 @@ import string
 
 import numpy as np
 
-from filigrane.llm import secret_scan
+from filigrane.llm import pii, secret_scan
 
 
 def random_token(rng):
@@ -69,3 +69,17 @@ def test_secrets_beside_base_spans(spark):
                    [("tagged", key), ("access", access), ("tagged", key)],
                    [("tagged", "Zk"), ("hex", "0123456789abcdef0"), ("tagged", "Qw7")], [("assign", f'api_key = "{key}')]]
     assert secret_scan.beyond("a b", 0, 3, []) == [(0, 3)]
+
+
+def test_iban_before_other_words():
+    """What follows a valid IBAN does not hide it, nor does a start that fails hide the next one."""
+    found = lambda t: [t[a:b] for k, a, b, _ in pii.spans(t) if k == "iban"]
+    de, gb, no = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947"
+    unlisted = "ZZ" + f"{98 - int('1234567890123456' + '3535' + '00') % 97:02d}" + "1234567890123456"
+    for code in (de, gb, no, de.replace(" ", ""), unlisted):
+        for after in (" BIC COBADEFFXXX", " 2024", " 100 EUR", " A", ". Next", "", f" {gb}", "号"):
+            t = f"IBAN {code}{after}"
+            assert found(t) == [code] + [gb] * (gb in after), t
+    assert found(f"bank XY12 {de}") == [de]
+    assert found(f"bank {de[:-1]}1 {gb}") == [gb]
+    assert found(f"bank {de}X") == [] and found(f"bank x{de}") == []
