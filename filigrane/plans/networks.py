@@ -259,7 +259,7 @@ def itr07(spark, sf):
         "round(1e6D / (count(1) * avg(1 / power(greatest(1 + l_quantity / 10, 1e-3D), 4))), 6)").alias("g"))
 
 
-ROUNDS = 6
+ROUNDS = 6  # of the SQL alone: the queries solve to a residual, so they differ from it where six rounds are too few
 oracle.define("cond", ("vessels",), "select *, power(r, 4) / length as g from vessels")
 oracle.define("p0", ("nodes",), "select nid, pressure is not null as fixed, coalesce(pressure, 0.5) as p from nodes")
 for _k in range(1, ROUNDS + 1):
@@ -276,7 +276,7 @@ oracle.define("flow", ("cond", f"p{ROUNDS}"), f"""
 
 def _flow(spark, sf):
     e = checkpointed(V.vessels(spark, sf).withColumn("g", F.expr("power(r, 4) / length")))
-    p = checkpointed(N.relax_pressure(V.nodes(spark, sf), e, ROUNDS))
+    p = checkpointed(N.relax_pressure(V.nodes(spark, sf), e))
     return p, checkpointed(N.orient(e, p))
 
 
@@ -289,7 +289,7 @@ def itr06(spark, sf):
   select f.vid, u, v, round(flow, 6) as flow, back, flow < 0.001 * m as stagnant
   from flow f join (select scene_id, median(flow) as m from flow group by scene_id) t on t.scene_id = f.scene_id""")
 def itr06_flow(spark, sf):
-    """Flows after the relaxation, edges turned downstream, those far below their scene's median marked."""
+    """Flows at the solved pressures, edges turned downstream, those far below their scene's median marked."""
     _, f = _flow(spark, sf)
     m = quantiles(f, ["scene_id"], "flow", {"m": 0.5})
     return f.join(m, "scene_id").selectExpr("vid", "u", "v", "round(flow, 6) as flow", "back",
