@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filigrane.llm import copies, decontaminate, forest, language, lines, middle, mixing, pii, repeats, secret_scan, shards
+from filigrane.llm import copies, decontaminate, forest, language, lines, middle, mixing, pii, repeats, search, secret_scan, shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -216,3 +216,21 @@ def op11(spark, sf):
     out = middle.fill_in_middle(documents(spark, sf))
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
                       F.sha2(middle.restored("output", "form"), 256).alias("restored_sha256"))
+
+
+@query("op12_ranked_search", r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[0-9a-z\x{80}-\x{10FFFF}]+') AS ws FROM documents),
+p AS (SELECT r, doc_id, w, count(*) AS tf FROM (SELECT r, doc_id, unnest(ws) AS w FROM d) GROUP BY ALL),
+l AS (SELECT r, sum(tf)::BIGINT AS n FROM p GROUP BY r),
+c AS (SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM l),
+f AS (SELECT w, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM p, c GROUP BY w, docs),
+i AS (SELECT DISTINCT k, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[0-9a-z\x{80}-\x{10FFFF}]+')) AS w FROM (SELECT row_number() OVER () AS k, * FROM benchmark)),
+s AS (SELECT k, item_id, r, doc_id,
+             sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // total))))::BIGINT AS score
+      FROM i JOIN f USING (w) JOIN p USING (w) JOIN l USING (r), c GROUP BY k, item_id, r, doc_id),
+o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, doc_id NULLS FIRST)::INT AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 10""")
+def op12(spark, sf):
+    return search.rank_documents(spark.read.parquet(f"{sf}/benchmark.parquet"), documents(spark, sf))
