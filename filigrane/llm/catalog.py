@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filigrane.llm import copies, decontaminate, forest, language, lines, middle, mixing, pii, repeats, search, secret_scan, shards
+from filigrane.llm import copies, decontaminate, forest, language, licences, lines, middle, mixing, pii, repeats, search, secret_scan, shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -234,3 +234,18 @@ o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, doc_id NU
 SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 10""")
 def op12(spark, sf):
     return search.rank_documents(spark.read.parquet(f"{sf}/benchmark.parquet"), documents(spark, sf))
+
+
+@query("op13_license_scan")
+def op13(spark, sf):
+    out = licences.scan_licences(documents(spark, sf))
+    labels = lambda c: F.transform(c, lambda x: x.label)
+    base_labels = labels(F.col("places"))
+    best = F.array_max(F.concat(F.transform("matches", lambda m: m.score),
+                                F.transform("places", lambda _: F.lit(licences.PHRASE_SCORE)), F.array(F.lit(0.0))))
+    return out.select("doc_id", "n_words", F.size("places").cast("long").alias("n_base"),
+                      F.array_min(F.transform("places", lambda p: p.start)).alias("first_word"),
+                      F.array_max(F.transform("places", lambda p: p.start)).alias("last_word"),
+                      F.array_join(F.array_sort(F.array_distinct(base_labels)), ",").alias("base_labels"),
+                      F.array_join(F.array_sort(F.array_distinct(F.concat(base_labels, labels(F.col("matches"))))), ",").alias("labels"),
+                      best.alias("score"), "matches")
