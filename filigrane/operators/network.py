@@ -152,8 +152,8 @@ def bottom_up(tree: DataFrame, leaf: str, aggs: dict, combine: str, value: str =
 
 def relax_pressure(nodes: DataFrame, edges: DataFrame, eps: float = 1e-13, rounds: int = 2000) -> DataFrame:
     """Pressures of the free nodes as conductance-weighted means of their neighbours, the boundary held; nodes that no
-    held node reaches keep 0.5. Solved until no node differs from that mean by eps or more; raises when `rounds` do not
-    get there. nodes: nid, pressure and scene_id, which no edge crosses; edges: u, v, g.
+    held node reaches keep 0.5. Solved until no node differs from that mean by eps times the largest held pressure (both are
+    pressures, so neither the size of the network nor the scale of g enters); raises when `rounds` do not get there. nodes: nid, pressure and scene_id, which no edge crosses; edges: u, v, g.
 
     Conjugate gradients with the diagonal as preconditioner, all scenes at once: a round is one join with the neighbours
     and two sums per scene (Chronopoulos and Gear's form). Every answer is checked against the edges themselves."""
@@ -162,6 +162,7 @@ def relax_pressure(nodes: DataFrame, edges: DataFrame, eps: float = 1e-13, round
     e = checkpointed(e.groupBy("nid", "other").agg(F.sum("g").alias("g")))
     x = checkpointed(nodes.selectExpr("nid", "scene_id", "pressure is not null as fixed", "coalesce(pressure, 0.5D) as p"))
     free = x.where("not fixed").select("nid")
+    eps *= x.agg(F.expr("max(case when fixed then abs(p) end)")).first()[0] or 1.0
     inner = checkpointed(e.join(free, "nid", "left_semi").join(free.withColumnRenamed("nid", "other"), "other", "left_semi"))
     left, off = rounds, None
     while True:
@@ -196,13 +197,14 @@ def relax_pressure(nodes: DataFrame, edges: DataFrame, eps: float = 1e-13, round
 
 
 def orient(edges: DataFrame, pressure: DataFrame) -> DataFrame:
-    """Flow g (P_u - P_v) of every edge, turned downstream; ties go by node number."""
+    """Flow g (P_u - P_v) of every edge, turned downstream; drops below 1e-10, which is what solved pressures are good for,
+    are ties: they go by node number and carry no flow."""
     pu = pressure.selectExpr("nid as u", "p as pu")
     pv = pressure.selectExpr("nid as v", "p as pv")
     d = edges.join(pu, "u").join(pv, "v").withColumn("dp", F.expr("pu - pv"))
-    d = d.withColumn("back", F.expr("case when abs(dp) > 1e-12 then dp < 0 else u > v end"))
+    d = d.withColumn("back", F.expr("case when abs(dp) > 1e-10D then dp < 0 else u > v end"))
     return d.selectExpr("vid", "scene_id", "case when back then v else u end as u", "case when back then u else v end as v",
-                        "abs(g * dp) as flow", "back")
+                        "case when abs(dp) > 1e-10D then abs(g * dp) else 0.0D end as flow", "back")
 
 
 def shortest(edges: DataFrame, sources: DataFrame, limit: float) -> DataFrame:
