@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filigrane.llm import copies, decontaminate, forest, language, licences, lines, middle, mixing, pii, repeats, search, secret_scan, shards
+from filigrane.llm.common import digest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -138,7 +139,7 @@ SHARDS = 24
 def sharding(docs: DataFrame) -> DataFrame:
     """Documents lie in a space of source, language, length and id."""
     return shards.shard(docs, [("source", shards.hashed(F.col("source"))), ("lang", shards.hashed(F.col("lang"))),
-                               ("length", shards.magnitude(F.length("text"))), ("id", shards.hashed(F.col("doc_id")))], SHARDS)
+                               ("length", shards.magnitude(F.length("text"))), ("id", shards.hashed(F.coalesce(F.col("doc_id").cast("string"), digest())))], SHARDS)
 
 
 @query("op9_sharding")

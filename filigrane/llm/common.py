@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from filigrane.session import checkpointed, shared_folder
 
-__all__ = ["NO_ID", "base", "blocks", "checkpointed", "groups", "id_out", "map_arrow", "release", "scratch"]
+__all__ = ["NO_ID", "base", "blocks", "checkpointed", "digest", "groups", "id_out", "kept_rows", "map_arrow", "release", "scratch"]
 
 NO_ID = -(2 ** 63)
 
@@ -32,6 +32,23 @@ def id_out(name: str = "doc_id", column: str = "_id") -> Column:
     return F.nullif(F.col(column), F.lit(NO_ID)).alias(name)
 
 
+def digest(text_col: str = "text") -> Column:
+    """What tells rows of one id, or without an id, apart."""
+    return F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+
+
+def kept_rows(docs: DataFrame, keep: DataFrame, id_col: str, key: Column) -> DataFrame:
+    """The rows of docs, all columns, whose id and key stand in `keep` (_id, _td, _m, each pair once). Where _m rows are
+    equal in both and _m is above 1, one of them stays."""
+    keep = checkpointed(keep)
+    rows = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), key.alias("_td"))
+    if keep.where("_m > 1").isEmpty():
+        return rows.join(keep, ["_id", "_td"], "left_semi").select("_row.*")
+    found = rows.join(keep, ["_id", "_td"])
+    one = found.where("_m > 1").groupBy("_id", "_td").agg(F.first("_row").alias("_row"))  # combined in each task first
+    return found.where("_m = 1").select("_row.*").unionByName(one.select("_row.*"))
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[dict]], schema: str) -> DataFrame:
     """mapInArrow for functions that yield plain {column: values}; columns get the types of the schema."""
     names = [f.split()[0] for f in _fields(schema)]

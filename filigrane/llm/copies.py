@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filigrane.llm.common import base, checkpointed
+from filigrane.llm.common import NO_ID, base, checkpointed, kept_rows
 
 SALTS = 16
 #: The blanks that count as one space.
@@ -37,8 +37,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
-    """The rows of docs, all columns, that stay."""
-    keep = exact_groups(docs, id_col, text_col, salts).where("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, docs[id_col].eqNullSafe(keep["_keep"]), "left_semi")
-
+    """One row of docs, all columns, of each group of equal texts: one with the smallest id, also where rows repeat an id or
+    have none."""
+    keep = (exact_groups(docs, id_col, text_col, salts).where("kept").groupBy("doc_id", F.col("text_sha256").alias("_td"))
+            .agg(F.count(F.lit(1)).alias("_m")).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), "_td", "_m"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return kept_rows(docs, keep, id_col, F.sha2(F.regexp_replace(text, BLANKS, " "), 256))
 

@@ -1,6 +1,7 @@
 """Benchmark decontamination: a BM25 index of the test items, block-max WAND per training passage, exact overlap."""
 from __future__ import annotations
 
+import hashlib
 import re
 from dataclasses import dataclass
 
@@ -9,7 +10,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filigrane.llm.common import base, blocks, checkpointed, id_out, map_arrow
+from filigrane.llm.common import NO_ID, base, blocks, checkpointed, digest, id_out, map_arrow
 from filigrane.llm.words import SHINGLE, hash_words, shingles
 
 K1, B = 1.2, 0.75
@@ -206,7 +207,7 @@ def _retrieve(index, threshold: float, overlap: float):
         for ids, texts in blocks(batches):
             w, at = hash_words(texts)
             term = ix.lookup(w)
-            out: dict[str, list] = {"_id": [], "item": [], "score": [], "question": [], "answer": []}
+            out: dict[str, list] = {"_id": [], "_td": [], "item": [], "score": [], "question": [], "answer": []}
             best: dict[tuple[int, int], tuple] = {}
             for d, lo, hi in ix.passages(term, at, threshold):
                 t = term[lo:hi]
@@ -215,7 +216,7 @@ def _retrieve(index, threshold: float, overlap: float):
                     if ok and (score, *ok) > best.get((d, item), ()):
                         best[d, item] = (score, *ok)
             for (d, item), found in best.items():
-                for name, v in zip(out, (ids[d], ix.items[item].id, *found)):
+                for name, v in zip(out, (ids[d], hashlib.md5(texts[d].encode()).hexdigest(), ix.items[item].id, *found)):
                     out[name].append(v)
             if out["_id"]:
                 yield out
@@ -224,7 +225,7 @@ def _retrieve(index, threshold: float, overlap: float):
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
           item_text: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
-    """_id, item, score, question, answer: a row for each benchmark item that a document contains.
+    """_id, _td (md5 of the text), item, score, question, answer: a row for each benchmark item that a document contains.
 
     Items with a null id or text or without words are left out. Terms weigh by their document frequency in all of docs.
     The passages of a document are windows of twice the longest item's words that overlap by half, so any item lies
@@ -237,29 +238,29 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         df = (map_arrow(rows, _frequencies(terms), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect())
         index = Index(items, {int(terms[r["term"]]): r["n"] for r in df}, rows.count())
         found = map_arrow(rows, _retrieve(spark.sparkContext.broadcast(cloudpickle.dumps(index)), threshold, overlap),
-                          "_id long, item long, score double, question double, answer double")
+                          "_id long, _td string, item long, score double, question double, answer double")
         out = checkpointed(found if out is None else out.unionByName(found))
     if out is None:
-        return spark.createDataFrame([], "_id long, item long, score double, question double, answer double")
+        return spark.createDataFrame([], "_id long, _td string, item long, score double, question double, answer double")
     return out
 
 
 def judge(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """doc_id, contaminated, n_items, items (ascending, comma-joined), score (the best): one row per row of docs.
 
-    Null and empty texts are clean. Rows that share an id share their verdict. Without usable benchmark items all
+    Null and empty texts are clean. Rows that share an id, or have none, are judged each by its own text. Without usable benchmark items all
     documents are clean. Empty input gives an empty result."""
-    hits = (leaks(docs, benchmark, id_col, text_col, **options).groupBy("_id")
+    hits = (leaks(docs, benchmark, id_col, text_col, **options).groupBy("_id", "_td")
             .agg(F.array_join(F.array_sort(F.collect_set("item")), ",").alias("items"),
                  F.count_distinct("item").alias("n_items"), F.max("score").alias("score")))
-    ids = base(docs, id_col, text_col).select("_id")
-    return (ids.join(hits, "_id", "left")
+    ids = base(docs, id_col, text_col).select("_id", digest("_text").alias("_td"))
+    return (ids.join(hits, ["_id", "_td"], "left")
             .select(id_out(), F.col("items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).alias("n_items"),
                     F.coalesce("items", F.lit("")).alias("items"), F.coalesce("score", F.lit(0.0)).alias("score")))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs, all columns, that hold no benchmark item."""
-    bad = leaks(docs, benchmark, id_col, text_col, **options).select("_id").distinct()
-    key = F.coalesce(docs[id_col].cast("long"), F.lit(-(2 ** 63)))
-    return docs.join(bad, key == bad["_id"], "left_anti")
+    bad = leaks(docs, benchmark, id_col, text_col, **options).select("_id", "_td").distinct()
+    key = F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID))
+    return docs.join(bad, (key == bad["_id"]) & (digest(text_col) == bad["_td"]), "left_anti")

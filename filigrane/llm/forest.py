@@ -1,13 +1,15 @@
 """N-gram Jaccard join: a MinHash LSH forest proposes groups, pairs inside them are verified exactly."""
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filigrane.llm.common import base, blocks, checkpointed, groups, id_out, map_arrow
+from filigrane.llm.common import base, blocks, checkpointed, digest, groups, id_out, kept_rows, map_arrow
 from filigrane.llm.words import SHINGLE, hash_words, mix, shingles
 from filigrane.operators.network import connected_components
 
@@ -78,7 +80,7 @@ def _sign(signer: Signer):
         for ids, texts in blocks(batches):
             w, at = hash_words(texts)
             nodes = signer.nodes(w, at).view(np.int64)
-            yield {"_id": ids, "n": np.diff(at),
+            yield {"_id": ids, "_td": [hashlib.md5(t.encode()).hexdigest() for t in texts], "n": np.diff(at),
                    "_c": [xxhash.xxh3_128_digest(w[a:b].tobytes()) if b > a else None for a, b in zip(at, at[1:])],
                    "nodes": pa.FixedSizeListArray.from_arrays(nodes.ravel(), signer.trees).cast(pa.list_(pa.int64()))}
     return run
@@ -199,11 +201,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A text without words has no links and is its own class. A null id sorts first. Rows that repeat an id and a text
     are copies; rows that repeat an id with other texts are texts of their own. Empty input gives an empty result."""
+    signed, verdict = _classes(docs, id_col, text_col, similarity, trees, recall)
+    return (signed.select("_id", "_c").join(verdict.drop("td", "m", "wins"), "_c", "left")
+            .withColumn("copy", F.coalesce("copy", "_id")).withColumn("class", F.coalesce("class", "copy"))
+            .select(id_out(), id_out("copy_of", "copy"), id_out("class_id", "class"),
+                    F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float, trees: int, recall: float) -> tuple[DataFrame, DataFrame]:
+    """The rows with the digests of their words and text, and for each digest of words: the smallest id (copy) with the
+    digest of its text (td) and the number of such rows (m), its class, links, and whether it stands for its class."""
     length = prefix_length(similarity, trees, recall=recall)
     signer = Signer(trees, length)
     rows = base(docs, id_col, text_col)
-    signed = checkpointed(map_arrow(rows, _sign(signer), "_id long, n long, _c binary, nodes array<long>"))
-    reps = checkpointed(signed.where("_c is not null").groupBy("_c").agg(F.min(F.struct("_id", "n", "nodes")).alias("r"))
+    signed = checkpointed(map_arrow(rows, _sign(signer), "_id long, _td string, n long, _c binary, nodes array<long>"))
+    rows_of = (signed.where("_c is not null").groupBy("_c", "_id", "_td")
+               .agg(F.count(F.lit(1)).alias("m"), F.first("n").alias("n"), F.first("nodes").alias("nodes")))
+    reps = checkpointed(rows_of.groupBy("_c").agg(F.min(F.struct("_id", "_td", "m", "n", "nodes")).alias("r"))
                         .select("_c", "r.*"))
     placed = reps.select("_c", "_id", "n", F.posexplode("nodes").alias("tree", "node"))
     crowded = (placed.groupBy("node").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("w"), F.min("tree").alias("tree"),
@@ -221,17 +235,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comp = connected_components(links.where("_c <> root").select(F.col("_c").alias("src"), F.col("root").alias("dst")).distinct())
     counts = links.groupBy("_c").agg(F.sum("links").alias("n_links"))
     known = (counts.join(comp.withColumnRenamed("node", "_c"), "_c").join(reps.select("_c", "_id"), "_c"))
-    first = known.groupBy("comp").agg(F.min("_id").alias("class"))
-    verdict = checkpointed(reps.select("_c", F.col("_id").alias("copy")).join(
-        known.join(first, "comp").select("_c", "class", "n_links"), "_c", "left"))
-    return (signed.select("_id", "_c").join(verdict, "_c", "left")
-            .withColumn("copy", F.coalesce("copy", "_id")).withColumn("class", F.coalesce("class", "copy"))
-            .select(id_out(), id_out("copy_of", "copy"), id_out("class_id", "class"),
-                    F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
+    first = known.groupBy("comp").agg(F.min(F.struct("_id", "_c")).alias("first"))
+    linked = known.join(first, "comp").select("_c", F.col("first._id").alias("class"), "n_links", (F.col("first._c") == F.col("_c")).alias("wins"))
+    verdict = checkpointed(reps.select("_c", F.col("_id").alias("copy"), F.col("_td").alias("td"), "m").join(linked, "_c", "left")
+                           .withColumn("wins", F.coalesce("wins", F.lit(True))))
+    return signed, verdict
 
 
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs, all columns, whose id is the smallest of its class."""
-    keep = (near_duplicates(docs, id_col, text_col, **options)
-            .where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_keep")).distinct())
-    return docs.join(keep, docs[id_col].eqNullSafe(keep["_keep"]), "left_semi")
+    """One row of docs, all columns, of each class: one with its smallest id, also where rows repeat an id or have none. Rows
+    without words all stay."""
+    signed, verdict = _classes(docs, id_col, text_col, **({"similarity": SIMILARITY, "trees": TREES, "recall": RECALL} | options))
+    keep = verdict.where("wins").select(F.col("copy").alias("_id"), F.col("td").alias("_td"), F.col("m").alias("_m"))
+    blank = signed.where("_c is null").select("_id", "_td", F.lit(1).cast("long").alias("_m")).distinct()
+    return kept_rows(docs, keep.unionByName(blank), id_col, digest(text_col))

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from filigrane.llm.common import checkpointed
+from filigrane.llm.common import checkpointed, digest
 
 #: Rows of a leaf that one window of the running token count sorts.
 CHUNK = 4096
@@ -50,13 +50,14 @@ def mix(docs: DataFrame, levels: Sequence[tuple[str, Column]], weights: Sequence
     count is over hash chunks, so that a leaf with a third of all rows is spread out; the texts are never shuffled.
 
     Null texts and texts without tokens cost nothing and come with every epoch of which their leaf takes any token
-    before or at their place. Repeated rows of one id share a place and are taken or left together (the last ones may
-    then go over the budget by their repeats). Empty input, or a budget of 0, gives an empty result."""
+    before or at their place. Rows without an id are placed by their text. Rows that repeat an id follow each other in
+    the order of their texts' md5; rows equal in id and text are taken or left together, and share equally what is left
+    for them at the cut. Empty input, or a budget of 0, gives an empty result."""
     names = [n for n, _ in levels]
     own = {c: F.coalesce(e.cast("string"), F.lit("")).alias(f"_l_{c}") for c, e in levels}
     cols = [f"_l_{c}" for c in names]
     keyed = docs.select(F.struct(*[docs[c] for c in docs.columns if c != "_mix"]).alias("_row"), *own.values(), words(text_col).alias("_tok"),
-                        F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("_key"))
+                        F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null "), digest(text_col))).alias("_key"), digest(text_col).alias("_td"))
     slim = checkpointed(keyed.drop("_row"))
     leaf = slim.groupBy(*cols).agg(F.sum("_tok").alias("_size"), F.count(F.lit(1)).alias("_rows"))
     leaf = checkpointed(leaf.withColumn("_cap", F.col("_size") * max_epochs))
@@ -78,7 +79,7 @@ def mix(docs: DataFrame, levels: Sequence[tuple[str, Column]], weights: Sequence
     plan = checkpointed(plan)
 
     def place(epoch: Column) -> Column:
-        return F.md5(F.concat_ws("|", F.lit(seed), epoch, "_key"))
+        return F.concat(F.md5(F.concat_ws("|", F.lit(seed), epoch, "_key")), F.col("_td"))
 
     part = (slim.join(plan.where("_rest > 0"), cols).withColumn("_place", place(F.col("_whole")))
             .withColumn("_chunk", F.expr("shiftright(cast(conv(substring(_place, 1, 8), 16, 10) as long), 32 - _bits)")))
@@ -88,9 +89,9 @@ def mix(docs: DataFrame, levels: Sequence[tuple[str, Column]], weights: Sequence
              .where("_before < _rest and _before + _sum >= _rest").select(*cols, "_chunk", "_before"))
     inner = Window.partitionBy(*cols, "_chunk").orderBy("_place")
     ends = (part.join(cross, [*cols, "_chunk"])
-            .groupBy(*cols, "_chunk", "_place", "_before", "_rest").agg(F.sum("_tok").alias("_tok"))
+            .groupBy(*cols, "_chunk", "_place", "_before", "_rest").agg(F.sum("_tok").alias("_tok"), F.count(F.lit(1)).alias("_m"))
             .withColumn("_upto", F.col("_before") + F.sum("_tok").over(inner)).where("_upto - _tok < _rest and _upto >= _rest")
-            .select(*cols, F.col("_place").alias("_last"), F.expr("_rest - (_upto - _tok)").alias("_left")))
+            .select(*cols, F.col("_place").alias("_last"), F.expr("(_rest - (_upto - _tok)) div _m").alias("_left")))
     cuts = checkpointed(plan.join(ends, cols, "left").select(*cols, "_whole", "_last", "_left"))
     taken = (keyed.join(cuts, cols)
              .withColumn("_place", place(F.col("_whole")))

@@ -54,16 +54,13 @@ def mod97(code: str) -> bool:
 
 
 def _emails(text: str):
-    done = at = 0
+    done = at = 0  # a local part begins behind the last match and behind the last @, so each character is copied once
     while (at := text.find("@", at)) >= 0:
-        left = text[done:at]
-        start = done + len(left.rstrip(LOCAL))
+        start = done + len(text[done:at].rstrip(LOCAL))
         m = DOMAIN.match(text, at + 1) if start < at else None
         if m:
             yield start, m.end()
-            done = at = m.end()
-        else:
-            at += 1
+        at = done = m.end() if m else at + 1
 
 
 def _small(part: str) -> bool:

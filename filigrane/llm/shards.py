@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from filigrane.llm.common import checkpointed
+from filigrane.llm.common import checkpointed, digest
 
 #: Coordinates lie in 0 .. SIDE - 1; ties along a dimension are ordered by a 32-bit hash of the id.
 SIDE = 1 << 20
@@ -105,7 +105,7 @@ def shard(docs: DataFrame, dims: Sequence[tuple[str, Column]], shards: int | Non
     of coordinates, at the exact weighted quantile, so sizes differ by no more than the rows at the cuts. Neither texts
     nor rows move for that: every level reads a slim table of coordinates and sends histograms.
 
-    A null text has no bytes, its crc is 0; a null id is hashed as 'null'. Rows that repeat an id share all coordinates
+    A null text has no bytes, its crc is 0; a row without an id is placed by the md5 of its text. Rows that repeat an id share all coordinates
     where their metadata is equal and then lie in one shard. Empty input gives an empty result; with fewer rows than
     shards some shards stay empty."""
     if (shards is None) == (target_bytes is None):
@@ -114,7 +114,7 @@ def shard(docs: DataFrame, dims: Sequence[tuple[str, Column]], shards: int | Non
     names = [f"_d{k}" for k in range(len(dims))]
     slim = checkpointed(docs.select(
         F.col(id_col).cast("long").alias("_id"), (F.octet_length(body) + 8).cast("long").alias("_size"), F.crc32(body).alias("_crc"),
-        F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).cast("binary")).alias("_tie"),
+        F.crc32(F.coalesce(F.col(id_col).cast("string"), digest(text_col)).cast("binary")).alias("_tie"),
         *[e.cast("long").alias(n) for n, (_, e) in zip(names, dims)]))
     rows, size = slim.agg(F.count(F.lit(1)), F.coalesce(F.sum("_size"), F.lit(0))).first()
     leaves = shards or max(1, -(-size // target_bytes))
