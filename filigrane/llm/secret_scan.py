@@ -1,10 +1,10 @@
 """Secret scans: fixed expressions give the base spans, a linear-chain conditional random field tags further ones."""
 from __future__ import annotations
 
-import math
+import random
 import re
 import string
-from collections import Counter
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filigrane.llm.common import base, id_out, map_arrow
+from filigrane.llm.common import base, checkpointed, digest, id_out, map_arrow
 
 #: Kinds in the order of results.
 KINDS = ("assign", "access", "hex", "tagged")
@@ -25,6 +25,7 @@ CUES = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "ke
 PREFIXES = ("AKIA", "ghp_", "sk-", "xox", "eyJ", "glpat-", "AIza")
 
 TOKEN = re.compile(r"[^\W_](?:[\w+/.-]*[^\W])?|_+|[^\w\s]")
+VOWELS = "aeiou"
 KEYWORDS = ("password", "passwd", "secret", "token", "api")
 #: Tagged spans shorter than this are no credible secrets.
 MIN_TAGGED = 8
@@ -37,8 +38,9 @@ PLAIN = ("lower", "cap", "upper", "mark")  # shapes whose length says nothing; t
 SIGNS = ("=", ":", '"')
 RICH = ("long upper", "mixed", "digits", "hex", "alnum", "rich")
 SIZES = (8, 12, 16, 24, 40)
+LEVELS = 3  # how little a token looks like words and numbers, see wildness
 SIMPLE = PLAIN + SIGNS + CUES + PREFIXES
-TYPES = len(SIMPLE) + len(RICH) * (len(SIZES) + 1) * 2
+TYPES = len(SIMPLE) + len(RICH) * (len(SIZES) + 1) * LEVELS
 FILES = 4  # kinds of texts: prose or dense in assignments, short or long
 WINDOW = (-2, -1, 0, 1)  # neighbours whose types a token's score sees
 
@@ -53,8 +55,40 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+def wildness(t: str) -> int:
+    """0 to 2: random strings change between digits, small and capital letters more often than names and numbers do, have
+    fewer vowels and longer runs of consonants, and capitals beside each other that start no word."""
+    last, caps, swaps, turns, pairs, vowels, letters, run, longest, small, big = "", 0, 0, 0, 0, 0, 0, 0, 0, 0, 0
+    for c in t:
+        if not c.isalnum():
+            run = 0
+            continue
+        kind = "d" if c.isdigit() else "u" if c.isupper() else "l"
+        if last and kind != last:
+            swaps += "d" in (kind, last)
+            turns += "d" not in (kind, last)
+        if kind == "l" and caps >= 2:
+            run = 0  # the end of an acronym
+        caps = caps + 1 if kind == "u" else 0
+        pairs += kind == "u" and caps > 1
+        last = kind
+        if kind == "d":
+            run = 0
+            continue
+        letters += 1
+        small += kind == "l"
+        big += kind == "u"
+        soft = c.lower() in VOWELS or not c.isascii()
+        vowels += soft
+        run = 0 if soft else run + 1
+        longest = max(longest, run)
+    signs = ((swaps >= 4) + (swaps >= 8) + (small >= 3 and big >= 3 and pairs >= 2 and turns >= 0.35 * (letters - 1))
+             + (letters >= 8 and vowels <= 0.27 * letters) + (longest >= 6))
+    return min(LEVELS - 1, signs)
+
+
 def token_type(t: str) -> int:
-    """Cue, known beginning, or shape with length and whether its characters are spread as evenly as random ones."""
+    """Cue, known beginning, or shape with length and wildness."""
     low = t.lower()
     if low in CUES or t in SIGNS:
         return SIMPLE.index(low)
@@ -66,16 +100,14 @@ def token_type(t: str) -> int:
         if t.islower() or t[1:].islower():
             return SIMPLE.index("lower" if t.islower() else "cap")
     n = len(t)
-    if n >= 12:
+    wild = wildness(t)
+    if n >= 12 and wild:
         for p in PREFIXES:
             if t.startswith(p):
                 return SIMPLE.index(p)
     shape = ("long upper" if t.isalpha() and t.isupper() else "mixed" if t.isalpha() else "digits" if t.isdigit()
              else "hex" if HEX_ONLY.fullmatch(t) else "alnum" if t.isalnum() else "rich")
-    spread = 0
-    if n >= 12:
-        spread = int(-sum(c / n * math.log2(c / n) for c in Counter(t).values()) >= 0.75 * math.log2(min(n, 36)))
-    return len(SIMPLE) + (RICH.index(shape) * (len(SIZES) + 1) + sum(n >= s for s in SIZES)) * 2 + spread
+    return len(SIMPLE) + (RICH.index(shape) * (len(SIZES) + 1) + sum(n >= s for s in SIZES)) * LEVELS + wild
 
 
 def file_kind(text: str) -> int:
@@ -178,7 +210,16 @@ def tagged(text: str, model: Model) -> list[tuple[int, int]]:
         else:
             out.append(spans[k])
         last = k
-    return [(s, e) for s, e in out if e - s >= MIN_TAGGED]
+    return [_padded(text, s, e) for s, e in out if e - s >= MIN_TAGGED]
+
+
+def _padded(text: str, s: int, e: int) -> tuple[int, int]:
+    """Signs of the base-64 alphabet at the edges, which begin or end no token, belong to the secret."""
+    while s > 0 and text[s - 1] in "+/":
+        s -= 1
+    while e < len(text) and text[e] in "+/=":
+        e += 1
+    return s, e
 
 
 def beyond(text: str, start: int, end: int, own: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
@@ -198,16 +239,95 @@ def beyond(text: str, start: int, end: int, own: list[tuple[str, int, int]]) ->
     return out
 
 
-_MANY = string.ascii_letters + string.digits
-MADE = [("", _MANY + "+/"), ("", _MANY), ("", string.hexdigits[:16]), ("", string.ascii_uppercase + string.digits)] + [
-    (p, _MANY) for p in PREFIXES]
-HARMLESS = (string.digits, string.digits, _MANY, string.ascii_lowercase)
-FIRM = {SIMPLE.index(x) for x in SIGNS + CUES}
+_LOW, _UP, _NUM = string.ascii_lowercase, string.ascii_uppercase, string.digits
+_MANY = _LOW + _UP + _NUM
+WIDTH = 14  # tokens of a training sequence, at most
+#: Training sequences without a secret, at most; those left out are made up for by weight. And secrets and look-alikes
+#: made up for each document of the sample.
+MAX_OUTSIDE, MADE = 12_000, 2
+
+
+def made_secret(rng: random.Random) -> str:
+    """A value of one of the usual kinds of keys."""
+    def some(pool, n):
+        return "".join(rng.choices(pool, k=n))
+    n = rng.randint(16, 64)
+    kind = rng.randrange(11)
+    if kind == 0:
+        return some(_MANY + "+/", n)
+    if kind == 1:
+        return some(_LOW + _NUM, n)
+    if kind == 2:
+        return some(_UP + _NUM, n)
+    if kind == 3:
+        return some(rng.choice(("0123456789abcdef", "0123456789ABCDEF")), n)
+    if kind == 4:
+        return rng.choice(PREFIXES) + some(_MANY, n)
+    if kind == 5:
+        return f"eyJ{some(_MANY, 17)}.eyJ{some(_MANY, n)}.{some(_MANY + '-_', 42)}A"
+    if kind == 6:
+        hexa = some(rng.choice(("0123456789abcdef", "0123456789ABCDEF")), 32)
+        return "-".join((hexa[:8], hexa[8:12], hexa[12:16], hexa[16:20], hexa[20:]))
+    if kind in (7, 10):  # the hardest kind comes twice
+        return some(_LOW + _UP, n)
+    if kind == 8:
+        return some(_MANY + "._-", n - 1) + "k"
+    return some(_MANY, n)
+
+
+def made_harmless(rng: random.Random) -> str:
+    """What looks like a key at first sight: dates, versions, numbers, paths, names in camel case and the like."""
+    def word():
+        return "".join(rng.choice("bcdfghklmnprstvw") + rng.choice("aeiou") + rng.choice(("", "", "n", "r", "st")) for _ in range(rng.randint(1, 4)))
+
+    def number(n):
+        return "".join(rng.choices(_NUM, k=n))
+    words = [word() for _ in range(rng.randint(2, 6))]
+    kind = rng.randrange(13)
+    if kind == 0:
+        return f"{rng.randint(1900, 2100)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}" + rng.choice(("", f"T{number(2)}:{number(2)}:{number(2)}Z"))
+    if kind == 1:
+        return f"{rng.randint(1, 28)}{rng.choice('./')}{rng.randint(1, 12)}{rng.choice('./')}{rng.randint(1900, 2100)}"
+    if kind == 2:
+        return rng.choice(("", "v")) + ".".join(number(rng.randint(1, 2)) for _ in range(rng.randint(2, 4))) + rng.choice(("", "-rc1", "-beta.2", "a1"))
+    if kind == 3:
+        return number(rng.randint(1, 16))
+    if kind == 4:
+        return "-".join(number(rng.randint(1, 5)) for _ in range(rng.randint(2, 5)))
+    if kind == 5:
+        return "https://" + rng.choice(("", "www.")) + "/".join([f"{words[0]}.{rng.choice(('org', 'com', 'de'))}", *words[1:]]) + rng.choice(
+            ("", ".html", f"-{number(4)}.html", f"/{number(3)}", f"?id={number(5)}"))
+    if kind == 6:
+        return words[0] + "".join(w.capitalize() for w in words[1:])
+    if kind == 7:
+        return rng.choice(("XML", "HTTP", "SQL", "URL")) + "".join(w.capitalize() for w in words) + rng.choice(("", "2", "V2", "ID"))
+    if kind == 8:
+        return rng.choice("_-").join(words) + rng.choice(("", "", number(2)))
+    if kind == 9:
+        return "_".join(words).upper()
+    if kind == 10:
+        return f"{words[0]}.{words[1]}{rng.choice(('', number(2)))}@{words[-1]}.{rng.choice(('org', 'com'))}"
+    if kind == 11:
+        return rng.choice(_UP) + number(rng.randint(1, 4)) + rng.choice(("", "-" + number(3), rng.choice(_UP)))
+    return "/" + "/".join(words) + rng.choice(("", ".so.6", ".py", ".tar.gz"))
+
+
+def made_sequence(tokens: list[str], rng: random.Random, secret: bool) -> tuple[list[int], list[int]]:
+    """Types and tags of a made value set between tokens of a text, behind a cue or not."""
+    at = rng.randint(0, len(tokens))
+    value = made_secret(rng) if secret else made_harmless(rng)
+    lead = rng.choice(("", "", "", "{c} ", "{c}: ", "{c} = ", '{c}="', "{c} {c}: ", "bearer ")) if secret else rng.choice(("", "", "", '"', ": ", "= "))
+    before = tokens[max(0, at - AROUND):at] + TOKEN.findall(lead.format(c=rng.choice(CUES)))
+    own = TOKEN.findall(value)
+    after = (['"'] if lead.endswith('"') else []) + tokens[at:at + AROUND]
+    tags = [OUTSIDE] * len(before) + ([BEGIN] + [INSIDE] * (len(own) - 1) if secret else [OUTSIDE] * len(own)) + [OUTSIDE] * len(after)
+    return token_types(before + own + after).tolist(), tags
 
 
 def _examples(batches):
-    """Token types and tags of the regions: the values of base spans that are no plain numbers are the secrets."""
-    rng = np.random.default_rng(5)
+    """Token types and tags: the values of base spans that are no plain numbers are secrets; what else stands around
+    notable tokens is outside, unless a token there is as wild as a secret (it may be one that no expression knows).
+    Made values between the text's own tokens add the kinds of keys, and of harmless strings, that base spans lack."""
     for b in batches:
         out: dict[str, list] = {"types": [], "tags": [], "kind": []}
         for t in b.column(1):
@@ -215,35 +335,31 @@ def _examples(batches):
             secret = [(m.start(1), m.end(1)) for m in ASSIGN.finditer(text) if m.end(1) - m.start(1) >= 12]
             secret += [(s, e) for k, s, e in base_spans(text) if k != "assign" and not text[s:e].isdigit()]
             secret.sort()
-            whole = token_types(TOKEN.findall(text))
-            all_spans = [m.span() for m in TOKEN.finditer(text)]
+            found = list(TOKEN.finditer(text))
+            tokens = [m[0] for m in found]
+            whole = token_types(tokens)
+            kind = file_kind(text)
+            rng = random.Random(zlib.crc32(text.encode()))
             for a, z in regions(whole):
-                inside = [any(s <= x and y <= e + 1 for s, e in secret) for x, y in all_spans[a:z]]
+                inside = [any(s <= m.start() and m.end() <= e + 1 for s, e in secret) for m in found[a:z]]
                 tags = [OUTSIDE if not i else INSIDE if k and inside[k - 1] else BEGIN for k, i in enumerate(inside)]
-                types = whole[a:z].tolist()
-                # a secret's characters and the words before it are arbitrary: the same place with values of other
-                # alphabets and beginnings, half of them without the cues
-                out["types"].append(types)
-                out["tags"].append(tags)
-                out["kind"].append(file_kind(text))
-                for start, pool in MADE if any(inside) else ():
-                    value = token_type(start + "".join(pool[k] for k in rng.integers(0, len(pool), rng.integers(20, 44))))
-                    cut = bool(rng.integers(2))
-                    made = [(value if i else "lower" if cut and v in FIRM else v, g) for v, i, g in zip(types, inside, tags)]
-                    out["types"].append([SIMPLE.index(v) if v == "lower" else v for v, _ in made])
-                    out["tags"].append(tags)
-                    out["kind"].append(file_kind(text))
-                # and short values, which are no secrets
-                for pool in HARMLESS if any(inside) else ():
-                    value = token_type("".join(pool[k] for k in rng.integers(0, len(pool), rng.integers(1, 8))))
-                    out["types"].append([value if i else v for v, i in zip(types, inside)])
-                    out["tags"].append([OUTSIDE] * len(types))
-                    out["kind"].append(file_kind(text))
+                for k in range(0, z - a, WIDTH):
+                    part = tokens[a + k:min(z, a + k + WIDTH)]
+                    if any(g == OUTSIDE and len(w) >= 16 and not w.isdigit() and wildness(w) == LEVELS - 1 for w, g in zip(part, tags[k:])):
+                        continue
+                    out["types"].append(whole[a + k:a + k + len(part)].tolist())
+                    out["tags"].append(tags[k:k + len(part)])
+                    out["kind"].append(kind)
+            for k in range(2 * MADE):
+                types, tags = made_sequence(tokens, rng, k % 2 == 0)
+                out["types"].append(types[:2 * WIDTH])
+                out["tags"].append(tags[:2 * WIDTH])
+                out["kind"].append(kind)
         yield out
 
 
 def fit(types: list[np.ndarray], tags: list[np.ndarray], kinds: list[int], weights: list[float] | None = None,
-        rounds: int = 200, decay: float = 0.02) -> Model:
+        rounds: int = 150, decay: float = 0.02) -> Model:
     """Maximum conditional likelihood with a quadratic penalty; gradients by the forward-backward recursions. weights:
     how often each sequence occurs."""
     n, width = len(types), max(map(len, types))
@@ -287,30 +403,34 @@ def fit(types: list[np.ndarray], tags: list[np.ndarray], kinds: list[int], weigh
 
 
 def _fit(rows: pd.DataFrame) -> pd.DataFrame:
-    """Long regions are cut, so that the padded arrays stay small."""
-    types, tags, kinds, often = [], [], [], []
-    for a, b, k, n in zip(rows["types"], rows["tags"], rows["kind"], rows["often"]):
-        for s in range(0, len(a), 30):
-            types.append(np.asarray(a[s:s + 30]))
-            tags.append(np.asarray(b[s:s + 30]))
-            kinds.append(k)
-            often.append(n)
-    m = fit(types, tags, kinds, often)
+    """Sequences without a secret weigh twice as much as those with one, together."""
+    has = np.array([BEGIN in t for t in rows["tags"]], bool)
+    if not has.any():
+        return pd.DataFrame({"emit": [], "file": [], "step": []})
+    often = rows["often"].to_numpy(float)
+    if not has.all():
+        often = np.where(has, often, often * min(1.0, 2 * often[has].sum() / often[~has].sum()))
+    m = fit([np.asarray(t) for t in rows["types"]], [np.asarray(t) for t in rows["tags"]], rows["kind"].tolist(), often)
     return pd.DataFrame({"emit": [m.emit.tobytes()], "file": [m.file.tobytes()], "step": [m.step.tobytes()]})
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model | None:
-    """A model from about `sample` whole documents, whose base spans are the examples. None without any secret."""
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE,
+          max_outside: int = MAX_OUTSIDE) -> Model | None:
+    """A model from about `sample` whole documents. Sequences of equal types and tags are counted; of those without a secret
+    the max_outside with the lowest hashes go on, scaled up to all of them, so the fit has a bounded size. None when no document holds a
+    token."""
     total = docs.count()
-    h = F.crc32(F.concat(F.lit("scan "), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).cast("binary"))
+    h = F.crc32(F.concat(F.lit("scan "), F.coalesce(F.col(id_col).cast("string"), digest(text_col))).cast("binary"))
     chosen = docs.where(h < min(1.0, sample / max(1, total)) * 2.0 ** 32)
-    rows = map_arrow(base(chosen, id_col, text_col), _examples, "types array<int>, tags array<int>, kind int")
-    # outside regions are thinned by a hash to a bounded number, those with a secret all stay
+    rows = checkpointed(map_arrow(base(chosen, id_col, text_col).where("_text <> ''"), _examples, "types array<int>, tags array<int>, kind int")
+                        .groupBy("types", "tags", "kind").agg(F.count(F.lit(1)).alias("often")))
     has = F.array_contains("tags", BEGIN)
-    few = (rows.where(has | (F.pmod(F.xxhash64("types"), F.lit(4)) == 0)).groupBy("types", "tags", "kind")
-           .agg(F.count(F.lit(1)).alias("often")).withColumn("_g", F.lit(0)))
-    got = few.groupBy("_g").applyInPandas(lambda r: _fit(r) if any(BEGIN in x for x in r["tags"]) else pd.DataFrame(
-        {"emit": [], "file": [], "step": []}), "emit binary, file binary, step binary").collect()
+    outside = rows.where(~has)
+    few = outside.orderBy(F.xxhash64("types", "kind")).limit(max_outside)
+    all_, kept = (x.agg(F.coalesce(F.sum("often"), F.lit(0))).first()[0] for x in (outside, few))
+    few = few.withColumn("often", F.col("often") * F.lit(all_ / max(1, kept)))
+    got = rows.where(has).withColumn("often", F.col("often").cast("double")).unionByName(few).withColumn("_g", F.lit(0)).groupBy(
+        "_g").applyInPandas(_fit, "emit binary, file binary, step binary").collect()
     if not got:
         return None
     return Model(np.frombuffer(got[0]["emit"]).reshape(len(WINDOW), TYPES, 3), np.frombuffer(got[0]["file"]).reshape(FILES, 3),
