@@ -165,8 +165,8 @@ def give_back(runs: DataFrame, keys, far: str) -> DataFrame:
                    keys, owner="_info")
     mid = n.where("prev_hi = lo - 1 and next_lo = hi + 1 and prev_owner.owner = next_owner.owner "
                   "and prev_owner.owner <> owner")
-    # a triple whose first piece is the middle of another triple waits
-    busy = mid.select(*keys, F.col("lo").alias("_first"))
+    # a triple whose first piece is the middle or the last of another one waits
+    busy = mid.select(*keys, F.col("lo").alias("_first")).unionByName(mid.selectExpr(*keys, "hi + 1 as _first"))
     mid = mid.withColumn("_first", F.col("prev_owner.lo")).join(busy, [*keys, "_first"], "left_anti")
     taken = mid.selectExpr(*keys, "case when prev_owner._far > next_owner._far then prev_owner.lo "
                            "else next_owner.lo end as lo", "owner as new_owner")

@@ -5,9 +5,11 @@ from pyspark.sql import functions as F
 
 from filigrane import tables as T
 from filigrane.operators import events as V2
+from filigrane.operators import lines as L
 from filigrane.operators import relate as J
 from filigrane.operators import rules as U
 from filigrane.operators import runs as R
+from filigrane.operators import truth as G
 from filigrane.plans import oracle
 from filigrane.plans.networks import _deg
 from filigrane.plans.registry import query
@@ -112,50 +114,70 @@ def itr14(spark, sf):
     return jn
 
 
-def observable_truth(s, w, h):
-    """Runs and edges an observer can trace, once junctions with at most two lines have been given up and short stubs
-    absorbed; repeated until nothing changes. s: samples with `seen`. Returns (edges, junctions kept)."""
-    jn, claims, _ = V2.junction_table(s, w, h)
-    cen = jn.selectExpr("image_id", "jid", "x as cx", "y as cy")
-    rec = checkpointed(J.pair_records(s.where("seen")).where("unresolved and a < b"))
-    st = V2.merge_stretches(rec, s)
-    gone = checkpointed(st.selectExpr("image_id", "weaker as vid", "case when weaker = a then i0 else j0 end as lo",
-                                      "case when weaker = a then i1 else j1 end as hi")
-                        .withColumn("i", F.explode(F.expr("sequence(lo, hi)"))).select(*E, "i").distinct())
-    claims = checkpointed(claims.select(*E, "jid", "lo", "hi"))
-    absorbed = None
-    while True:
-        held = claims.withColumn("i", F.explode(F.expr("sequence(lo, hi)"))).select(*E, "i", "jid")
-        free = gone.join(held.select(*E, "i"), [*E, "i"], "left_anti").withColumn("_m", F.lit(True))
-        line = s.join(free, [*E, "i"], "left").withColumn("line", F.expr("seen and _m is null")).drop("_m")
-        if absorbed is not None:
-            line = line.join(absorbed.withColumn("_ab", F.lit(True)), [*E, "i"], "left").withColumn(
-                "line", F.expr("line and _ab is null")).drop("_ab")
-        line = V2.extend_lines(line.select(*E, "i", "x", "y", "line", "in_frame"), claims)
-        owned = held.join(cen, ["image_id", "jid"]).select(*E, "i", "jid", "cx", "cy")
-        num = cen.select("image_id", "jid").distinct().withColumn("n", F.expr("xxhash64(image_id, jid) & 9223372036854775807"))
-        e = split_edges(line.where("line"), owned.join(num, ["image_id", "jid"]).selectExpr(*E, "i", "n as jid", "cx", "cy"))
-        why = R.end_causes(line, "line", 6, {"border": "not in_frame"})
-        for side, at, col in (("start", "i0", "c0"), ("end", "i1", "c1")):
-            e = e.join(why.where(f"side = '{side}'").selectExpr(*E, f"i as {at}", f"cause as {col}"), [*E, at], "left")
-        e = checkpointed(e.withColumn("stub", F.expr(
-            "not linked and i1 - i0 + 1 < 5.95D and (u is null or w is null) "
-            "and not coalesce(u is null and c0 = 'node', false) and not coalesce(w is null and c1 = 'node', false) "
-            "and not (coalesce(u is null and w is not null and c0 = 'border', false) "
-            "or coalesce(w is null and u is not null and c1 = 'border', false))")))
-        deg = (e.where("not stub and u is not null").selectExpr("image_id", "u as n")
-               .unionByName(e.where("not stub and w is not null").selectExpr("image_id", "w as n"))
-               .groupBy("image_id", "n").agg(F.count(F.lit(1)).alias("degree")))
-        keep = num.join(deg.where("degree > 2"), ["image_id", "n"]).select("image_id", "jid")
-        left = checkpointed(claims.join(keep, ["image_id", "jid"], "left_semi"))
-        stubs = e.where("stub").withColumn("i", F.explode(F.expr("sequence(i0, i1)"))).select(*E, "i")
-        new = stubs if absorbed is None else stubs.join(absorbed, [*E, "i"], "left_anti")
-        new = checkpointed(new)
-        if left.count() == claims.count() and new.isEmpty():
-            break
-        claims = left  # claims only go and stubs only come, so it ends
-        absorbed = checkpointed(new if absorbed is None else absorbed.unionByName(new))
-    return e, jn.join(claims.select("image_id", "jid").distinct(), ["image_id", "jid"], "left_semi")
+def _places(s):
+    """Junctions for the line model: cells of 16 px whose cores lie on two edges or more, with their share of the claims."""
+    c = checkpointed(_cores(s).withColumn("g", F.expr("struct(floor(cx / 16) as gx, floor(cy / 16) as gy)")))
+    j = checkpointed(c.groupBy("image_id", "g").agg(F.min("jid").alias("jid"), F.count_distinct("vid").alias("n"), F.avg("cx").alias("x"),
+                                                    F.avg("cy").alias("y")).where("n >= 2").drop("n"))
+    cl = c.drop("jid").join(j.select("image_id", "g", "jid"), ["image_id", "g"])
+    held = R.owner_runs(R.share_out(cl, E, ["jid"], "anchor", ["jid"]), E).selectExpr(*E, "owner.jid as jid", "lo", "hi")
+    return j.drop("g"), checkpointed(held)
+
+
+def _settled(spark, sf):
+    """The line model of all images at rest, with what it was made from."""
+    s = checkpointed(R.observable(V.samples(spark, sf), "obs").withColumn("prom", F.expr("coalesce(contrast, 0.0D)")))
+    rec = J.pair_records(s.where("obs")).where("unresolved").selectExpr(
+        "image_id", "least(a, b) as a", "greatest(a, b) as b", "case when a < b then i else j end as i", "case when a < b then j else i end as j")
+    centres, claims = _places(s)
+    st, active = L.line_fixpoint(s, rec, claims, centres)
+    return s, st, active, centres
+
+
+@query("itr11_line_fixpoint")
+def itr11(spark, sf):
+    """Edges of the line model once every junction has three lines or more and no stub is left."""
+    _, st, _, _ = _settled(spark, sf)
+    r = st.runs.select(*E, "run", "start_cause", "end_cause")
+    return st.edges.join(r, [*E, "run"]).selectExpr(*E, "run", "i0", "i1", "u", "w", "p0", "p1", "linked", "start_cause", "end_cause")
+
+
+def _graph(spark, sf):
+    """The image graph. Two edges with successive numbers start at one network node, three end at one."""
+    s, st, active, centres = _settled(spark, sf)
+    n = s.groupBy(*E).agg(F.min_by(F.struct("x", "y"), "i").alias("p"), F.max_by(F.struct("x", "y"), "i").alias("q"))
+    e = n.selectExpr(*E, "stack(2, 'start', vid div 2, p, 'end', 1000000000 + vid div 3, q) as (side, nid, p)")
+    at = e.groupBy("image_id", "nid").agg(F.avg("p.x").alias("x"), F.avg("p.y").alias("y"))
+    return st, *G.image_graph(st, active, centres, e.drop("p").join(at, ["image_id", "nid"]))
+
+
+@query("itr15_observable_truth")
+def itr15(spark, sf):
+    """The image graph edge by edge: what it joins, which edges it carries, and the run it belongs to."""
+    _, nodes, edges, ends = _graph(spark, sf)
+    out = edges
+    for side in ("source", "target"):
+        out = out.join(nodes.selectExpr("image_id", f"node as {side}", f"kind as {side}_kind", f"degree as {side}_degree"), ["image_id", side])
+    lab = ends.groupBy(*E, "run").agg(*[F.max(F.expr(f"case when side = '{x}' then label end")).alias(f"run_{x}") for x in ("start", "end")])
+    return out.join(lab, [*E, "run"]).selectExpr(
+        *E, "edge", "i0", "i1", "source", "source_kind", "source_degree", "target", "target_kind", "target_degree", "linked",
+        "array_join(vids, ',') as vids", "run_start", "run_end")
+
+
+@query("itr15_totals")
+def itr15_totals(spark, sf):
+    """Lengths per image, and its merged stretches."""
+    st = _settled(spark, sf)[1]
+    m = G.merged_stretches(st).groupBy("image_id").agg(F.count(F.lit(1)).alias("n_merged"))
+    return G.totals(st).join(m, "image_id", "left").na.fill(0, ["n_merged"])
+
+
+@query("val04_graph_checks")
+def val04_graph(spark, sf):
+    """All rules over the image graph, with their number of breaches per image; a sound one has none."""
+    st, nodes, edges, ends = _graph(spark, sf)
+    bad = G.check(st, nodes, edges, ends, L.ARM_MIN_PX, T.MIN_RUN_PX).groupBy("image_id").agg(F.count(F.lit(1)).alias("problems"))
+    return nodes.groupBy("image_id").agg(F.count(F.lit(1)).alias("nodes")).join(bad, "image_id", "left").na.fill(0, ["problems"])
 
 
 # ------------------------------------------------------------------------------------------------ image graph
