@@ -61,7 +61,7 @@ def owners(claims: DataFrame, samples: DataFrame, centres: DataFrame, arm_min: f
             return d.selectExpr(*E, "lo", "hi", "owner as jid")
         c = d.join(centres.selectExpr("image_id", "jid as owner", "x as cx", "y as cy"), ["image_id", "owner"])
         far = R.interval_samples(c, at, E).groupBy(*E, "lo").agg(F.expr("min(sqrt(power(x - cx, 2) + power(y - cy, 2)))").alias("far"))
-        d = checkpointed(R.give_back(d.join(far, [*E, "lo"]), E, "far").select(*E, "lo", "hi", "owner"))
+        d = checkpointed(R.give_back(d.join(far, [*E, "lo"]), E, "far", in_turn=True).select(*E, "lo", "hi", "owner"))
 
 
 def merged_into(records: DataFrame, samples: DataFrame, gap: int = BRIDGE) -> DataFrame:

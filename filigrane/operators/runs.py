@@ -157,16 +157,19 @@ def join_owner_gaps(runs: DataFrame, keys, gap_max: str) -> DataFrame:
                                         F.first("owner").alias("owner")).drop("_run")
 
 
-def give_back(runs: DataFrame, keys, far: str) -> DataFrame:
+def give_back(runs: DataFrame, keys, far: str, in_turn: bool = False) -> DataFrame:
     """A-B-A without gaps: the piece of A farther from A (`far`, an expression over a run's own columns) goes to B.
-    Only the first of overlapping triples is treated; call again until nothing changes."""
+    Only the first of overlapping triples is treated; call again until nothing changes. With `in_turn`, triples that share
+    their outer piece wait for each other too, so that repeated calls end as one triple after the other would."""
     runs = checkpointed(runs)
     n = neighbours(runs.withColumn("_far", F.expr(far)).withColumn("_info", F.expr("struct(owner, _far, lo, hi)")),
                    keys, owner="_info")
     mid = n.where("prev_hi = lo - 1 and next_lo = hi + 1 and prev_owner.owner = next_owner.owner "
                   "and prev_owner.owner <> owner")
-    # a triple whose first piece is the middle or the last of another one waits
-    busy = mid.select(*keys, F.col("lo").alias("_first")).unionByName(mid.selectExpr(*keys, "hi + 1 as _first"))
+    # a triple whose first piece is the middle (or, in turn, the last) of another one waits
+    busy = mid.select(*keys, F.col("lo").alias("_first"))
+    if in_turn:
+        busy = busy.unionByName(mid.selectExpr(*keys, "hi + 1 as _first"))
     mid = mid.withColumn("_first", F.col("prev_owner.lo")).join(busy, [*keys, "_first"], "left_anti")
     taken = mid.selectExpr(*keys, "case when prev_owner._far > next_owner._far then prev_owner.lo "
                            "else next_owner.lo end as lo", "owner as new_owner")
