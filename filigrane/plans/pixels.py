@@ -5,6 +5,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from filigrane.operators import distance as D
 from filigrane.operators import network as N
 from filigrane.operators import raster as A
 from filigrane.operators import relate as J
@@ -342,6 +343,31 @@ def skl05(spark, sf):
     return A.enclosed(r, "value <= 25", "50", "h", 2)
 
 
+oracle.define("mask_width", ("raster",), """
+  select a.image_id, a.pid, a.y, a.x, a.value, min(power(a.y - b.y, 2) + power(a.x - b.x, 2)) as d2
+  from raster a join raster b on b.image_id = a.image_id and b.value > 45 where a.value <= 45 group by all""")
+
+
+@query("skl10_mask_width", "mask_width", RECURSE.format(src="wk", near=NEAR8).replace(
+    ", r as", ", wk as (select * from mask_width where d2 >= 4), r as", 1) + """,
+  k as (select comp from wk join lab on lab.node = wk.pid group by comp having bool_or(d2 >= 9)),
+  wide as (select image_id, count(*) as n_wide, count(distinct comp) as wide_parts from wk join lab on lab.node = wk.pid
+    where comp in (select comp from k) group by image_id)
+  select m.image_id, count(*) as n, round(2 * median(sqrt(d2)), 6) as med, round(2 * quantile_cont(sqrt(d2), 0.9), 6) as p90,
+    round(2 * max(sqrt(d2)), 6) as widest, coalesce(any_value(n_wide), 0) as n_wide, coalesce(any_value(wide_parts), 0) as wide_parts
+  from mask_width m left join wide w on w.image_id = m.image_id group by m.image_id""")
+def skl10_width(spark, sf):
+    """Width of the mask at every pixel, twice the exact distance to its outside, and the wide components: pixels at least 4 wide that
+    hang together with one at least 6 wide."""
+    r = V.raster(spark, sf)
+    d = checkpointed(D.distance_transform(r, "value <= 45").join(r.select("image_id", "y", "x", "pid"), ["image_id", "y", "x"])
+                     .withColumn("w", F.expr("2 * sqrt(d2)")))
+    wide = A.hysteresis(d, "d2 >= 4", "d2 >= 9").groupBy("image_id").agg(F.count(F.lit(1)).alias("n_wide"), F.count_distinct("comp").alias("wide_parts"))
+    q = quantiles(d, ["image_id"], "w", {"med": 0.5, "p90": 0.9}, count="n").join(d.groupBy("image_id").agg(F.max("w").alias("widest")), "image_id")
+    return q.join(wide, "image_id", "left").na.fill(0, ["n_wide", "wide_parts"]).selectExpr(
+        "image_id", "n", "round(med, 6) as med", "round(p90, 6) as p90", "round(widest, 6) as widest", "n_wide", "wide_parts")
+
+
 @query("itr13_hysteresis", "raster", RECURSE.format(src="wk", near=NEAR8).replace(
     ", r as", ", wk as (select * from raster where value <= 14), r as", 1) + """,
   k as (select comp from wk join lab on lab.node = wk.pid group by comp having bool_or(value <= 3) and count(*) > 4)
