@@ -389,8 +389,8 @@ def test_decontamination(spark, odd, none):
     docs = [(0, f"{text(300)} {items[0][1].upper()} {text(50)}"), (1, text(400)), (2, f"{text(40)} {q}? {text(6)}."),
             (3, f"{text(30)} {a}"), (4, f"{items[8][1]} {text(5)} {items[1][1]}"), (5, items[2][1]), (5, text(9)), (None, items[5][1])]
     got = {(r.doc_id, r.contaminated, r["items"]) for r in decontaminate.judge(table(spark, docs), bench).collect()}
-    assert got == {(0, True, "0"), (1, False, ""), (2, False, ""), (3, False, ""), (4, True, "1,8"), (5, True, "2"), (None, True, "5")}
-    assert {r.doc_id for r in decontaminate.clean(table(spark, docs), bench).collect()} == {1, 2, 3}
+    assert got == {(0, True, "0"), (1, False, ""), (2, False, ""), (3, False, ""), (4, True, "1,8"), (5, True, "2"), (5, False, ""), (None, True, "5")}
+    assert {r.doc_id for r in decontaminate.clean(table(spark, docs), bench).collect()} == {1, 2, 3, 5}  # of the two rows 5 the clean one stays
     assert decontaminate.judge(none, bench).count() == 0
     assert decontaminate.judge(odd, bench.limit(0)).where("contaminated").count() == 0
     assert decontaminate.judge(odd, bench).count() == len(odd_rows())
