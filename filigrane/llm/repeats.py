@@ -346,7 +346,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark = docs.sparkSession
     rows = base(docs, id_col, text_col)
     size = rows.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()[0]
-    bits = min(16, max(4, (size * 2 // (LENGTH - GRAM + 2) // BUCKET).bit_length()))
+    # buckets follow the size of the corpus, so that each stays small; 31 bits and the short anchor share a 64-bit number
+    bits = min(31, max(4, (size * 2 // (LENGTH - GRAM + 2) // BUCKET).bit_length()))
     keyed = rows.withColumn("_td", F.hash("_text"))
     stretches, done = _candidates(spark, rows, keyed, bits)
     _settled(spark)
