@@ -124,8 +124,19 @@ def _places(s):
     return j.drop("g"), checkpointed(held)
 
 
+_AT_REST: dict = {}
+
+
 def _settled(spark, sf):
-    """The line model of all images at rest, with what it was made from."""
+    """The line model of all images at rest, with what it was made from. Solved once per application and folder: its tables are
+    written to the shared folder, and the queries over it read them there."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _AT_REST:
+        _AT_REST[key] = _solve(spark, sf)
+    return _AT_REST[key]
+
+
+def _solve(spark, sf):
     s = checkpointed(R.observable(V.samples(spark, sf), "obs").withColumn("prom", F.expr("coalesce(contrast, 0.0D)")))
     rec = J.pair_records(s.where("obs")).where("unresolved").selectExpr(
         "image_id", "least(a, b) as a", "greatest(a, b) as b", "case when a < b then i else j end as i", "case when a < b then j else i end as j")
