@@ -5,6 +5,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from filigrane.operators import continuation as K
 from filigrane.operators import distance as D
 from filigrane.operators import network as N
 from filigrane.operators import raster as A
@@ -323,6 +324,30 @@ def skl03(spark, sf):
     return n.join(at, "comp", "left").na.fill(0, ["n_node_px"])
 
 
+@query("skl03_merged_nodes")
+def skl03_merged(spark, sf):
+    """Junctions joined by branches of up to half a lambda as one node, with the branch ends that remain there."""
+    br, pts = K.trace(checkpointed(V.skeleton(spark, sf)))
+    merged = K.merge_nodes(br, 6.0)
+    _, at = K.attach(br, K.arms(br, pts, 12.0), merged)
+    return (merged.groupBy(F.col("merged").alias("node")).agg(F.count(F.lit(1)).alias("n_junctions"))
+            .join(at.groupBy("node").agg(F.count(F.lit(1)).alias("n_arms")), "node", "left").na.fill(0, ["n_arms"]))
+
+
+@query("skl09_continuation_paths")
+def skl09(spark, sf):
+    """Paths that go straight on through merged nodes and crossings."""
+    p = K.continuation_paths(checkpointed(V.skeleton(spark, sf)), 12.0)["paths"]
+    return p.selectExpr("image_id", "path", "n_branches", "round(length, 5) as length", "closed")
+
+
+@query("skl09_crossings")
+def skl09_crossings(spark, sf):
+    """Where two continuation paths cross, and at which angle."""
+    c = K.continuation_paths(checkpointed(V.skeleton(spark, sf)), 12.0)["crossings"]
+    return c.selectExpr("image_id", "node", "round(y, 5) as y", "round(x, 5) as x", "round(angle, 5) as angle")
+
+
 @query("skl04_spurs", "brp zone", RECURSE.format(src="brp", near=NEAR8) + """,
   s as (select comp from brp b join lab on lab.node = b.pid group by comp having count(*) < 8 and bool_or(nb = 1)
     and bool_or(exists (select 1 from zone z where z.image_id = b.image_id and abs(z.y - b.y) <= 1
