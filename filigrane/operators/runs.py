@@ -1,6 +1,8 @@
 """Runs, gaps and intervals along edges. Rows are samples (image_id, vid, i, ...) with dense i, or intervals."""
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -115,6 +117,93 @@ def owner_runs(owned: DataFrame, keys) -> DataFrame:
                                         F.first("owner").alias("owner")).drop("_run")
 
 
+#: Positions and claims that one vectorised step of the sweep handles at once.
+SWEEP = 1 << 21
+
+
+def _envelope(part, keys, order):
+    """Of claims (pandas) sorted by keys and chunk: for every stretch of positions the claim that holds it, as claims again."""
+    if not len(part):
+        return part
+    part = part.reset_index(drop=True)
+    lo, hi, anchor = (part[c].to_numpy() for c in ("lo", "hi", "_an"))
+    rank = np.empty(len(part), np.int64)
+    rank[np.lexsort([part[c].to_numpy() for c in reversed(order)])] = np.arange(len(part))
+    row = np.empty_like(rank)
+    row[rank] = np.arange(len(part))
+    new = np.concatenate([[True], (part[keys].to_numpy()[1:] != part[keys].to_numpy()[:-1]).any(axis=1)])
+    first = np.flatnonzero(new)
+    start = np.minimum.reduceat(lo, first)
+    span = np.maximum.reduceat(hi, first) - start + 1
+    base = np.concatenate([[0], np.cumsum(span)])
+    if base[-1] > SWEEP and len(first) > 1:
+        half = first[len(first) // 2]
+        return pd.concat([_envelope(part[:half], keys, order), _envelope(part[half:], keys, order)])
+    group = np.cumsum(new) - 1
+    best = np.full(base[-1], np.iinfo(np.int64).max)
+    size = hi - lo + 1
+    cuts = np.concatenate([[0], np.cumsum(size)])
+    a = 0
+    while a < len(part):
+        b = max(a + 1, int(np.searchsorted(cuts, cuts[a] + SWEEP)))
+        b = min(b, len(part))
+        n = size[a:b]
+        i = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[a:b], n)
+        np.minimum.at(best, i + np.repeat((base[group] - start[group])[a:b], n),
+                      np.abs(i - np.repeat(anchor[a:b], n)) * len(part) + np.repeat(rank[a:b], n))
+        a = b
+    own_ = np.where(best == np.iinfo(np.int64).max, -1, best % len(part))
+    edge = np.concatenate([[True], own_[1:] != own_[:-1]])
+    edge[base[:-1]] = True
+    at = np.flatnonzero(edge)
+    end = np.concatenate([at[1:], [len(own_)]]) - 1
+    held = own_[at] >= 0
+    at, end = at[held], end[held]
+    out = part.take(row[own_[at]])
+    shift = (start - base[:-1])[np.searchsorted(base, at, "right") - 1]
+    return out.assign(lo=at + shift, hi=end + shift)
+
+
+def share_runs(claims: DataFrame, keys, claim_cols, anchor: str, order, owner: str | None = None) -> DataFrame:
+    """One-dimensional share-out of overlapping claims (lo, hi; whole numbers): every position goes to the claim with the nearest
+    anchor (a whole number, less than 2^40 away), the first in `order` (numbers) on ties. Returns the stretches of
+    consecutive positions with one owner: keys, lo, hi, owner (struct of claim_cols, or the expression `owner` over them).
+
+    Equals owner_runs of share_out without a row per position: claims are cut at chunks of positions and only the stretches that
+    a claim holds leave the sweep of a chunk. Crowded chunks are swept within each map task before the shuffle, and after it
+    batch by batch, with no more than one stretch per position of the chunk carried along. Keys are not null. No claims give
+    no stretches."""
+    by = [*keys, "_ck"]
+    ties = [f"_o{k}" for k in range(len(order))]
+    d = claims.selectExpr(*keys, *[f"{c} as _c{k}" for k, c in enumerate(claim_cols)], f"cast({anchor} as long) as _an",
+                          *[f"cast({o} as long) as {t}" for o, t in zip(order, ties)], "cast(lo as long) as lo", "cast(hi as long) as hi",
+                          f"explode(sequence(cast(floor(lo / {CHUNK}) as long), cast(floor(hi / {CHUNK}) as long))) as _ck").withColumns(
+        {"lo": F.expr(f"greatest(lo, _ck * {CHUNK})"), "hi": F.expr(f"least(hi, _ck * {CHUNK} + {CHUNK - 1})")})
+
+    def before(batches):
+        for b in batches:
+            n = len(b[by].drop_duplicates())
+            yield _envelope(b.sort_values(by), by, ties) if len(b) > 64 * n else b
+
+    def after(batches):
+        left = None
+        for b in batches:
+            b = b if left is None else pd.concat([left, b], ignore_index=True)
+            if not len(b):
+                continue
+            last = (b[by] == b[by].iloc[-1]).all(axis=1).to_numpy()
+            left = _envelope(b[last], by, ties)  # its other claims may come in the next batch
+            yield _envelope(b[~last], by, ties)
+        if left is not None:
+            yield left
+    pieces = (d.mapInPandas(before, d.schema).repartition(*by).sortWithinPartitions(*by).mapInPandas(after, d.schema)
+              .withColumn("owner", F.struct(*[F.col(f"_c{k}").alias(c) for k, c in enumerate(claim_cols)])))
+    pieces = pieces.select(*keys, "_ck", "lo", "hi", F.expr(owner or "owner").alias("owner"))
+    r = groups_by_break(pieces, keys, ["lo"], "_ck", {"_p": ("max", "hi"), "_o": ("last", "owner")},
+                        "_p is null or lo > _p + 1 or _o <> owner")
+    return r.groupBy(*keys, "_run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.first("owner").alias("owner")).drop("_run")
+
+
 def neighbours(runs: DataFrame, keys, lo="lo", hi="hi", owner="owner") -> DataFrame:
     """Disjoint runs with the end and owner of the one before and the start and owner of the one after."""
     d = runs.withColumn("_ck", F.expr(f"{lo} div {CHUNK}"))

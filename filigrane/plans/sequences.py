@@ -145,7 +145,7 @@ oracle.define("limits", ("owner_runs", "claims"), """
 
 def _owner_runs(spark, sf):
     c = V.claims(spark, sf)
-    r = R.owner_runs(R.share_out(c, ["vid"], ["cid", "ln"], "(lo + hi) div 2", ["lo", "hi", "cid", "ln"]), ["vid"])
+    r = R.share_runs(c, ["vid"], ["cid", "ln"], "(lo + hi) div 2", ["lo", "hi", "cid", "ln"])
     return r.join(V.claim_edges(spark, sf), "vid")
 
 
@@ -181,8 +181,7 @@ def run18(spark, sf):
           from r)) group by vid, g, cid""")
 def run11(spark, sf):
     c = V.claims(spark, sf)
-    own = R.share_out(c, ["vid"], ["cid", "ln"], "(lo + hi) div 2", ["lo", "hi", "cid", "ln"])
-    r = R.owner_runs(own.withColumn("owner", F.expr("owner.cid")), ["vid"])
+    r = R.share_runs(c, ["vid"], ["cid", "ln"], "(lo + hi) div 2", ["lo", "hi", "cid", "ln"], "owner.cid")
     return R.join_owner_gaps(r, ["vid"], "5.95D").withColumnRenamed("owner", "cid")
 
 
@@ -203,8 +202,7 @@ def run11(spark, sf):
   ) group by vid, g, o""")
 def run11_give_back(spark, sf):
     c = V.claims(spark, sf)
-    own = R.share_out(c, ["vid"], ["cid", "ln"], "(lo + hi) div 2", ["lo", "hi", "cid", "ln"])
-    r = R.owner_runs(own.withColumn("owner", F.expr("owner.cid % 7")), ["vid"])
+    r = R.share_runs(c, ["vid"], ["cid", "ln"], "(lo + hi) div 2", ["lo", "hi", "cid", "ln"], "owner.cid % 7")
     return R.give_back(r, ["vid"], "abs((lo + hi) div 2 - (owner * 977) % 3000)")
 
 
