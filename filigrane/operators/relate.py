@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from filigrane import tables as T
 from filigrane.functions import columns as C
-from filigrane.operators.grid import grid_join, reach_join, tag
+from filigrane.operators.grid import HOT_CELL, grid_join, reach_join, tag
 from filigrane.operators.paths import with_neighbours
 from filigrane.operators.scan import CHUNK, halo, own
 from filigrane.session import checkpointed
@@ -62,22 +62,58 @@ CROSS_CELL = 8.0
 
 
 def in_cells(seg: DataFrame, cell: float) -> DataFrame:
-    """A segment (x, y) to (x_p1, y_p1) in every grid cell that its box covers, however long it is."""
-    def span(c):
-        return F.explode(F.expr(f"sequence(cast(floor(least({c}, {c}_p1) / {cell!r}) as long), "
-                                f"cast(floor(greatest({c}, {c}_p1) / {cell!r}) as long))"))
-    return seg.withColumn("_cx", span("x")).withColumn("_cy", span("y"))
-
-
-def crossings(s: DataFrame) -> DataFrame:
+    """A segment (x, y) to (x_p1, y_p1) in every grid cell that it passes: column by column the rows between its ends there,
+    so rows grow with its length and not with its box. A cell that it only touches may be among them."""
+    def cells(lo, hi):
+        return F.explode(F.expr(f"sequence(cast(floor(({lo}) / {cell!r}) as long), cast(floor(({hi}) / {cell!r}) as long))"))
+
+    def at(bound):  # height of the segment at a column's border, or at its own end
+        return f"y + (least(greatest({bound}, least(x, x_p1)), greatest(x, x_p1)) - x) / (x_p1 - x) * (y_p1 - y)"
+    flat = "x_p1 = x"
+    d = (seg.withColumn("_cx", cells("least(x, x_p1)", "greatest(x, x_p1)"))
+         .withColumn("_ya", F.expr(f"case when {flat} then y else {at(f'_cx * {cell!r}')} end"))
+         .withColumn("_yb", F.expr(f"case when {flat} then y_p1 else {at(f'(_cx + 1) * {cell!r}')} end")))
+    return (d.withColumn("_cy", cells("greatest(least(_ya, _yb), least(y, y_p1)) - 1e-6D", "least(greatest(_ya, _yb), greatest(y, y_p1)) + 1e-6D"))
+            .drop("_ya", "_yb"))
+
+
+def meeting(seg: DataFrame, keys, on: str, hot: int) -> DataFrame:
+    """Pairs (a_, b_) of rows of one cell (keys). The rows of a cell with more than `hot` are dealt to parts by a hash on one
+    side and copied to each part on the other."""
+    crowd = seg.groupBy(*keys).count().where(f"count > {hot}").selectExpr(*keys, f"ceil(count / {hot}) as _parts")
+    s = seg.join(crowd, keys, "left").withColumn("_parts", F.expr("coalesce(_parts, 1L)"))
+    a = s.withColumn("_part", F.expr("pmod(xxhash64(vid, i), _parts)")).drop("_parts")
+    b = s.withColumn("_part", F.explode(F.expr("sequence(0L, _parts - 1)"))).drop("_parts")
+    both = [*keys, "_part"]
+    return tag(a, "a", both).join(tag(b, "b", both), both).where(on)
+
+
+def edge_ends(ends: DataFrame) -> DataFrame:
+    """vid and the nodes at its ends, from rows (vid, node, x, y, reach)."""
+    return ends.groupBy("vid").agg(F.collect_set(F.struct("node", "x", "y", "reach")).alias("ends"))  # two per edge
+
+
+def near_shared_node(p: DataFrame, ends: DataFrame, near: str) -> DataFrame:
+    """Pairs of edges a and b with _near: `near`, a condition on a node n (x, y, reach), holds for a node at which both end."""
+    e = edge_ends(ends)
+    return (p.join(e.selectExpr("vid as a", "ends as _ea"), "a", "left").join(e.selectExpr("vid as b", "ends as _eb"), "b", "left")
+            .withColumn("_near", F.expr(f"coalesce(exists(_ea, n -> exists(_eb, m -> m.node = n.node) and ({near})), false)"))
+            .drop("_ea", "_eb"))
+
+
+def crossings(s: DataFrame, ends: DataFrame | None = None, near_node: float | None = None, hot: int = HOT_CELL) -> DataFrame:
     """Where the polylines of two edges cross: point, positions along both, depths, which is on top, angle. Segments
-    meet in the grid cells that both cover. A crossing found twice (in two cells, or within a quarter unit) counts once,
-    the first by positions."""
+    meet in the grid cells that both pass. A crossing found twice (in two cells, or within a quarter unit) counts once,
+    the first by positions.
+
+    With `ends` (vid, node, x, y, reach: the nodes at which edges end) crossings near a node that both edges share are left
+    out: within near_node of it, or, where that is not given, within three times the wider edge's radius, or within the
+    node's reach if the lumens overlap in depth."""
     seg = with_neighbours(s.select("image_id", "vid", "i", "x", "y", "z", "tx", "ty", "s_px", "r"),
                           ["image_id", "vid"], ["x", "y", "s_px"], [1]).where("x_p1 is not null")
     keys = ["image_id", "_cx", "_cy"]
     seg = in_cells(seg, CROSS_CELL)
-    p = tag(seg, "a", keys).join(tag(seg, "b", keys), keys).where("a_vid < b_vid")
+    p = meeting(seg, keys, "a_vid < b_vid", hot)
     den = "((a_x_p1 - a_x) * (b_y_p1 - b_y) - (a_y_p1 - a_y) * (b_x_p1 - b_x))"
     p = (p.withColumn("_den", F.expr(den)).where("abs(_den) >= 1e-12")
          .withColumn("_ta", F.expr("((b_x - a_x) * (b_y_p1 - b_y) - (b_y - a_y) * (b_x_p1 - b_x)) / _den"))
@@ -89,6 +125,14 @@ def crossings(s: DataFrame) -> DataFrame:
                      "a_z as z_a", "b_z as z_b", "case when a_z <= b_z then a_vid else b_vid end as above",
                      "a_r as r_a", "b_r as r_b",
                      C.doubles(C.acute_angle_deg("a_tx", "a_ty", "b_tx", "b_ty")) + " as angle_deg")
+    if ends is not None:
+        far = "hypot(x - n.x, y - n.y)"
+        near = f"{far} < {near_node!r}D"
+        if near_node is None:
+            w = s.groupBy("vid").agg(F.max("r").alias("w"))
+            p = p.join(w.selectExpr("vid as a", "w as _wa"), "a").join(w.selectExpr("vid as b", "w as _wb"), "b")
+            near = f"{far} < 3 * greatest(_wa, _wb) or (abs(z_a - z_b) < r_a + r_b and {far} < n.reach)"
+        p = near_shared_node(p, ends, near).where("not _near")
     first = p.groupBy("image_id", "a", "b", F.expr("cast(round(x * 4) as long)").alias("_qx"),
                       F.expr("cast(round(y * 4) as long)").alias("_qy")).agg(
         F.expr("min_by(struct(i, j, x, y, s_a, s_b, z_a, z_b, above, r_a, r_b, angle_deg), struct(i, j))").alias("c"))
@@ -130,8 +174,10 @@ def nearest_any(left: DataFrame, right: DataFrame, ident: str, take: str, start:
         r *= 2
 
 
-def lumen_overlaps(s: DataFrame, gap: float) -> DataFrame:
-    """Pairs of edges whose lumens overlap in depth too, and edges overlapping themselves far along themselves."""
+def lumen_overlaps(s: DataFrame, gap: float, ends: DataFrame | None = None) -> DataFrame:
+    """Pairs of edges whose lumens overlap in depth too, and edges overlapping themselves far along themselves. With `ends`
+    (vid, node, x, y, reach) places of which both samples lie within the reach of a node that both edges share are no
+    overlap of theirs."""
     d = s.select("image_id", "vid", "i", "x", "y", "z", "r", "s_px")
     a, b = tag(d, "a"), tag(d, "b")
     lim = f"(a_r + b_r + {gap}D)"
@@ -140,6 +186,10 @@ def lumen_overlaps(s: DataFrame, gap: float) -> DataFrame:
     itself = reach_join(a, b, "a_r", "b_r", (4.0,),
                         f"a_vid = b_vid and a_i < b_i and abs(a_s_px - b_s_px) > {math.pi!r}D * (a_r + b_r) "
                         f"and abs(a_z - b_z) < a_r + b_r")
+    if ends is not None:
+        far = "greatest(hypot(a_x - n.x, a_y - n.y), hypot(b_x - n.x, b_y - n.y))"
+        other = near_shared_node(other.withColumnsRenamed({"a_vid": "a", "b_vid": "b"}), ends, f"{far} < n.reach").where(
+            "not _near").withColumnsRenamed({"a": "a_vid", "b": "b_vid"})
     return (other.selectExpr("image_id", "a_vid as a", "b_vid as b", "false as itself").distinct()
             .unionByName(itself.selectExpr("image_id", "a_vid as a", "b_vid as b", "true as itself").distinct()))
 

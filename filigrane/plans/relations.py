@@ -132,6 +132,36 @@ def jn03(spark, sf):
                         "round(s_b, 6) as s_b", "z_a", "z_b", "above", "round(angle_deg, 6) as angle_deg")
 
 
+oracle.define("knots", ("samples",), """
+  select vid, vid as node, x, y, 6.0 + vid % 5 as reach from samples where i = 0
+  union all
+  select l.vid, l.vid + 1, coalesce(s.x, l.x), coalesce(s.y, l.y), 6.0 + (l.vid + 1) % 5
+  from (select vid, arg_max(x, i) as x, arg_max(y, i) as y from samples group by vid) l
+  left join samples s on s.vid = l.vid + 1 and s.i = 0""")
+oracle.define("crossings_off_nodes", ("seg", "knots"), oracle.VIEWS["crossings"][1].replace("tb < 1)) where k = 1", """tb < 1) q
+  where not exists (select 1 from knots e join knots f on f.node = e.node where e.vid = q.a and f.vid = q.b
+    and (sqrt(power(q.x - e.x, 2) + power(q.y - e.y, 2)) < 3 * greatest(q.r_a, q.r_b)
+      or (abs(z_a - z_b) < r_a + r_b and sqrt(power(q.x - e.x, 2) + power(q.y - e.y, 2)) < e.reach)))) where k = 1"""))
+
+
+def _knots(s):
+    """Edges with successive numbers share a node, at the start of the later one."""
+    start = s.where("i = 0").selectExpr("vid as node", "x as sx", "y as sy")
+    last = s.groupBy("vid").agg(F.expr("max_by(struct(x, y), i)").alias("p")).selectExpr("vid", "vid + 1 as node", "p.x as x", "p.y as y")
+    return (start.selectExpr("node as vid", "node", "sx as x", "sy as y").unionByName(
+        last.join(start, "node", "left").selectExpr("vid", "node", "coalesce(sx, x) as x", "coalesce(sy, y) as y"))
+        .withColumn("reach", F.expr("6.0D + node % 5")))
+
+
+@query("jn03_crossings_off_nodes", "crossings_off_nodes", """
+  select image_id, a, b, i, j, round(x, 6) as x, round(y, 6) as y, above, round(angle_deg, 6) as angle_deg from crossings_off_nodes""")
+def jn03_off(spark, sf):
+    """Crossings, but for those at a node that both edges share."""
+    s = V.samples(spark, sf)
+    return J.crossings(s, _knots(s)).selectExpr("image_id", "a", "b", "i", "j", "round(x, 6) as x", "round(y, 6) as y", "above",
+                                                "round(angle_deg, 6) as angle_deg")
+
+
 @query("jn20_arcade_crossings", "crossings", """,
   e as (select vid, arg_min(x, i) x0, arg_min(y, i) y0, arg_max(x, i) x1, arg_max(y, i) y1 from samples group by vid),
   c as (select image_id, a as arcade, b as host, x, y, r_a, r_b from crossings
@@ -194,6 +224,19 @@ def jn08(spark, sf):
     return J.lumen_overlaps(V.samples(spark, sf), 0.5)
 
 
+@query("jn08_overlaps_off_nodes", "samples knots", f"""
+  select distinct a.image_id, a.vid as a, b.vid as b, a.vid = b.vid as itself from samples a join samples b
+    on a.image_id = b.image_id and a.vid <= b.vid and abs(a.x - b.x) <= 7 and abs(a.y - b.y) <= 7
+  where (a.vid < b.vid and sqrt({D2}) < a.r + b.r + 0.5 and abs(a.z - b.z) < a.r + b.r + 0.5
+      and not exists (select 1 from knots e join knots f on f.node = e.node where e.vid = a.vid and f.vid = b.vid
+        and greatest(sqrt(power(a.x - e.x, 2) + power(a.y - e.y, 2)), sqrt(power(b.x - e.x, 2) + power(b.y - e.y, 2))) < e.reach))
+    or (a.vid = b.vid and a.i < b.i and sqrt({D2}) < a.r + b.r and abs(a.s_px - b.s_px) > pi() * (a.r + b.r))""")
+def jn08_off(spark, sf):
+    """Lumen overlaps, but for those within the reach of a node that both edges share."""
+    s = V.samples(spark, sf)
+    return J.lumen_overlaps(s, 0.5, _knots(s))
+
+
 @query("jn09_fading_ends", "obs", f"""
   select image_id, vid, i, sgn, round(greatest(m.g, 0), 6) as gap_px, m.v as onto, m.j as onto_i from (
     select a.image_id, a.vid, a.i, a.sgn, min({{'g': sqrt({D2}) - a.r - b.r, 'v': b.vid, 'j': b.i}}) as m
