@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from filigrane.operators.scan import CHUNK, running
+from filigrane.session import checkpointed
 
 BINS = 1024
 
@@ -70,10 +71,11 @@ def quantiles(df: DataFrame, keys, value: str, probs: dict, count: str | None =
 
 def quantile_levels(df: DataFrame, keys, value: str, levels, min_n: int = 1) -> DataFrame:
     """Long form for many levels: keys, level (index), q; groups with fewer than min_n values left out. The wanted
-    ranks are merged into the ordered values and take the latest value before them."""
+    ranks are merged into the ordered values and take the latest value before them. The counted values and the merged
+    rows are read several times, so both are written once."""
     keys = list(keys)
-    base = (df.select(*keys, F.expr(value).cast("double").alias("_v")).where("_v is not null")
-            .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_w")))
+    base = checkpointed(df.select(*keys, F.expr(value).cast("double").alias("_v")).where("_v is not null")
+                        .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_w")))
     span = (base.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_w").alias("_n"))
             .where(f"_n >= {min_n}"))
     binned = value_bins(base, keys, "_v", "_w").where(f"_n >= {min_n}")
@@ -85,7 +87,7 @@ def quantile_levels(df: DataFrame, keys, value: str, levels, min_n: int = 1) ->
         *keys, "level", "_q * (_n - 1) as _p", "explode(array(floor(_q * (_n - 1)), ceil(_q * (_n - 1)))) as _pos")
     both = rows.unionByName(wanted.selectExpr(*keys, "_pos", "cast(null as double) as _v", "1 as _kind", "level",
                                               "_p")).withColumn("_ck", F.expr(f"_pos div {CHUNK}"))
-    got = running(both, keys, ["_pos", "_kind"], "_ck", {"_val": ("last", "_v")}).where("_kind = 1")
+    got = running(both, keys, ["_pos", "_kind"], "_ck", {"_val": ("last", "_v")}, cut=True).where("_kind = 1")
     return got.groupBy(*keys, "level").agg(F.expr(
         "min(_val) + (max(_val) - min(_val)) * (max(_p) - floor(max(_p)))").alias("q"))
 

@@ -7,6 +7,7 @@ from filigrane.operators import scorecard as S
 from filigrane.operators.quantile import Q_LEVELS, median_abs_dev, quantile_levels, quantiles
 from filigrane.plans import oracle
 from filigrane.plans.registry import query
+from filigrane.session import checkpointed
 from filigrane.sources import views as V
 
 CARD_SQL = """
@@ -135,7 +136,7 @@ GATE_SQL = """
     from qf join tot on tot.dist = qf.dist and tot.level = qf.level group by qf.dist, image_id, "set")
   """ + GATE_SQL)
 def sta03(spark, sf):
-    g = S.curve_gate(S.curve_distances(_qf(spark, sf), "abs"))
+    g = S.curve_gate(checkpointed(S.curve_distances(checkpointed(_qf(spark, sf)), "abs")))
     return g.selectExpr("dist", "n_real", *[f"round({c}, 6) as {c}" for c in ("rr_med", "rr_p95", "syn_mean", "ratio",
                                                                             "bias")], "passed")
 
