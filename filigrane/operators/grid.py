@@ -19,7 +19,8 @@ def tag(df: DataFrame, prefix: str, keys=("image_id",)) -> DataFrame:
 def grid_join(a: DataFrame, b: DataFrame, cell: float, on: str, keys=("image_id",), hot: int = HOT_CELL,
               how: str = "inner", ax="a_x", ay="a_y", bx="b_x", by="b_y") -> DataFrame:
     """Pairs of a and b (columns already tagged apart, `keys` shared) whose points lie within `cell` of each other
-    along both axes and that satisfy the condition `on`."""
+    along both axes and that satisfy the condition `on`. Both sides are shuffled: a stored table looks small to the planner,
+    but its decoded copies in nine cells, one set per pair of size classes, do not fit the driver as broadcasts."""
     keys = list(keys)
     cells = keys + ["_cx", "_cy"]
     near = F.expr("explode(array(-1L, 0L, 1L))")
@@ -36,7 +37,7 @@ def grid_join(a: DataFrame, b: DataFrame, cell: float, on: str, keys=("image_id"
     left = (left.join(crowd, cells, "left")
             .withColumn("_part", F.explode(F.expr("sequence(0L, cast(coalesce(_parts, 1) - 1 as long))")))
             .drop("_parts"))
-    return left.join(right, cells + ["_part"], how).where(on).drop("_cx", "_cy", "_part")
+    return left.hint("merge").join(right.hint("merge"), cells + ["_part"], how).where(on).drop("_cx", "_cy", "_part")
 
 
 def points(df: DataFrame, keys=("image_id",), x="x", y="y") -> DataFrame:

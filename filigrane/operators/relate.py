@@ -85,7 +85,7 @@ def meeting(seg: DataFrame, keys, on: str, hot: int) -> DataFrame:
     a = s.withColumn("_part", F.expr("pmod(xxhash64(vid, i), _parts)")).drop("_parts")
     b = s.withColumn("_part", F.explode(F.expr("sequence(0L, _parts - 1)"))).drop("_parts")
     both = [*keys, "_part"]
-    return tag(a, "a", both).join(tag(b, "b", both), both).where(on)
+    return tag(a, "a", both).hint("merge").join(tag(b, "b", both).hint("merge"), both).where(on)  # never a broadcast of the copies
 
 
 def edge_ends(ends: DataFrame) -> DataFrame:
