@@ -6,8 +6,11 @@ chunk carries the state over chunk borders.
 """
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from filigrane.session import checkpointed
 
@@ -82,6 +85,35 @@ def even_chunks(df: DataFrame, position: str, name: str = "_chunk", rows: int =
     return df.withColumn(name, F.expr(f"(({position}) - {lo or 0}) div {width}"))
 
 
+def spread(df: DataFrame, rows: int) -> DataFrame:
+    """The rows dealt out evenly, about `rows` to a task however many there are, before each of them is copied many times. Reads
+    the row count, so df is a stored table."""
+    return df.repartition(max(1, -(-df.count() // rows)))
+
+
+def _batch_counts(batches):
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        if not t.num_rows:
+            continue
+        if any(pa.types.is_nested(f.type) for f in t.schema):  # Arrow does not group by these
+            yield b.from_arrays([*b.columns, pa.array(np.ones(len(b), np.int64))], [*t.column_names, "_w"])
+        else:
+            c = t.group_by(t.column_names, use_threads=False).aggregate([([], "count_all")])
+            yield from c.select([*t.column_names, "count_all"]).rename_columns([*t.column_names, "_w"]).combine_chunks().to_batches()
+
+
+#: Rows of a task that groups rows nearly all of which differ.
+PART = 1 << 18
+
+
+def counted(df: DataFrame, rows: int) -> DataFrame:
+    """Distinct rows with their count `_w`; `rows` is about how many there are, and sets the number of parts. Where nearly all rows differ, a grouping before the shuffle shrinks nothing and holds all
+    rows of a task; here equal rows meet batch by batch before it, so that frequent ones are few, and all of them after it."""
+    schema = StructType([*df.schema.fields, StructField("_w", LongType())])
+    return df.mapInArrow(_batch_counts, schema).repartition(max(1, -(-rows // PART)), *df.columns).groupBy(*df.columns).agg(F.sum("_w").alias("_w"))
+
+
 def islands(df: DataFrame, keys, flag: str, pos: str = "i", chunk: int = CHUNK) -> DataFrame:
     """Maximal stretches of true `flag`: keys, run_start, run_end, n."""
     return (_stretch(df, keys, flag, pos, chunk).where(flag)

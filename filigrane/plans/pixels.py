@@ -13,6 +13,7 @@ from filigrane.operators import relate as J
 from filigrane.operators.grid import near_positions
 from filigrane.operators.paths import kernel
 from filigrane.operators.quantile import median_abs_dev, quantiles
+from filigrane.operators.scan import spread
 from filigrane.operators.scorecard import top_by
 from filigrane.plans import oracle
 from filigrane.plans import sequences  # noqa: F401  (defines the views of visible samples)
@@ -530,7 +531,7 @@ def _spots(spark, sf):
   group by image_id, type, y, x""")
 def ras01(spark, sf):
     """Gaussian spots of junctions per type, the larger value where they overlap."""
-    d = A.disc(_spots(spark, sf), "3", 160, 100)
+    d = A.disc(spread(_spots(spark, sf), 20_000), "3", 160, 100)
     return d.groupBy("image_id", "type", "y", "x").agg(F.expr(
         "round(max(exp(-(power(px - x, 2) + power(py - y, 2)) / 2)), 6)").alias("heat"))
 
