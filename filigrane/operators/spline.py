@@ -6,9 +6,11 @@ points; positions and derivatives are then plain sums of basis times control val
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from filigrane.session import checkpointed
+
 
 def _basis(n: int, k: int, u: float):
     """Values of the n basis functions of degree k on clamped uniform knots at u in [0, 1]."""
@@ -52,19 +54,39 @@ def basis_table(curves: DataFrame, col: str, m: int) -> DataFrame:
         rows, "n_ctrl INT, ui INT, u DOUBLE, j INT, b0 DOUBLE, b1 DOUBLE, b2 DOUBLE")
 
 
-def sample_curves(edges: DataFrame, m: int, ident=("vid",)) -> DataFrame:
-    """ident, ui, u, x, y, unit tangent tx, ty and signed curvature kappa of the curves `ctrl`."""
-    tab = basis_table(edges, "ctrl", m)
-    c = edges.select(*ident, F.size("ctrl").alias("n_ctrl"), F.posexplode("ctrl").alias("j", "p"))
-    s = c.join(tab, ["n_ctrl", "j"]).groupBy(*ident, "ui", "u").agg(
-        *[F.expr(f"sum({b} * p.{a})").alias(f"{a}{o}") for a in "xy" for o, b in enumerate(("b0", "b1", "b2"))])
+def _basis_rows(curves: DataFrame, col: str, m: int, name: str) -> DataFrame:
+    """The basis table with a row per number of control points and parameter: {name} n, ui, u, the values b0, b1, b2 of all control
+    points and bp, those at the parameter before. Written once: a plan over the curves would look as large as they are, and they
+    would be shuffled to meet it."""
+    t = basis_table(curves, col, m).groupBy("n_ctrl", "ui", "u").agg(F.array_sort(F.collect_list(F.struct("j", "b0", "b1", "b2"))).alias("b"))
+    w = Window.partitionBy("n_ctrl").orderBy("ui")
+    return checkpointed(t.selectExpr("n_ctrl", "ui", "u", *[f"b.{c} as {c}" for c in ("b0", "b1", "b2")]).withColumn("bp", F.lag("b0").over(w))
+                        .withColumnsRenamed({c: f"{name}{c}" for c in ("n_ctrl", "b0", "b1", "b2", "bp")}))
+
+
+def _weighted(basis: str, values: str) -> str:
+    """Sum of basis times control value, nulls left out as in a grouped sum."""
+    return f"aggregate(zip_with({basis}, {values}, (b, v) -> b * v), cast(null as double), (s, v) -> coalesce(s + v, s, v))"
+
+
+def sample_curves(edges: DataFrame, m: int, ident=("vid",), profiles: dict | None = None) -> DataFrame:
+    """ident, ui, u, x, y, the point before (px, py; null at the start), unit tangent tx, ty and signed curvature kappa of the
+    curves `ctrl`; with profiles {name: column of control values} their values at the same parameters. An edge is sampled in its
+    own row: nothing but the basis tables is shuffled."""
+    s = edges.withColumn("_cn_ctrl", F.size("ctrl")).join(_basis_rows(edges, "ctrl", m, "_c"), "_cn_ctrl")
+    for k, col in enumerate((profiles or {}).values()):
+        t = _basis_rows(edges, col, m, f"_p{k}").drop("u", f"_p{k}b1", f"_p{k}b2", f"_p{k}bp")
+        s = s.withColumn(f"_p{k}n_ctrl", F.size(col)).join(t, [f"_p{k}n_ctrl", "ui"])
+    s = s.selectExpr(
+        *ident, "ui", "u", *[f"{_weighted(f'_cb{o}', f'ctrl.{a}')} as {a}{o}" for a in "xy" for o in range(3)],
+        *[f"{_weighted('_cbp', f'ctrl.{a}')} as p{a}" for a in "xy"],
+        *[f"{_weighted(f'_p{k}b0', col)} as {out}" for k, (out, col) in enumerate((profiles or {}).items())])
     sp = "greatest(sqrt(x1 * x1 + y1 * y1), 1e-12D)"
-    return s.selectExpr(*ident, "ui", "u", "x0 as x", "y0 as y", f"x1 / {sp} as tx", f"y1 / {sp} as ty",
-                        f"(x1 * y2 - y1 * x2) / power({sp}, 3) as kappa")
+    return s.selectExpr(*ident, "ui", "u", "x0 as x", "y0 as y", "px", "py", f"x1 / {sp} as tx", f"y1 / {sp} as ty",
+                        f"(x1 * y2 - y1 * x2) / power({sp}, 3) as kappa", *(profiles or {}))
 
 
 def sample_profile(edges: DataFrame, col: str, m: int, out: str, ident=("vid",)) -> DataFrame:
     """Values of a profile (its control values over the edge) at the same parameters."""
-    tab = basis_table(edges, col, m)
-    c = edges.select(*ident, F.size(col).alias("n_ctrl"), F.posexplode(col).alias("j", "p"))
-    return c.join(tab, ["n_ctrl", "j"]).groupBy(*ident, "ui").agg(F.expr("sum(b0 * p)").alias(out))
+    s = edges.withColumn("_pn_ctrl", F.size(col)).join(_basis_rows(edges, col, m, "_p"), "_pn_ctrl")
+    return s.selectExpr(*ident, "ui", f"{_weighted('_pb0', col)} as {out}")

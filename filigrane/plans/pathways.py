@@ -1,7 +1,6 @@
 """Queries measuring along paths, splines and bursts."""
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from filigrane.operators import paths as P
@@ -80,10 +79,8 @@ def _bez(coef, ax):
   group by vid""")
 def path03(spark, sf):
     """Curves, tangents, curvature and radius at nine parameters, summed up per edge (nine rows each)."""
-    e = checkpointed(V.with_ctrl(spark, sf))
-    c = spline.sample_curves(e, 8).join(spline.sample_profile(e, "r_ctrl", 8, "r"), ["vid", "ui"])
-    w = Window.partitionBy("vid").orderBy("ui")
-    c = c.withColumn("px", F.lag("x").over(w)).withColumn("py", F.lag("y").over(w))
+    e = checkpointed(V.with_ctrl(spark, sf).select("vid", "ctrl", "r_ctrl"))
+    c = spline.sample_curves(e, 8, profiles={"r": "r_ctrl"})
     return c.groupBy("vid").agg(
         F.expr("round(sum(sqrt(power(x - px, 2) + power(y - py, 2))), 5)").alias("chords"),
         F.expr("round(avg(r), 9)").alias("mean_r"), F.expr("round(max(abs(kappa)), 5)").alias("max_kappa"))
