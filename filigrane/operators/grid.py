@@ -45,12 +45,14 @@ def points(df: DataFrame, keys=("image_id",), x="x", y="y") -> DataFrame:
     return df.select(*keys, F.col(x).alias("x"), F.col(y).alias("y")).distinct()
 
 
-def near_positions(df: DataFrame, other: DataFrame, tol: float, keys=("image_id",), flag: str = "hit") -> DataFrame:
-    """df with `flag`: some position of `other` lies within tol. Asked once per distinct position."""
+def near_positions(df: DataFrame, other: DataFrame, tol: float, keys=("image_id",), flag: str = "hit", dense: bool = False) -> DataFrame:
+    """df with `flag`: some position of `other` lies within tol. Asked once per distinct position. The positions of `other`
+    are copied into nine cells or, where there are many more of them (`dense`), those of df."""
     keys = list(keys)
     a, b = tag(points(df, keys), "a", keys), tag(points(other, keys), "b", keys)
-    hits = (grid_join(a, b, float(tol), f"(a_x - b_x) * (a_x - b_x) + (a_y - b_y) * (a_y - b_y) <= {tol * tol!r}", keys)
-            .selectExpr(*keys, "a_x as x", "a_y as y").distinct().withColumn(flag, F.lit(True)))
+    on = f"(a_x - b_x) * (a_x - b_x) + (a_y - b_y) * (a_y - b_y) <= {tol * tol!r}"
+    p = grid_join(b, a, float(tol), on, keys, ax="b_x", ay="b_y", bx="a_x", by="a_y") if dense else grid_join(a, b, float(tol), on, keys)
+    hits = p.selectExpr(*keys, "a_x as x", "a_y as y").distinct().withColumn(flag, F.lit(True))
     return df.join(hits, keys + ["x", "y"], "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 

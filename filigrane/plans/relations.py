@@ -548,7 +548,7 @@ oracle.define("score_hits", ("flags", "tp"), f"""
 
 
 def _flagged(spark, sf):
-    s = V.samples(spark, sf)
+    s = V.samples(spark, sf).select("image_id", "vid", "i", "ds", "x", "y", "cnr", "in_frame")
     return checkpointed(R.dont_care(s)), checkpointed(_traced(s))
 
 
@@ -604,7 +604,7 @@ def agg12(spark, sf):
     from score_hits where in_frame) where bin between 0 and 12 group by bin""")
 def agg13(spark, sf):
     s, t = _flagged(spark, sf)
-    return G.share_by_cnr(near_positions(s.where("in_frame"), t, 3.0)).withColumn("share", F.expr("round(share, 6)"))
+    return G.share_by_cnr(near_positions(s.where("in_frame"), t, 3.0, dense=True)).withColumn("share", F.expr("round(share, 6)"))
 
 
 NEWTON = ["n0 as (select 0.0::double as a, 1.0::double as b)"]
@@ -622,7 +622,7 @@ for _k in range(1, 16):
 def sta08(spark, sf):
     """CNR at which half of the in-frame samples are traced."""
     s, t = _flagged(spark, sf)
-    c = G.cnr_at_half(near_positions(s.where("in_frame"), t, 3.0))
+    c = G.cnr_at_half(near_positions(s.where("in_frame"), t, 3.0, dense=True))
     return spark.createDataFrame([(c,)], "cnr50 DOUBLE").selectExpr("round(cnr50, 6) as cnr50")
 
 
