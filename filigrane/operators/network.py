@@ -226,17 +226,20 @@ def shortest(edges: DataFrame, sources: DataFrame, limit: float) -> DataFrame:
 def problems(nodes: DataFrame, edges: DataFrame, domain=None) -> DataFrame:
     """Rows (problem, id) of a network that is not sound; empty when it is."""
     n = nodes.select("nid", "x", "y", "depth")
+    # every rule reads the edges: once written with what the rules need
+    edges = checkpointed(edges.selectExpr("vid", "u", "v", "cls", "array(ctrl[0], ctrl[size(ctrl) - 1]) as ctrl",
+                                          "array(z_ctrl[0], z_ctrl[size(z_ctrl) - 1]) as z_ctrl", "array_min(r_ctrl) as r_min", "array_min(z_ctrl) as z_min"))
     ends = (edges.selectExpr("vid", "u as nid", "ctrl[0] as p", "z_ctrl[0] as z")
             .unionByName(edges.selectExpr("vid", "v as nid", "ctrl[size(ctrl) - 1] as p", "z_ctrl[size(z_ctrl) - 1] as z"))
             .join(n, "nid", "left"))
-    deg = degrees(nodes, edges)
+    deg = checkpointed(degrees(nodes, edges))
     names = ", ".join(f"'{c}'" for c in T.CLASSES)
     out = [ends.where("x is null").selectExpr("'node missing' as problem", "vid as id"),
            ends.where("x is not null and sqrt(power(p.x - x, 2) + power(p.y - y, 2)) > 1e-6")
            .selectExpr("'end not on node'", "vid"),
            ends.where("x is not null and abs(z - depth) > 0.05D").selectExpr("'depth at end differs'", "vid"),
-           edges.where("array_min(r_ctrl) <= 0").selectExpr("'radius not positive'", "vid"),
-           edges.where("array_min(z_ctrl) < -1e-6").selectExpr("'negative depth'", "vid"),
+           edges.where("r_min <= 0").selectExpr("'radius not positive'", "vid"),
+           edges.where("z_min < -1e-6").selectExpr("'negative depth'", "vid"),
            edges.where(f"cls not in ({names})").selectExpr("'unknown class'", "vid"),
            deg.where("in_degree + out_degree = 0").selectExpr("'isolated'", "nid"),
            deg.where("in_degree = 1 and out_degree = 1").selectExpr("'one in and one out'", "nid")]
