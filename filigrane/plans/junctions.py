@@ -10,7 +10,7 @@ from filigrane.operators import relate as J
 from filigrane.operators import rules as U
 from filigrane.operators import runs as R
 from filigrane.operators.quantile import quantiles
-from filigrane.operators.scan import running
+from filigrane.operators.scan import PART, counted, running
 from filigrane.operators.scorecard import top_by
 from filigrane.plans import oracle
 from filigrane.plans.registry import query
@@ -625,11 +625,13 @@ def agg20(spark, sf):
     has at most 576 distinct ones however many events it holds; they carry their counts."""
     p = V.table(spark, sf, "lineitem").selectExpr("l_orderkey as jid", "(l_partkey * 37) % 24 as x",
                                                   "(l_partkey * 53) % 24 as y")
-    w = checkpointed(p.groupBy("jid", "x", "y").agg(F.count(F.lit(1)).alias("w")))
+    w = checkpointed(counted(p, p.count()).withColumnRenamed("_w", "w"))
+    parts = max(1, -(-w.count() // (PART // 4)))  # a junction's rows stay in one part of bounded size from here on
+    w = w.repartition(parts, "jid")
     m = w.groupBy("jid").agg(F.expr("sum(w * x) / sum(w)").alias("x"), F.expr("sum(w * y) / sum(w)").alias("y"))
     c = w.selectExpr("jid", "cast(x as double) as cx", "cast(y as double) as cy").unionByName(
         m.selectExpr("jid", "x as cx", "y as cy"))
-    d = c.join(w, "jid").groupBy("jid", "cx", "cy").agg(
+    d = c.repartition(parts, "jid").hint("merge").join(w.hint("merge"), "jid").groupBy("jid", "cx", "cy").agg(
         F.expr("sum(w * sqrt(power(cx - x, 2) + power(cy - y, 2)))").alias("cost"))
     return d.groupBy("jid").agg(F.expr("round(min(cost), 4)").alias("cost"))
 
