@@ -36,11 +36,22 @@ def piecewise(x: str, knots, values) -> str:
     return "case " + " ".join(parts) + f" else {values[-1]!r} end"
 
 
+def g_blur(sa: str, sb: str) -> str:
+    return f"sqrt(0.5 * (power({sa}, 2) + power({sb}, 2)))"
+
+
+def g_rho(ra: str, rb: str, blur: str) -> str:
+    return f"(least({ra}, {rb}) / greatest({blur}, 1e-6))"
+
+
+def g_res_at(rho: str, blur: str) -> str:
+    return f"({blur} * ({piecewise(rho, G_RES_RHO, G_RES_GAP)}))"
+
+
 def g_res(ra: str, rb: str, sa: str, sb: str) -> str:
     """Gap below which two lines of these radii and blurs look like one."""
-    blur = f"sqrt(0.5 * (power({sa}, 2) + power({sb}, 2)))"
-    rho = f"(least({ra}, {rb}) / greatest({blur}, 1e-6))"
-    return f"({blur} * ({piecewise(rho, G_RES_RHO, G_RES_GAP)}))"
+    blur = g_blur(sa, sb)
+    return g_res_at(g_rho(ra, rb, blur), blur)
 
 
 def smoothstep(e: str, lo: str, hi: str) -> str:

@@ -13,7 +13,7 @@ from filigrane.operators import rules as U
 from filigrane.operators.grid import grid_join, tag
 from filigrane.operators.network import connected_components
 from filigrane.operators.quantile import quantiles
-from filigrane.operators.scan import CHUNK, groups_by_break, running
+from filigrane.operators.scan import CHUNK, at_positions, groups_by_break, running
 from filigrane.session import checkpointed
 
 E = list(R.EDGE)
@@ -35,8 +35,8 @@ def crossing_cores(crossings: DataFrame, samples: DataFrame, runs: DataFrame, se
     ext = R.chain_around(iv, k, anchors, "m").drop("m").withColumnRenamed("lo", "_lo").withColumnRenamed("hi", "_hi")
     own = samples.selectExpr(*E, "i as anchor", "r", "st", "ds")
     oth = samples.selectExpr("image_id", "vid as other", "i as at_other", "r as ro", "st as so", f"{seen} as seen_other")
-    d = (side.join(ext, [*E, "other", "anchor"], "left").join(own, [*E, "anchor"])
-         .join(oth, ["image_id", "other", "at_other"]).join(m.drop("m"), E))
+    d = at_positions(at_positions(side, ext, [*E, "other", "anchor"], "left"), own, [*E, "anchor"])
+    d = at_positions(d, oth, ["image_id", "other", "at_other"]).join(m.drop("m"), E)
     g = C.doubles(C.g_res("r", "ro", "st", "so"))
     d = d.withColumn("_e", F.expr(
         f"cast(ceil((ro + {g} + r * abs(cos(radians(angle_deg)))) / greatest(sin(radians(angle_deg)), 0.1D) / ds) as long)"))
@@ -88,9 +88,9 @@ def touching_cores(runs: DataFrame, samples: DataFrame, taken: DataFrame, crossi
     whole = g.where(f"greatest(p1 - p0, q1 - q0) <= {2 * T.LAMBDA_PX}D").selectExpr(
         *k, "comp", "'whole' as part", "(p0 + p1) div 2 as ip", "(q0 + q1) div 2 as iq", "p0", "p1", "q0", "q1")
     long = g.where(f"greatest(p1 - p0, q1 - q0) > {2 * T.LAMBDA_PX}D")
-    near = (long.join(pp.withColumnRenamed("ip", "p0"), ["image_id", "p", "p0"])
-            .join(pq.selectExpr("image_id", "q", "iq as q0", "xq as ax", "yq as ay"), ["image_id", "q", "q0"])
-            .join(pq.selectExpr("image_id", "q", "iq as q1", "xq as bx", "yq as by"), ["image_id", "q", "q1"])
+    near = at_positions(long, pp.withColumnRenamed("ip", "p0"), ["image_id", "p", "p0"])
+    near = at_positions(near, pq.selectExpr("image_id", "q", "iq as q0", "xq as ax", "yq as ay"), ["image_id", "q", "q0"])
+    near = (at_positions(near, pq.selectExpr("image_id", "q", "iq as q1", "xq as bx", "yq as by"), ["image_id", "q", "q1"])
             .withColumn("same", F.expr("power(xp - ax, 2) + power(yp - ay, 2) <= power(xp - bx, 2) + power(yp - by, 2)")))
     ends = near.selectExpr(
         *k, "comp", "p0", "p1", "q0", "q1", "stack(2, 'start', p0, case when same then q0 else q1 end, "
@@ -100,8 +100,8 @@ def touching_cores(runs: DataFrame, samples: DataFrame, taken: DataFrame, crossi
         f"case when ip = p0 then least(p0 + {cap}, p1) else p1 end as p1",
         f"case when iq = q0 then q0 else greatest(q1 - {cap}, q0) end as q0",
         f"case when iq = q0 then least(q0 + {cap}, q1) else q1 end as q1")
-    d = (whole.unionByName(ends.select(whole.columns)).join(pp, ["image_id", "p", "ip"]).join(pq, ["image_id", "q", "iq"])
-         .withColumn("ev", F.expr("concat_ws(':', 't', comp, part)")))
+    d = at_positions(whole.unionByName(ends.select(whole.columns)), pp, ["image_id", "p", "ip"])
+    d = (at_positions(d, pq, ["image_id", "q", "iq"]).withColumn("ev", F.expr("concat_ws(':', 't', comp, part)")))
     both = d.selectExpr("ev", "image_id", "'touching' as kind", "(xp + xq) / 2 as x", "(yp + yq) / 2 as y",
                         "stack(2, p, p0, p1, ip, q, q0, q1, iq) as (vid, lo, hi, anchor)")
     return both
@@ -113,11 +113,11 @@ def fading_cores(ends: DataFrame, samples: DataFrame) -> DataFrame:
     pos = samples.select(*E, "i", "x", "y", "r", "st", "ds")
     last = samples.groupBy(*E).agg(F.max("i").alias("last"))
     q = pos.selectExpr("image_id", "vid as onto", "i as onto_i", "x as qx", "y as qy", "r as qr", "st as qst")
-    e = (ends.join(pos.select(*E, "i", "r"), [*E, "i"]).join(q, ["image_id", "onto", "onto_i"])
+    e = (at_positions(at_positions(ends, pos.select(*E, "i", "r"), [*E, "i"]), q, ["image_id", "onto", "onto_i"])
          .withColumn("ev", F.expr("concat_ws(':', 'f', image_id, vid, i, sgn)")))
     a = (e.withColumn("_k", F.explode(F.expr(f"sequence(0L, cast(ceil({T.LAMBDA_PX}D + r + qr) as long))")))
-         .withColumn("_i", F.expr("i + sgn * _k"))
-         .join(pos.selectExpr(*E, "i as _i", "x", "y"), [*E, "_i"]))
+         .withColumn("_i", F.expr("i + sgn * _k")))
+    a = at_positions(a, pos.selectExpr(*E, "i as _i", "x", "y"), [*E, "_i"])
     near = a.groupBy("ev").agg(F.expr("min_by(_i, struct(power(x - qx, 2) + power(y - qy, 2), _k))").alias("cl"))
     own = e.join(near, "ev").selectExpr("ev", "image_id", "'vis_end' as kind", "qx as x", "qy as y", "vid",
                                         "least(i, cl) as lo", "greatest(i, cl) as hi", "i as anchor")
@@ -215,17 +215,16 @@ def merge_stretches(records: DataFrame, samples: DataFrame, gap: int = 6) -> Dat
     d = records.withColumn("_ck", F.expr(f"i div {CHUNK}"))
     g = d.groupBy(*k, "i", "_ck").agg(F.lit(1).alias("one"))
     g = groups_by_break(g, k, ["i"], "_ck", {"_p": ("max", "i")}, f"_p is null or i - _p > {gap}").select(*k, "i", "_run")
-    d = records.join(g, [*k, "i"])
+    d = at_positions(records, g, [*k, "i"])
     at = samples.selectExpr("image_id", "vid", "i", "coalesce(contrast, 0.0D) as prom", "r", "st")
-    d = (d.join(at.selectExpr("image_id", "vid as a", "i", "prom as pa", "r as ra", "st as sa"), ["image_id", "a", "i"])
-         .join(at.selectExpr("image_id", "vid as b", "i as j", "prom as pb", "r as rb", "st as sb"), ["image_id", "b", "j"]))
-    d = checkpointed(d)
+    d = at_positions(d, at.selectExpr("image_id", "vid as a", "i", "prom as pa", "r as ra", "st as sa"), ["image_id", "a", "i"])
+    d = checkpointed(at_positions(d, at.selectExpr("image_id", "vid as b", "i as j", "prom as pb", "r as rb", "st as sb"), ["image_id", "b", "j"]))
     long = d.selectExpr(*k, "_run", "stack(6, 'pa', pa, 'pb', pb, 'ra', ra, 'rb', rb, 'sa', sa, 'sb', sb) as (q, v)")
     med = quantiles(long, [*k, "_run", "q"], "v", {"m": 0.5}).groupBy(*k, "_run").agg(
         *[F.expr(f"max(case when q = '{n}' then m end)").alias(n) for n in ("pa", "pb", "ra", "rb", "sa", "sb")])
     span = d.groupBy(*k, "_run").agg(F.min("i").alias("i0"), F.max("i").alias("i1"), F.min("j").alias("j0"),
                                      F.max("j").alias("j1"))
-    return (span.join(med, [*k, "_run"])
+    return (at_positions(span, med, [*k, "_run"])
             .where(f"greatest(sa, sb) <= {T.MERGE_BLUR_RATIO} * least(sa, sb)")
             .withColumn("a_weaker", F.expr("struct(pa, ra, -a) < struct(pb, rb, -b)"))
             .selectExpr(*k, "i0", "i1", "j0", "j1", "case when a_weaker then a else b end as weaker",
@@ -244,9 +243,9 @@ def extend_lines(samples: DataFrame, claims: DataFrame, reach: int = 6) -> DataF
         d = checkpointed(d.select(*E, "i", "_b", "_a"))
         before = d.selectExpr(*E, "i + 1 as lo", "_b as left")
         after = d.selectExpr(*E, "i - 1 as hi", "_a as right")
-        c = (cl.join(before, [*E, "lo"], "left").join(after, [*E, "hi"], "left")
-             .join(d.selectExpr(*E, "i as hi", "_b as last_in"), [*E, "hi"])
-             .join(d.selectExpr(*E, "i as lo", "_a as first_in"), [*E, "lo"]))
+        c = at_positions(at_positions(cl, before, [*E, "lo"], "left"), after, [*E, "hi"], "left")
+        c = at_positions(c, d.selectExpr(*E, "i as hi", "_b as last_in"), [*E, "hi"])
+        c = at_positions(c, d.selectExpr(*E, "i as lo", "_a as first_in"), [*E, "lo"])
         c = c.selectExpr(*E, "lo", "hi", f"case when lo - left <= {reach} then left end as left",
                          f"case when right - hi <= {reach} then right end as right",
                          "case when last_in >= lo then last_in end as last_in",
@@ -258,7 +257,7 @@ def extend_lines(samples: DataFrame, claims: DataFrame, reach: int = 6) -> DataF
                                when right is not null then right - 1 end as f1""").where("f0 <= f1")
         fill = c.withColumn("i", F.explode(F.expr("sequence(f0, f1)"))).select(*E, "i").distinct().withColumn(
             "_f", F.lit(True))
-        s2 = checkpointed(s.join(fill, [*E, "i"], "left").withColumn("_new", F.expr(
+        s2 = checkpointed(at_positions(s, fill, [*E, "i"], "left").withColumn("_new", F.expr(
             "coalesce(_f, false) and in_frame and not line")).drop("_f"))
         grown = not s2.where("_new").isEmpty()
         s = s2.withColumn("line", F.expr("line or _new")).drop("_new")

@@ -53,7 +53,7 @@ def near_positions(df: DataFrame, other: DataFrame, tol: float, keys=("image_id"
     on = f"(a_x - b_x) * (a_x - b_x) + (a_y - b_y) * (a_y - b_y) <= {tol * tol!r}"
     p = grid_join(b, a, float(tol), on, keys, ax="b_x", ay="b_y", bx="a_x", by="a_y") if dense else grid_join(a, b, float(tol), on, keys)
     hits = p.selectExpr(*keys, "a_x as x", "a_y as y").distinct().withColumn(flag, F.lit(True))
-    return df.join(hits, keys + ["x", "y"], "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+    return df.join(hits.hint("merge"), keys + ["x", "y"], "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
 def reach_classes(df: DataFrame, h: str, edges) -> DataFrame:

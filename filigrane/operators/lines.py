@@ -16,7 +16,7 @@ from filigrane import tables as T
 from filigrane.operators import events as V
 from filigrane.operators import network as N
 from filigrane.operators import runs as R
-from filigrane.operators.scan import CHUNK, groups_by_break, running
+from filigrane.operators.scan import CHUNK, at_positions, groups_by_break, running
 from filigrane.session import checkpointed, shared_folder
 
 E = list(R.EDGE)
@@ -61,7 +61,7 @@ def owners(claims: DataFrame, samples: DataFrame, centres: DataFrame, arm_min: f
             return d.selectExpr(*E, "lo", "hi", "owner as jid")
         c = d.join(centres.selectExpr("image_id", "jid as owner", "x as cx", "y as cy"), ["image_id", "owner"])
         far = R.interval_samples(c, at, E).groupBy(*E, "lo").agg(F.expr("min(sqrt(power(x - cx, 2) + power(y - cy, 2)))").alias("far"))
-        d = checkpointed(R.give_back(d.join(far, [*E, "lo"]), E, "far", in_turn=True).select(*E, "lo", "hi", "owner"))
+        d = checkpointed(R.give_back(at_positions(d, far, [*E, "lo"]), E, "far", in_turn=True).select(*E, "lo", "hi", "owner"))
 
 
 def merged_into(records: DataFrame, samples: DataFrame, gap: int = BRIDGE) -> DataFrame:
@@ -72,8 +72,8 @@ def merged_into(records: DataFrame, samples: DataFrame, gap: int = BRIDGE) -> Da
     stronger one among those within `gap` of what they are unresolved from; of several stronger edges the most prominent
     sample counts. Chains are followed to their end; samples that merge in a circle stay lines of their own."""
     free = samples.where("obs and owner is null")
-    rec = (records.join(free.selectExpr("image_id", "vid as a", "i"), ["image_id", "a", "i"], "left_semi")
-           .join(free.selectExpr("image_id", "vid as b", "i as j"), ["image_id", "b", "j"], "left_semi"))
+    rec = at_positions(records, free.selectExpr("image_id", "vid as a", "i"), ["image_id", "a", "i"], "left_semi")
+    rec = at_positions(rec, free.selectExpr("image_id", "vid as b", "i as j"), ["image_id", "b", "j"], "left_semi")
     rec = checkpointed(rec.select("image_id", "a", "b", "i", "j"))
     st = checkpointed(V.merge_stretches(rec, samples.selectExpr(*E, "i", "prom as contrast", "r", "st"), gap))
     sub = st.selectExpr("image_id", "a", "b", "weaker as vid", "stronger as dom", "case when weaker = a then i0 else j0 end as lo",
@@ -82,14 +82,14 @@ def merged_into(records: DataFrame, samples: DataFrame, gap: int = BRIDGE) -> Da
     both = rec.selectExpr("image_id", "a as vid", "b as dom", "i", "j").unionByName(rec.selectExpr("image_id", "b as vid", "a as dom", "j as i", "i as j"))
     near = (both.withColumn("i", F.explode(F.expr(f"sequence(i - {gap}, i + {gap})"))).groupBy("image_id", "vid", "dom", "i")
             .agg(F.min("j").alias("j0"), F.max("j").alias("j1")))
-    part = (sub.withColumn("i", F.explode(F.expr("sequence(lo, hi)"))).join(near, ["image_id", "vid", "dom", "i"])
-            .join(free.select(*E, "i", "x", "y"), [*E, "i"])
+    part = at_positions(sub.withColumn("i", F.explode(F.expr("sequence(lo, hi)"))), near, ["image_id", "vid", "dom", "i"])
+    part = (at_positions(part, free.select(*E, "i", "x", "y"), [*E, "i"])
             .withColumn("j", F.explode(F.expr(f"sequence(greatest(j0, d0) - {gap}, least(j1, d1) + {gap})"))))
     to = samples.selectExpr("image_id", "vid as dom", "i as j", "x as dx", "y as dy", "prom as p")
-    one = (part.join(to, ["image_id", "dom", "j"]).groupBy(*E, "i", "dom", "lo")
+    one = (at_positions(part, to, ["image_id", "dom", "j"]).groupBy(*E, "i", "dom", "lo")
            .agg(F.expr("min_by(struct(p, -dom as dom, j), struct(power(x - dx, 2) + power(y - dy, 2), j))").alias("m")))
     m = checkpointed(one.groupBy(*E, "i").agg(F.max("m").alias("m")).selectExpr(*E, "i", "-m.dom as m_vid", "m.j as m_i"))
-    ends = m.selectExpr("image_id", "m_vid as vid", "m_i as i").join(m.select(*E, "i"), [*E, "i"], "left_semi")
+    ends = at_positions(m.selectExpr("image_id", "m_vid as vid", "m_i as i"), m.select(*E, "i"), [*E, "i"], "left_semi")
     if ends.isEmpty():
         return m
     chain = N.follow(m.selectExpr("struct(image_id, vid, i) as id", "struct(image_id, m_vid as vid, m_i as i) as target"))
@@ -102,14 +102,14 @@ def line_state(samples: DataFrame, records: DataFrame, claims: DataFrame, centre
     in_frame, obs; records: as merged_into; claims: image_id, vid, jid, lo, hi; centres: image_id, jid, x, y."""
     own = checkpointed(owners(claims, samples, centres, arm_min))
     held = own.withColumn("i", F.explode(F.expr("sequence(lo, hi)"))).selectExpr(*E, "i", "jid as owner")
-    s = samples.join(held, [*E, "i"], "left")
-    s = s.withColumn("absorbed", F.lit(False)) if absorbed is None else s.join(
-        absorbed.select(*E, "i").withColumn("_a", F.lit(True)), [*E, "i"], "left").withColumn("absorbed", F.expr("_a is not null")).drop("_a")
+    s = at_positions(samples, held, [*E, "i"], "left")
+    s = s.withColumn("absorbed", F.lit(False)) if absorbed is None else at_positions(
+        s, absorbed.select(*E, "i").withColumn("_a", F.lit(True)), [*E, "i"], "left").withColumn("absorbed", F.expr("_a is not null")).drop("_a")
     s = checkpointed(s)
-    s = s.join(merged_into(records, s, bridge), [*E, "i"], "left").withColumn("_base", F.expr("obs and m_vid is null and not absorbed"))
+    s = at_positions(s, merged_into(records, s, bridge), [*E, "i"], "left").withColumn("_base", F.expr("obs and m_vid is null and not absorbed"))
     s = checkpointed(s)
     line = V.extend_lines(s.selectExpr(*E, "i", "_base as line", "in_frame and (not absorbed or owner is not null) as in_frame"), own, bridge)
-    s = s.join(line.select(*E, "i", "line"), [*E, "i"]).withColumn("fill", F.expr("line and not _base")).drop("_base")
+    s = at_positions(s, line.select(*E, "i", "line"), [*E, "i"]).withColumn("fill", F.expr("line and not _base")).drop("_base")
     s = s.withColumn("_ck", F.expr(f"i div {CHUNK}"))
     s = checkpointed(running(s, E, ["i"], "_ck", {"_ca": ("sum", "cast(absorbed as long)")}))
     upto, before = "struct(i, _ca, m_vid, m_i)", "struct(i, _ca - cast(absorbed as long) as _ca, m_vid, m_i)"
@@ -131,9 +131,9 @@ def line_state(samples: DataFrame, records: DataFrame, claims: DataFrame, centre
                                      F.min_by("jid", "lo").alias("_j0"), F.max_by("jid", "lo").alias("_j1"))
     inside = checkpointed(runs.where("_n = 1 and _j0 >= 0").selectExpr(*E, "a", "b", "_j0 as jid"))
     last = s.groupBy(*E).agg(F.max("i").alias("last"), F.sum(F.col("absorbed").cast("long")).alias("_all"), F.first("ds").alias("ds"))
-    ends = (runs.where("not (_n = 1 and _j0 >= 0)").join(last, E)
-            .join(s.selectExpr(*E, "i as a", "_pm", "_po", "_ca - cast(absorbed as long) as _c0"), [*E, "a"])
-            .join(s.selectExpr(*E, "i as b", "_nm", "_no", "_ca as _c1"), [*E, "b"]))
+    ends = runs.where("not (_n = 1 and _j0 >= 0)").join(last, E)
+    ends = at_positions(ends, s.selectExpr(*E, "i as a", "_pm", "_po", "_ca - cast(absorbed as long) as _c0"), [*E, "a"])
+    ends = at_positions(ends, s.selectExpr(*E, "i as b", "_nm", "_no", "_ca as _c1"), [*E, "b"])
     # what ends a run: the first of a merged sample, one out of the frame and the edge's own end, with fewer than `bridge` samples
     # before it that are not absorbed
     ends = ends.withColumn("_s", F.expr("greatest(coalesce(_pm.i, -1L), coalesce(_po.i, -1L))")).withColumn(
@@ -154,8 +154,8 @@ def line_state(samples: DataFrame, records: DataFrame, claims: DataFrame, centre
         "case when _b then prev_owner.att else lo end as p0", "case when _f then next_owner.att else hi end as p1", "false as linked"
     ).unionByName(n.where("jid >= 0 and _b and prev_owner.jid >= 0").selectExpr(
         *E, "run", "lo as i0", "lo - 1 as i1", "prev_owner.jid as u", "jid as w", "prev_owner.att as p0", "att as p1", "true as linked"))
-    edges = (edges.join(runs.drop("a", "b"), [*E, "run"])
-             .join(s.selectExpr(*E, "i as i0", "_pa"), [*E, "i0"]).join(s.selectExpr(*E, "i as i1", "_na"), [*E, "i1"], "left")
+    edges = at_positions(edges.join(runs.drop("a", "b"), [*E, "run"]), s.selectExpr(*E, "i as i0", "_pa"), [*E, "i0"])
+    edges = (at_positions(edges, s.selectExpr(*E, "i as i1", "_na"), [*E, "i1"], "left")
              .join(last.select(*E, "last"), E)
              .withColumn("_len", F.expr("(i1 - i0 + 1 + (i0 - 1 - coalesce(_pa, -1L)) + (coalesce(_na, last + 1) - i1 - 1)) * ds"))
              .withColumn("stub", F.expr(
@@ -174,7 +174,7 @@ def line_state(samples: DataFrame, records: DataFrame, claims: DataFrame, centre
         *E, "run", "i0", "i1", "u", "w", "p0", "p1", "linked", "stub"))
     runs = runs.join(loose.select(*E, "run"), [*E, "run"], "left_anti")
     inner = inside.unionByName(loose.select(inside.columns)).withColumn("i", F.explode(F.expr("sequence(a, b)"))).selectExpr(*E, "i", "jid as inner")
-    s = s.join(inner, [*E, "i"], "left").withColumn("line", F.expr("line and inner is null")).withColumn("fill", F.expr("fill and line"))
+    s = at_positions(s, inner, [*E, "i"], "left").withColumn("line", F.expr("line and inner is null")).withColumn("fill", F.expr("fill and line"))
     degree = (edges.where("not stub and u is not null").selectExpr("image_id", "u as jid").unionByName(
         edges.where("not stub and w is not null").selectExpr("image_id", "w as jid")).groupBy("image_id", "jid").agg(F.count(F.lit(1)).alias("n_lines")))
     return State(s.drop("_ck", "_ca", "_pm", "_nm", "_po", "_no", "_pa", "_na"), runs.drop("pieces", "ds"), edges, degree)
@@ -198,7 +198,7 @@ def line_fixpoint(samples: DataFrame, records: DataFrame, claims: DataFrame, cen
         active = cl.select("image_id", "jid").distinct()
         lost = checkpointed(active.join(st.degree.where("n_lines > 2"), ["image_id", "jid"], "left_anti"))
         stubs = st.edges.where("stub").withColumn("i", F.explode(F.expr("sequence(i0, i1)"))).select(*E, "i")
-        new = checkpointed(stubs if ab is None else stubs.join(ab, [*E, "i"], "left_anti"))
+        new = checkpointed(stubs if ab is None else at_positions(stubs, ab, [*E, "i"], "left_anti"))
         open_ = checkpointed(lost.select("image_id").unionByName(new.select("image_id")).distinct())
         for name, df in (("samples", st.samples), ("runs", st.runs), ("edges", st.edges), ("degree", st.degree), ("active", active)):
             out[name].add(df.join(open_, "image_id", "left_anti"))

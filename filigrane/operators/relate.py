@@ -31,14 +31,20 @@ def candidate_pairs(s: DataFrame, h: str, ordered: bool = False) -> DataFrame:
 
 def pair_records(s: DataFrame) -> DataFrame:
     """(image_id, a, b, i, j, unresolved, overlap): the cross-section of a at i reaches b's sample j within the
-    resolution gap / the lumen."""
-    p = candidate_pairs(s.select("image_id", "vid", "i", "x", "y", "tx", "ty", "r", "st"), "r + 2.75D * st + 0.5D", True)
-    g = C.doubles(C.g_res("a_r", "b_r", "a_st", "b_st"))
+    resolution gap / the lumen. The gap is at most G_RES_GAP[0] blurs, and a pair's blur at most sqrt(0.5) of the sum of both:
+    centres farther apart than both reaches have no record."""
+    reach = f"r + {T.G_RES_GAP[0] * math.sqrt(0.5) + 1e-3!r}D * st + 0.01D"
+    p = candidate_pairs(s.select("image_id", "vid", "i", "x", "y", "tx", "ty", "r", "st"), reach, True)
+    # blur, their ratio and the distance are made once per pair: as plain columns they would be written out in every branch of the
+    # table lookup, in code too long to be compiled
     p = (p.withColumn("_wx", F.expr("b_x - a_x")).withColumn("_wy", F.expr("b_y - a_y"))
          .withColumn("_t", F.expr("least(greatest(_wx * -a_ty + _wy * a_tx, -a_r), a_r)"))
-         .withColumn("_d", F.expr("sqrt(power(_wx + _t * a_ty, 2) + power(_wy - _t * a_tx, 2))")))
-    return (p.selectExpr("image_id", "a_vid as a", "b_vid as b", "a_i as i", "b_i as j", f"_d < b_r + {g} as unresolved",
-                         "_d < b_r as overlap").where("unresolved or overlap"))
+         .selectExpr("image_id", "a_vid as a", "b_vid as b", "a_i as i", "b_i as j", "b_r",
+                     "inline(array(struct(" + ", ".join(C.doubles(f"{e} as {n}") for n, e in {
+                         "_d": "sqrt(power(_wx + _t * a_ty, 2) + power(_wy - _t * a_tx, 2))",
+                         "_blur": C.g_blur("a_st", "b_st"), "_rho": C.g_rho("a_r", "b_r", C.g_blur("a_st", "b_st"))}.items()) + ")))"))
+    return (p.selectExpr("image_id", "a", "b", "i", "j", "_d < b_r + " + C.doubles(C.g_res_at("_rho", "_blur")) + " as unresolved",
+                         "_d < b_r as overlap").where("overlap or unresolved"))
 
 
 def isolated(s: DataFrame) -> DataFrame:

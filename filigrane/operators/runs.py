@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filigrane import tables as T
-from filigrane.operators.scan import CHUNK, groups_by_break, halo, islands, own, running, with_stretch
+from filigrane.operators.scan import CHUNK, at_positions, groups_by_break, halo, islands, own, running, with_stretch
 from filigrane.session import checkpointed
 
 EDGE = ("image_id", "vid")
@@ -88,7 +88,7 @@ def chain_around(iv: DataFrame, keys, anchors: DataFrame, chain) -> DataFrame:
 
 def interval_samples(iv: DataFrame, samples: DataFrame, keys, lo="lo", hi="hi") -> DataFrame:
     """Samples inside short intervals: positions are listed and joined on equality."""
-    return (iv.withColumn("i", F.explode(F.expr(f"sequence({lo}, {hi})"))).join(samples, [*keys, "i"]))
+    return at_positions(iv.withColumn("i", F.explode(F.expr(f"sequence({lo}, {hi})"))), samples, [*keys, "i"])
 
 
 def clip_intervals(iv: DataFrame, samples: DataFrame, keys=EDGE, id_cols=("jid",)) -> DataFrame:

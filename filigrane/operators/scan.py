@@ -52,7 +52,8 @@ def running(df: DataFrame, keys, order, chunk: str, specs: dict, exclusive=(), c
         carries.append(_agg(k, F.col(f"_t_{n}")).over(before).alias(f"_c_{n}"))
     carry = df.groupBy(*keys, chunk).agg(*totals).select(*keys, chunk, *carries)
     out = df.select("*", *[_agg(k, e).over(frame(n, rev)).alias(f"_i_{n}") for n, (k, e, rev) in exprs.items()])
-    out = out.join(carry, keys + [chunk], "left")
+    # the rows of a chunk are in one task already; where chunks are short, there are nearly as many carries as rows: no broadcast
+    out = out.join(carry.hint("merge"), keys + [chunk], "left")
     for n, (k, _, _) in exprs.items():
         i, c = F.col(f"_i_{n}"), F.col(f"_c_{n}")
         v = {"sum": F.when(i.isNull() & c.isNull(), None).otherwise(F.coalesce(i, F.lit(0)) + F.coalesce(c, F.lit(0))),
@@ -114,6 +115,12 @@ def counted(df: DataFrame, rows: int) -> DataFrame:
     return df.mapInArrow(_batch_counts, schema).repartition(max(1, -(-rows // PART)), *df.columns).groupBy(*df.columns).agg(F.sum("_w").alias("_w"))
 
 
+def at_positions(left: DataFrame, right: DataFrame, keys, how: str = "inner") -> DataFrame:
+    """A join on single positions of edges, both sides shuffled. The planner goes by the size of files, of which encoded positions take
+    a small part of their rows, and does not count rows that lists of positions become: it would broadcast them."""
+    return left.join(right.hint("merge"), list(keys), how)
+
+
 def islands(df: DataFrame, keys, flag: str, pos: str = "i", chunk: int = CHUNK) -> DataFrame:
     """Maximal stretches of true `flag`: keys, run_start, run_end, n."""
     return (_stretch(df, keys, flag, pos, chunk).where(flag)

@@ -10,7 +10,7 @@ from filigrane.operators import relate as J
 from filigrane.operators import rules as U
 from filigrane.operators import runs as R
 from filigrane.operators.quantile import quantiles
-from filigrane.operators.scan import PART, counted, running
+from filigrane.operators.scan import PART, at_positions, counted, running
 from filigrane.operators.scorecard import top_by
 from filigrane.plans import oracle
 from filigrane.plans.registry import query
@@ -606,8 +606,8 @@ def agg19(spark, sf):
                                                                                    "run_end as hi"))
     m = checkpointed(R.record_runs(checkpointed(J.pair_records(s))).selectExpr("image_id", "b as vid", "a", "j0", "j1"))
     k = ["image_id", "vid", "_b"]
-    d = runs.withColumn("_b", F.expr("explode(sequence(lo div 64, hi div 64))")).join(
-        m.withColumn("_b", F.expr("explode(sequence(j0 div 64, j1 div 64))")), k).where("j0 <= hi and j1 >= lo")
+    d = at_positions(runs.withColumn("_b", F.expr("explode(sequence(lo div 64, hi div 64))")),
+                     m.withColumn("_b", F.expr("explode(sequence(j0 div 64, j1 div 64))")), k).where("j0 <= hi and j1 >= lo")
     d = d.select("image_id", "vid", "lo", "a").distinct()
     return d.groupBy("image_id", "vid", "lo").agg(F.count(F.lit(1)).alias("n_carried"), F.min("a").alias("first"),
                                                   F.max("a").alias("last"))

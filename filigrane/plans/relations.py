@@ -11,6 +11,7 @@ from filigrane.operators import runs as R
 from filigrane.operators import scoring as G
 from filigrane.operators.grid import near_positions
 from filigrane.operators.quantile import quantiles
+from filigrane.operators.scan import at_positions
 from filigrane.plans import oracle
 from filigrane.plans.registry import query
 from filigrane.plans.sequences import _cores
@@ -360,12 +361,11 @@ def jn16(spark, sf):
     s = V.samples(spark, sf)
     r = checkpointed(R.record_runs(checkpointed(J.pair_records(s))))
     pos = s.select("image_id", "vid", "i", "x", "y")
-    left = r.withColumn("i", F.explode(F.expr("sequence(i0, i1)"))).join(pos.withColumnRenamed("vid", "a"),
-                                                                        ["image_id", "a", "i"])
+    left = at_positions(r.withColumn("i", F.explode(F.expr("sequence(i0, i1)"))), pos.withColumnRenamed("vid", "a"), ["image_id", "a", "i"])
     k = ["image_id", "b", "_s"]
     left = left.withColumn("_s", F.explode(F.expr("sequence((j0 - 6) div 64, (j1 + 6) div 64)")))
     other = pos.selectExpr("image_id", "vid as b", "i div 64 as _s", "i", "x", "y")
-    p = (J.tag(left, "a", k).join(J.tag(other, "b", k), k).where("b_i between a_j0 - 6 and a_j1 + 6")
+    p = (at_positions(J.tag(left, "a", k), J.tag(other, "b", k), k).where("b_i between a_j0 - 6 and a_j1 + 6")
          .withColumnRenamed("b", "a_b"))
     return p.groupBy("image_id", F.col("a_a").alias("a"), F.col("a_b").alias("b"), F.col("a_i0").alias("i0"),
                      F.col("a_i").alias("i")).agg(F.expr(f"min_by(b_i, struct({J.D2}, b_i))").alias("partner"))
