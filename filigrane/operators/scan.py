@@ -108,11 +108,21 @@ def _batch_counts(batches):
 PART = 1 << 18
 
 
+def parts(df: DataFrame) -> int:
+    """Parts for an ordered or grouped copy of a stored table: of at most PART rows, and enough for all cores where each has some work."""
+    n = df.count()
+    return max(1, -(-n // PART), min(df.sparkSession.sparkContext.defaultParallelism, -(-n // (PART >> 4))))
+
+
+def batch_counted(df: DataFrame) -> DataFrame:
+    """The rows with `_w`, how often each stands in its batch: a row per batch and distinct row, without a shuffle."""
+    return df.mapInArrow(_batch_counts, StructType([*df.schema.fields, StructField("_w", LongType())]))
+
+
 def counted(df: DataFrame, rows: int) -> DataFrame:
     """Distinct rows with their count `_w`; `rows` is about how many there are, and sets the number of parts. Where nearly all rows differ, a grouping before the shuffle shrinks nothing and holds all
     rows of a task; here equal rows meet batch by batch before it, so that frequent ones are few, and all of them after it."""
-    schema = StructType([*df.schema.fields, StructField("_w", LongType())])
-    return df.mapInArrow(_batch_counts, schema).repartition(max(1, -(-rows // PART)), *df.columns).groupBy(*df.columns).agg(F.sum("_w").alias("_w"))
+    return batch_counted(df).repartition(max(1, -(-rows // PART)), *df.columns).groupBy(*df.columns).agg(F.sum("_w").alias("_w"))
 
 
 def at_positions(left: DataFrame, right: DataFrame, keys, how: str = "inner") -> DataFrame:

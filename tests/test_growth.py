@@ -3,8 +3,10 @@ from __future__ import annotations
 
 from collections import Counter
 
+import numpy as np
+
 from filigrane.operators import network as N
-from filigrane.operators import scan, spline
+from filigrane.operators import quantile, scan, spline
 from filigrane.operators.grid import near_positions
 from filigrane.session import checkpointed
 
@@ -51,3 +53,21 @@ def test_edges_are_made_once_for_all_rules(spark):
     bad = N.problems(nodes, edges)
     assert "Range (" not in plan(bad)
     assert sorted((r.problem, r.id) for r in bad.collect()) == [("one in and one out", 1), ("one in and one out", 2)]
+
+
+def test_quantiles_sort_in_parts_that_follow_the_rows(spark, monkeypatch):
+    """Many parts in one group, a value with very many rows, and groups within a part: exact, and no part holds much more than its share."""
+    monkeypatch.setattr(scan, "PART", 200)
+    rng = np.random.default_rng(5)
+    vals = [(0, float(v)) for v in rng.permutation(5000)] + [(1, 3.0)] * 3000 + [(k, float(k * j)) for k in range(2, 40) for j in range(9)]
+    df = checkpointed(spark.createDataFrame(vals, "k long, v double").repartition(3))
+    rows, n = quantile.ordered(df, ["k"], "v")
+    assert n > 20 and rows.agg({"_w": "sum"}).first()[0] == len(vals)
+    assert max(r["count"] for r in rows.groupBy("_part").count().collect()) < 1000
+    got = {r.k: r for r in quantile.quantiles(df, ["k"], "v", {"a": 0.1, "m": 0.5, "z": 1.0}, count="n").collect()}
+    lev = {(r.k, r.level): r.q for r in quantile.quantile_levels(df, ["k"], "v", [0.0, 0.37, 0.995], min_n=10).collect()}
+    for k in range(40):
+        x = np.array([v for g, v in vals if g == k])
+        assert got[k].n == len(x) and np.allclose([got[k].a, got[k].m, got[k].z], np.quantile(x, [0.1, 0.5, 1.0]))
+        assert k > 1 or np.allclose([lev[k, j] for j in range(3)], np.quantile(x, [0.0, 0.37, 0.995]))
+    assert {k for k, _ in lev} == {0, 1}
