@@ -198,7 +198,8 @@ def share_runs(claims: DataFrame, keys, claim_cols, anchor: str, order, owner: s
             yield left
     pieces = (d.mapInPandas(before, d.schema).repartition(*by).sortWithinPartitions(*by).mapInPandas(after, d.schema)
               .withColumn("owner", F.struct(*[F.col(f"_c{k}").alias(c) for k, c in enumerate(claim_cols)])))
-    pieces = pieces.select(*keys, "_ck", "lo", "hi", F.expr(owner or "owner").alias("owner"))
+    # read several times below: written, so that the sweep runs once
+    pieces = checkpointed(pieces.select(*keys, "_ck", "lo", "hi", F.expr(owner or "owner").alias("owner")))
     r = groups_by_break(pieces, keys, ["lo"], "_ck", {"_p": ("max", "hi"), "_o": ("last", "owner")},
                         "_p is null or lo > _p + 1 or _o <> owner")
     return r.groupBy(*keys, "_run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.first("owner").alias("owner")).drop("_run")
@@ -253,8 +254,8 @@ def give_back(runs: DataFrame, keys, far: str, in_turn: bool = False) -> DataFra
     runs = checkpointed(runs)
     n = neighbours(runs.withColumn("_far", F.expr(far)).withColumn("_info", F.expr("struct(owner, _far, lo, hi)")),
                    keys, owner="_info")
-    mid = n.where("prev_hi = lo - 1 and next_lo = hi + 1 and prev_owner.owner = next_owner.owner "
-                  "and prev_owner.owner <> owner")
+    mid = checkpointed(n.where("prev_hi = lo - 1 and next_lo = hi + 1 and prev_owner.owner = next_owner.owner "
+                               "and prev_owner.owner <> owner"))
     # a triple whose first piece is the middle (or, in turn, the last) of another one waits
     busy = mid.select(*keys, F.col("lo").alias("_first"))
     if in_turn:

@@ -4,9 +4,10 @@ from __future__ import annotations
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from filigrane.operators import network as N
-from filigrane.operators import quantile, scan, spline
+from filigrane.operators import quantile, runs, scan, spline
 from filigrane.operators.grid import near_positions
 from filigrane.session import checkpointed
 
@@ -71,3 +72,12 @@ def test_quantiles_sort_in_parts_that_follow_the_rows(spark, monkeypatch):
         assert got[k].n == len(x) and np.allclose([got[k].a, got[k].m, got[k].z], np.quantile(x, [0.1, 0.5, 1.0]))
         assert k > 1 or np.allclose([lev[k, j] for j in range(3)], np.quantile(x, [0.0, 0.37, 0.995]))
     assert {k for k, _ in lev} == {0, 1}
+
+
+def test_claims_are_swept_once(spark):
+    """What is read several times after the sweep is a stored table."""
+    c = checkpointed(spark.range(300).selectExpr("id % 3 as vid", "id as cid", "(id * 37) % 500 as lo", "(id * 37) % 500 + id % 40 as hi"))
+    r = runs.share_runs(c, ["vid"], ["cid"], "(lo + hi) div 2", ["lo", "cid"], "owner.cid % 5")
+    assert "MapInPandas" not in plan(r)
+    want = runs.owner_runs(runs.share_out(c, ["vid"], ["cid"], "(lo + hi) div 2", ["lo", "cid"]).withColumn("owner", F.expr("owner.cid % 5")), ["vid"])
+    assert sorted(r.collect()) == sorted(want.collect()) and r.count() > 30
