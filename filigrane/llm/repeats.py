@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +21,9 @@ LENGTH = 50
 #: leftmost of equals, is its anchor, so equal strings have equal anchors at equal places.
 GRAM = 22
 #: Windows handled at once, anchors gathered by a task before it sends them on, symbols of one transform.
-STRETCH, GATHER, SYMBOLS = 2_000_000, 3_000_000, 1_000_000
+STRETCH, GATHER, SYMBOLS = 2_000_000, 1_500_000, 1_000_000
+#: Bytes of texts whose windows are found together; parts of the documents in which their suspects are put together.
+JOINT, PARTS = 500_000, 512
 #: Anchors of a bucket in expectation; distinct stretches of an anchor above which its strings are dealt out singly.
 BUCKET, CROWDED = 1_000_000, 8_000
 _PLACE = np.uint64((1 << 24) - 1)
@@ -39,23 +41,67 @@ def gram_hashes(b: np.ndarray, n: int = GRAM) -> np.ndarray:
     return mix(out)
 
 
+def windows(pieces: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(all bytes, first window, windows, anchor hash) for stretches of windows that share an anchor; windows lie in one piece each."""
+    whole = np.frombuffer(b"".join(pieces), np.uint8)
+    if len(whole) < length:
+        return whole, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    h = gram_hashes(whole)
+    key = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
+    span, m = 1, key
+    want = length - GRAM + 1
+    while 2 * span <= want:
+        m = np.minimum(m[:-span], m[span:])
+        span *= 2
+    m = np.minimum(m[:len(m) - (want - span)], m[want - span:])
+    at = (m & _PLACE).astype(np.int64)
+    across = (np.cumsum([len(p) for p in pieces[:-1]], dtype=np.int64)[:, None] - np.arange(1, length)).ravel()
+    at[across[(across >= 0) & (across < len(at))]] = -1
+    first = np.flatnonzero(np.diff(at, prepend=-2))
+    n = np.diff(first, append=len(at))
+    inside = at[first] >= 0
+    first, n = first[inside], n[inside]
+    return whole, first, n, h[at[first]]
+
+
 def sections(text: bytes, length: int = LENGTH) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(offset, first window, windows, anchor hash) for stretches of windows that share an anchor."""
-    whole = np.frombuffer(text, np.uint8)
-    last = len(whole) - length + 1
+    """(offset, first window, windows, anchor hash) for stretches of windows of a text that share an anchor."""
+    for off, piece in _pieces(text, length):
+        yield off, *windows([piece], length)[1:]
+
+
+def _pieces(text: bytes, length: int = LENGTH) -> Iterator[tuple[int, bytes]]:
+    """(offset, bytes) of pieces with at most STRETCH windows each; every window lies in one piece."""
+    last = len(text) - length + 1
     for off in range(0, max(0, last), STRETCH):
-        b = whole[off:min(off + STRETCH, last) + length - 1]
-        h = gram_hashes(b)
-        key = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
-        span, m = 1, key
-        want = length - GRAM + 1
-        while 2 * span <= want:
-            m = np.minimum(m[:-span], m[span:])
-            span *= 2
-        m = np.minimum(m[:len(m) - (want - span)], m[want - span:])
-        at = (m & _PLACE).astype(np.int64)
-        first = np.flatnonzero(np.diff(at, prepend=-1))
-        yield off, first, np.diff(first, append=len(at)), h[at[first]]
+        yield off, text[off:min(off + STRETCH, last) + length - 1]
+
+
+def _blocks(texts: Iterator[tuple[int, bytes]]) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+    """(row, offset, bytes) of the pieces of many texts, some JOINT bytes at a time: short texts would cost a round of small steps each."""
+    row, offset, pieces, size = [], [], [], 0
+    for k, text in texts:
+        for off, piece in _pieces(text):
+            row.append(k)
+            offset.append(off)
+            pieces.append(piece)
+            size += len(piece)
+            if size >= JOINT:
+                yield np.array(row), np.array(offset), pieces
+                row, offset, pieces, size = [], [], [], 0
+    if pieces:
+        yield np.array(row), np.array(offset), pieces
+
+
+def _piece_of(pieces: list[bytes], first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The piece that holds each place, and where each piece begins."""
+    begin = np.cumsum([0] + [len(p) for p in pieces[:-1]])
+    return np.searchsorted(begin, first, side="right") - 1, begin
+
+
+def _short(h: np.ndarray, bits: int) -> np.ndarray:
+    """Bucket and short anchor in one number."""
+    return ((h >> np.uint64(64 - bits)) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
 
 
 def _texts(batches):
@@ -67,100 +113,119 @@ def _texts(batches):
 def _gather(bits: int):
     """Anchors by bucket. Those that two documents of the same task share are suspects at once, and only one of them
     goes on, so a passage of very many documents is one anchor per task."""
-    def packed(h: np.ndarray, ids: np.ndarray, doc: np.ndarray):
-        bucket = (h >> np.uint64(64 - bits)).astype(np.int64)
-        short = h.astype(np.uint32)
-        order = np.lexsort((short, bucket))
-        new = np.concatenate([[True], (np.diff(bucket[order]) != 0) | (np.diff(short[order]) != 0)])
-        rank = np.cumsum(new) - 1
-        lo, hi = np.minimum.reduceat(doc[order], np.flatnonzero(new)), np.maximum.reduceat(doc[order], np.flatnonzero(new))
-        many = np.zeros(len(h), bool)
-        many[order] = (lo < hi)[rank]
-        lead = np.zeros(len(h), bool)
-        lead[order[np.flatnonzero(new)]] = True
+    def packed(keys: list[np.ndarray], ids: np.ndarray, docs: list[np.ndarray]):
+        key, doc = np.concatenate(keys), np.concatenate(docs)
+        keys.clear()
+        docs.clear()
+        order = np.argsort(key, kind="stable")
+        key, doc = key[order], doc[order]  # documents come in order
+        once = np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])
+        key, doc = key[once], doc[once]
+        lead = np.concatenate([[True], key[1:] != key[:-1]])
+        first = np.flatnonzero(lead)
+        n = np.diff(first, append=len(key))
+        many = np.repeat(n > 1, n)
         turn = 0  # the suspects found here need no counting and are spread over all routes
         for pick, kind in ((many, 1), (lead, 0)):
-            at = np.flatnonzero(pick)
-            at = at[np.argsort(bucket[at], kind="stable")]  # by bucket, then document
-            cuts = np.flatnonzero(np.diff(bucket[at], prepend=-1))
-            for a, b in zip(cuts, [*cuts[1:], len(at)]):
-                part = at[a:b]
-                d, n = np.unique(doc[part], return_counts=True)
-                own = int(bucket[part[0]])
+            k, d = key[pick], doc[pick]
+            bucket = (k >> np.uint64(32)).astype(np.int64)
+            order = np.argsort((bucket << 32) | d, kind="stable")  # by bucket, then document
+            bucket, d, short = bucket[order], d[order], k[order].astype(np.uint32)
+            cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+            for a, b in zip(cuts, [*cuts[1:], len(d)]):
+                held, n = np.unique(d[a:b], return_counts=True)
+                own = int(bucket[a])
                 turn += 1
-                yield {"route": [(own + kind * turn) % (1 << bits)], "bucket": [own], "kind": [kind], "ids": [zlib.compress(np.diff(ids[d], prepend=0).tobytes(), 1)],
-                       "counts": [zlib.compress(n.astype(np.uint32).tobytes(), 1)], "anchors": [short[part].tobytes()]}
+                yield {"route": [(own + kind * turn) % (1 << bits)], "bucket": [own], "kind": [kind], "ids": [zlib.compress(np.diff(ids[held], prepend=0).tobytes(), 1)],
+                       "counts": [zlib.compress(n.astype(np.uint32).tobytes(), 1)], "anchors": [short[a:b].tobytes()]}
 
     def run(batches):
-        hs, ids, docs, n = [], [], [], 0
-        for i, text in _texts(batches):
-            own = [np.unique(h) for *_, h in sections(text)]
-            if not own:
-                continue
-            h = np.unique(np.concatenate(own))
-            docs.append(np.full(len(h), len(ids)))
-            ids.append(i)
-            hs.append(h)
+        ids: list[int] = []
+
+        def numbered():
+            for i, text in _texts(batches):
+                ids.append(i)
+                yield len(ids) - 1, text
+        keys, docs, n = [], [], 0
+        for row, _, pieces in _blocks(numbered()):
+            _, first, _, h = windows(pieces)
+            keys.append(_short(h, bits))
+            docs.append(row[_piece_of(pieces, first)[0]])
             n += len(h)
             if n >= GATHER:
-                yield from packed(np.concatenate(hs), np.array(ids, np.int64), np.concatenate(docs))
-                hs, ids, docs, n = [], [], [], 0
-        if hs:
-            yield from packed(np.concatenate(hs), np.array(ids, np.int64), np.concatenate(docs))
+                yield from packed(keys, np.array(ids, np.int64), docs)
+                n = 0
+        if n:
+            yield from packed(keys, np.array(ids, np.int64), docs)
     return run
 
 
 def _suspect(batches):
-    """Anchors of more than one document, listed by document."""
-    def listed(bucket, ids, anchors):
-        order = np.argsort(ids, kind="stable")
-        ids, anchors = ids[order], anchors[order]
-        cuts = np.flatnonzero(np.diff(ids, prepend=ids[0] - 1)) if len(ids) else []
-        ends = [*cuts[1:], len(ids)]
-        return {"_id": ids[cuts] if len(ids) else [], "bucket": [bucket] * len(cuts),
-                "anchors": [anchors[a:b].tobytes() for a, b in zip(cuts, ends)]}
+    """Anchors of more than one document, by part of the documents: a row per route and part, so their number does not go with documents
+    times buckets."""
+    def by_part(ids: list[np.ndarray], anchors: list[np.ndarray]) -> dict:
+        i, a = np.concatenate(ids), np.concatenate(anchors)
+        ids.clear()
+        anchors.clear()
+        part = (mix(i.view(np.uint64)) % np.uint64(PARTS)).astype(np.int16)
+        order = np.argsort(part, kind="stable")
+        i, a, part = i[order], a[order], part[order]
+        cuts = np.flatnonzero(np.diff(part, prepend=-1))
+        ends = [*cuts[1:], len(i)]
+        return {"part": part[cuts], "ids": [i[x:y].tobytes() for x, y in zip(cuts, ends)], "anchors": [a[x:y].tobytes() for x, y in zip(cuts, ends)]}
 
     for g in groups(batches, "route"):
-        held_i, held_a, own = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)], 0
+        held_i, held_a, own_i, own_a = [], [], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
         for bucket, kind, i, n, a in zip(*(g.column(c).to_pylist() for c in ("bucket", "kind", "ids", "counts", "anchors"))):
             ids = np.repeat(np.cumsum(np.frombuffer(zlib.decompress(i), np.int64)), np.frombuffer(zlib.decompress(n), np.uint32))
-            anchors = np.frombuffer(a, np.uint32)
-            if kind:
-                yield listed(bucket, ids, anchors)
-            else:
-                own = bucket
-                held_i.append(ids)
-                held_a.append(anchors)
-        ids, anchors = np.concatenate(held_i), np.concatenate(held_a)
-        if not len(ids):
-            continue
-        order = np.argsort(anchors, kind="stable")
-        a, i = anchors[order], ids[order]
-        first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
-        many = np.minimum.reduceat(i, first) < np.maximum.reduceat(i, first)
-        keep = np.repeat(many, np.diff(first, append=len(a)))
-        yield listed(own, i[keep], a[keep])
+            anchors = np.frombuffer(a, np.uint32).astype(np.uint64) | np.uint64(bucket << 32)
+            (held_i if kind else own_i).append(ids)
+            (held_a if kind else own_a).append(anchors)
+            if sum(map(len, held_i)) > GATHER:
+                yield by_part(held_i, held_a)
+        ids, anchors = np.concatenate(own_i), np.concatenate(own_a)
+        if len(ids):
+            order = np.argsort(anchors, kind="stable")
+            a, i = anchors[order], ids[order]
+            first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+            many = np.minimum.reduceat(i, first) < np.maximum.reduceat(i, first)
+            keep = np.repeat(many, np.diff(first, append=len(a)))
+            held_i.append(i[keep])
+            held_a.append(a[keep])
+        if held_i:
+            yield by_part(held_i, held_a)
+
+
+def _listed(batches):
+    """The suspects of every document."""
+    for g in groups(batches, "part"):
+        ids = np.frombuffer(b"".join(g.column("ids").to_pylist()), np.int64)
+        anchors = np.frombuffer(b"".join(g.column("anchors").to_pylist()), np.uint64)
+        order = np.argsort(ids, kind="stable")
+        ids, anchors = ids[order], anchors[order]
+        cuts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        yield {"_id": ids[cuts], "anchors": [anchors[a:b].tobytes() for a, b in zip(cuts, [*cuts[1:], len(ids)])]}
 
 
 def _stretches(bits: int):
-    """Where the windows of suspected anchors are, and a hash of their bytes."""
+    """Where the windows of suspected anchors are, and a hash of their bytes. A block's texts share their suspects: an anchor
+    suspected in one of them is so in all that hold it."""
     def run(batches):
         names = ("_id", "_td", "at", "n", "anchor", "k")
         for b in batches:
+            ids, tds = (np.array(b.column(k).to_pylist(), np.int64) for k in (0, 1))
             held: list[tuple] = []
             size = 0
-            for i, td, text, asked in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist()):
-                wanted = np.unique(np.concatenate([(np.uint64(q["bucket"]) << np.uint64(32)) | np.frombuffer(q["anchors"], np.uint32).astype(np.uint64)
-                                                   for q in asked]))
-                text = text.as_py().encode()
-                for off, first, n, h in sections(text):
-                    short = ((h >> np.uint64(64 - bits)) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
-                    pick = np.flatnonzero(np.isin(short, wanted))
-                    at, m = first[pick], n[pick]
-                    chunk = np.frombuffer(text, np.uint8)[off:off + int(first[-1] + n[-1]) + LENGTH - 1]
-                    held.append((np.full(len(at), i), np.full(len(at), td), at + off, m, h[pick].view(np.int64),
-                                 span_hashes(chunk, at, at + m + LENGTH - 1).view(np.int64)))
-                    size += len(at)
+            for row, off, pieces in _blocks((k, t.as_py().encode()) for k, t in enumerate(b.column(2))):
+                whole, first, n, h = windows(pieces)
+                wanted = np.unique(np.frombuffer(b"".join(b.column(3)[k].as_py() for k in np.unique(row).tolist()), np.uint64))
+                short = _short(h, bits)
+                pick = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, short), len(wanted) - 1)] == short)
+                at, m = first[pick], n[pick]
+                piece, begin = _piece_of(pieces, at)
+                held.append((ids[row[piece]], tds[row[piece]], at - begin[piece] + off[piece], m, h[pick].view(np.int64),
+                             span_hashes(whole, at, at + m + LENGTH - 1).view(np.int64)))
+                size += len(at)
                 if size > 200_000:
                     yield dict(zip(names, map(np.concatenate, zip(*held))))
                     held, size = [], 0
@@ -174,13 +239,16 @@ def _bytes(batches):
     for b in batches:
         out: dict[str, list] = {"anchor": [], "k": [], "m": [], "first": [], "bytes": []}
         size = 0
-        for i, text, asked in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
+        asked = b.column(2)
+        ends, flat = asked.offsets.to_pylist(), asked.values
+        fields = {c: flat.field(c).to_pylist() for c in ("at", "n", "anchor", "k", "m")}
+        for row, (i, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1))):
             text = text.as_py().encode()
-            for q in asked:
-                part = text[q["at"]:q["at"] + q["n"] + LENGTH - 1]
-                for name, v in zip(out, (q["anchor"], q["k"], q["m"], i, part)):
-                    out[name].append(v)
-                size += len(part)
+            at = slice(ends[row], ends[row + 1])
+            parts = [text[p:p + n + LENGTH - 1] for p, n in zip(fields["at"][at], fields["n"][at])]
+            for name, v in zip(out, (fields["anchor"][at], fields["k"][at], fields["m"][at], [i] * len(parts), parts)):
+                out[name].extend(v)
+            size += sum(map(len, parts))
             if size > 4_000_000:
                 yield out
                 out, size = {n: [] for n in out}, 0
@@ -255,64 +323,81 @@ def earliest(parts: list[bytes], ids: np.ndarray, length: int = LENGTH) -> list[
 
 def _expand(batches):
     """Whole anchors, sorted, several to a transform."""
-    held: list[pa.Table] = []
-    size = 0
-    for g in groups(batches, "anchor"):
-        n = sum(map(len, g.column("bytes").to_pylist()))
-        if held and size + n > SYMBOLS:
-            yield _expanded(held)
-            held, size = [], 0
-        held.append(g)
-        size += n
+    held: list[pa.RecordBatch] = []
+    size, last = 0, None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        anchor = np.asarray(b.column(b.schema.get_field_index("anchor")))
+        upto = np.concatenate([[0], np.cumsum(np.asarray(pc.binary_length(b.column(b.schema.get_field_index("bytes"))), np.int64))])
+        new = np.flatnonzero(np.concatenate([[last is not None and anchor[0] != last], anchor[1:] != anchor[:-1]]))
+        start = 0
+        while True:  # the first anchor that begins with half the symbols at hand; no anchor has more than about the other half
+            full = np.searchsorted(upto, upto[start] + SYMBOLS // 2 - size)
+            k = np.searchsorted(new, max(full, start + (not held)))
+            if k == len(new):
+                break
+            stop = int(new[k])
+            yield _expanded([*held, b.slice(start, stop - start)])
+            held, size, start = [], 0, stop
+        held.append(b.slice(start))
+        size += int(upto[-1] - upto[start])
+        last = anchor[-1]
     if held:
         yield _expanded(held)
 
 
-def _expanded(held: list[pa.Table]) -> dict:
-    every = pa.concat_tables(held)
+def _expanded(held: list[pa.RecordBatch]) -> dict:
+    every = pa.Table.from_batches(held)
     ids = np.array(every.column("first").to_pylist(), np.int64)
     found = earliest(every.column("bytes").to_pylist(), ids)
-    return {"anchor": every.column("anchor").combine_chunks(), "k": every.column("k").combine_chunks(),
-            "least": [zlib.compress(f.tobytes(), 1) for f in found]}
+    return {"anchor": every.column("anchor").combine_chunks(), "k": every.column("k").combine_chunks(), "least": [_packed(f) for f in found]}
+
+
+def _packed(least: np.ndarray) -> bytes:
+    """Least ids by place; eight bytes where all are the same."""
+    return least[:1].tobytes() if (least == least[0]).all() else zlib.compress(least.tobytes(), 1)
 
 
 def _ranges(batches):
     """Bytes to remove: of every window whose string starts in a smaller document."""
     for b in batches:
-        ids, tds, starts, ends = [], [], [], []
-        for i, td, at, _, least in zip(*(b.column(k).to_pylist() for k in range(5))):
-            gone = np.frombuffer(zlib.decompress(least), np.int64) < i
-            if gone.all():
-                cut = (0, len(gone))
-            elif gone.any():
+        ids, tds, at, n = (np.array(b.column(k).to_pylist(), np.int64) for k in range(4))
+        least = b.column(4)
+        same = np.asarray(pc.binary_length(least), np.int64) == 8
+        low = np.frombuffer(b"".join(least.filter(pa.array(same)).to_pylist()), np.int64)
+        whole = np.flatnonzero(same)[low < ids[same]]
+        row, starts, ends = [], [], []
+        for k in np.flatnonzero(~same).tolist():
+            gone = np.frombuffer(zlib.decompress(least[k].as_py()), np.int64) < ids[k]
+            if gone.any():
                 cut = np.flatnonzero(np.diff(gone.view(np.int8), prepend=np.int8(0), append=np.int8(0))).tolist()
-            else:
-                continue
-            for a, z in zip(cut[0::2], cut[1::2]):
-                ids.append(i)
-                tds.append(td)
-                starts.append(at + a)
-                ends.append(at + z + LENGTH - 1)
-        yield {"_id": ids, "_td": tds, "s": starts, "e": ends}
+                row += [k] * (len(cut) // 2)
+                starts += cut[0::2]
+                ends += cut[1::2]
+        row = np.concatenate([whole, np.array(row, np.int64)])
+        starts = np.concatenate([np.zeros(len(whole), np.int64), np.array(starts, np.int64)])
+        ends = np.concatenate([n[whole], np.array(ends, np.int64)])
+        yield {"_id": ids[row], "_td": tds[row], "s": at[row] + starts, "e": at[row] + ends + LENGTH - 1}
 
 
 def _cut(batches):
     for b in batches:
         out: dict[str, list] = {"_id": [], "n_bytes": [], "n_removed": [], "n_spans": [], "kept": []}
-        for i, text, cuts in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
+        cuts = b.column(2)
+        bounds = cuts.offsets.to_pylist()
+        all_s, all_e = (np.asarray(cuts.values.field(c)) for c in ("s", "e"))
+        for row, (i, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1))):
             text = text.as_py().encode()
-            kept, spans, removed, at = text, 0, 0, 0
-            if cuts:
-                pieces = []
-                for s, e in sorted((c["s"], c["e"]) for c in cuts):
-                    if s > at or not spans:
-                        pieces.append(text[at:s])
-                        spans += 1
-                        removed += e - s
-                    else:
-                        removed += max(0, e - at)
-                    at = max(at, e)
-                kept = b"".join([*pieces, text[at:]])
+            kept, spans, removed = text, 0, 0
+            if cuts[row].is_valid and bounds[row] < bounds[row + 1]:
+                s, e = all_s[bounds[row]:bounds[row + 1]], all_e[bounds[row]:bounds[row + 1]]
+                order = np.argsort(s)
+                s, e = s[order], np.maximum.accumulate(e[order])
+                new = np.flatnonzero(np.concatenate([[True], s[1:] > e[:-1]]))  # runs that touch are one
+                s, e = s[new], e[np.append(new[1:] - 1, len(e) - 1)]
+                spans, removed = len(s), int((e - s).sum())
+                kept = b"".join(text[a:z] for a, z in zip([0, *e.tolist()], [*s.tolist(), len(text)]))
             for name, v in zip(out, (i, len(text), removed, spans, kept)):
                 out[name].append(v)
         yield out
@@ -362,12 +447,11 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def _candidates(spark: SparkSession, rows: DataFrame, keyed: DataFrame, bits: int):
     packed = map_arrow(rows, _gather(bits), "route long, bucket long, kind int, ids binary, counts binary, anchors binary")
-    suspects, drop = scratch(map_arrow(packed.repartition("route").sortWithinPartitions("route"), _suspect,
-                                       "_id long, bucket long, anchors binary"))
-    del packed
+    by_part = map_arrow(packed.repartition(1 << min(bits, 12), "route").sortWithinPartitions("route"), _suspect, "part long, ids binary, anchors binary")
+    suspects, drop = scratch(map_arrow(by_part.repartition("part").sortWithinPartitions("part"), _listed, "_id long, anchors binary"))
+    del packed, by_part
     _settled(spark)
-    asked = suspects.groupBy("_id").agg(F.collect_list(F.struct("bucket", "anchors")).alias("asked"))
-    stretches, drop2 = scratch(map_arrow(keyed.join(asked, "_id").select("_id", "_td", "_text", "asked"), _stretches(bits),
+    stretches, drop2 = scratch(map_arrow(keyed.join(suspects, "_id").select("_id", "_td", "_text", "anchors"), _stretches(bits),
                                          "_id long, _td int, at long, n int, anchor long, k long"))
     drop()
     return stretches, drop2
@@ -408,4 +492,4 @@ def _removed(spark: SparkSession, keyed: DataFrame, stretches: DataFrame) -> Dat
 def _pack(batches):
     for b in batches:
         yield {"anchor": b.column(0), "k": b.column(1),
-               "least": [zlib.compress(np.array(x, np.int64).tobytes(), 1) for x in b.column(2).to_pylist()]}
+               "least": [_packed(np.array(x, np.int64)) for x in b.column(2).to_pylist()]}
