@@ -21,9 +21,9 @@ LENGTH = 50
 #: leftmost of equals, is its anchor, so equal strings have equal anchors at equal places.
 GRAM = 22
 #: Windows handled at once, anchors gathered by a task before it sends them on, symbols of one transform.
-STRETCH, GATHER, SYMBOLS = 2_000_000, 1_500_000, 1_000_000
+STRETCH, GATHER, SYMBOLS = 1_000_000, 1_000_000, 700_000
 #: Bytes of texts whose windows are found together; parts of the documents in which their suspects are put together.
-JOINT, PARTS = 500_000, 512
+JOINT, PARTS = 200_000, 512
 #: Anchors of a bucket in expectation; distinct stretches of an anchor above which its strings are dealt out singly.
 BUCKET, CROWDED = 1_000_000, 8_000
 _PLACE = np.uint64((1 << 24) - 1)

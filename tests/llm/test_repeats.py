@@ -1,6 +1,7 @@
 """Steps of the removal of repeated byte strings: blocks of texts, and how many rows the suspects are."""
 from __future__ import annotations
 
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -31,3 +32,16 @@ def test_suspects_are_a_row_per_route_and_part():
 
 def test_constant_least_ids_need_eight_bytes():
     assert len(repeats._packed(np.full(29, 7))) == 8 and len(repeats._packed(np.arange(2))) > 8
+
+
+def test_gathering_holds_a_small_block():
+    """Twenty million bytes in one batch: what a worker holds to list their anchors stays far below the 3000 MB of an executor."""
+    rng = np.random.default_rng(5)
+    texts = ["".join(map(chr, rng.integers(97, 123, 20_000))) for _ in range(1000)]
+    batch = pa.record_batch([pa.array(range(1000), pa.int64()), pa.array(texts)], names=["_id", "_text"])
+    tracemalloc.start()
+    made = sum(len(r["ids"]) for r in repeats._gather(6)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert made > 0
+    assert peak < 110e6
