@@ -20,7 +20,7 @@ LENGTH = 50
 #: Bytes of an anchor. Every string of LENGTH bytes holds LENGTH - GRAM + 1 grams; the one with the least hash, the
 #: leftmost of equals, is its anchor, so equal strings have equal anchors at equal places.
 GRAM = 22
-#: Windows handled at once, anchors gathered by a task before it sends them on, symbols of one transform.
+#: Windows handled at once, anchors gathered by a task before it sends them on; a transform has half of SYMBOLS and what an anchor adds.
 STRETCH, GATHER, SYMBOLS = 1_000_000, 1_000_000, 700_000
 #: Bytes of texts whose windows are found together; parts of the documents in which their suspects are put together.
 JOINT, PARTS = 200_000, 512
@@ -332,7 +332,7 @@ def _expand(batches):
         upto = np.concatenate([[0], np.cumsum(np.asarray(pc.binary_length(b.column(b.schema.get_field_index("bytes"))), np.int64))])
         new = np.flatnonzero(np.concatenate([[last is not None and anchor[0] != last], anchor[1:] != anchor[:-1]]))
         start = 0
-        while True:  # the first anchor that begins with half the symbols at hand; no anchor has more than about the other half
+        while True:  # up to the first anchor that begins with half the symbols at hand
             full = np.searchsorted(upto, upto[start] + SYMBOLS // 2 - size)
             k = np.searchsorted(new, max(full, start + (not held)))
             if k == len(new):
