@@ -3,6 +3,9 @@
 Two tables depend on each other: the claims of junctions (a junction with two lines or less gives its claims up) and the
 absorbed samples (short pieces that dangle from a junction). Both only move one way, so rounds over them end; an image whose
 round changed nothing leaves the loop with its state, and later rounds read the others alone.
+
+Images are independent of each other. One that fits a task is solved there with all its rounds (`line_image`); those that do not go
+through rounds of joins.
 """
 from __future__ import annotations
 
@@ -14,6 +17,7 @@ from pyspark.sql import functions as F
 
 from filigrane import tables as T
 from filigrane.operators import events as V
+from filigrane.operators import line_image as M
 from filigrane.operators import network as N
 from filigrane.operators import runs as R
 from filigrane.operators.scan import CHUNK, at_positions, groups_by_break, running
@@ -23,6 +27,10 @@ E = list(R.EDGE)
 #: Samples a line may miss, and pieces shorter than this (px) count as no line of their own.
 BRIDGE = 6
 ARM_MIN_PX = 0.5 * T.LAMBDA_PX
+#: Samples and records of an image that is solved in one task.
+SMALL = 1 << 17
+#: Samples and records of the images that make up a task.
+DEALT = 1 << 16
 
 
 @dataclass
@@ -180,10 +188,34 @@ def line_state(samples: DataFrame, records: DataFrame, claims: DataFrame, centre
     return State(s.drop("_ck", "_ca", "_pm", "_nm", "_po", "_no", "_pa", "_na"), runs.drop("pieces", "ds"), edges, degree)
 
 
+def _fitting(s: DataFrame, rec: DataFrame, small: int) -> DataFrame:
+    """image_id, n: images of at most `small` samples and records, all of them whole: edges dense from 0, nothing null or NaN."""
+    edges = s.groupBy(*E).agg(F.count(F.lit(1)).alias("n"), F.min("i").alias("lo"), F.max("i").alias("hi"), F.expr(
+        "bool_and(coalesce(not isnan(x + y + r + st + ds + prom) and in_frame is not null and obs is not null, false))").alias("whole"))
+    images = edges.groupBy("image_id").agg(F.sum("n").alias("n"), F.expr("bool_and(whole and lo = 0 and hi + 1 = n)").alias("whole"))
+    more = rec.groupBy("image_id").agg(F.count(F.lit(1)).alias("m"))
+    return images.join(more, "image_id", "left").selectExpr("image_id", "n + coalesce(m, 0L) as n", "whole").where(f"whole and n <= {small}").drop("whole")
+
+
+def _in_memory(s: DataFrame, rec: DataFrame, cl: DataFrame, centres: DataFrame, images: DataFrame, bridge: int, arm_min: float) -> DataFrame:
+    """Everything at rest of the images, which are solved one by one in tasks of about DEALT rows (M.KNOWN)."""
+    def rows(df, kind, **cols):
+        return df.join(images.select("image_id"), "image_id", "left_semi").select(
+            F.lit(kind).alias("kind"), F.col("image_id").cast("long"),
+            *[F.expr(cols.get(c, "null")).cast(t).alias(c) for c, t in (f.strip().split() for f in M.GIVEN.split(",")[2:])])
+    given = rows(s, M.SAMPLE, l0="vid", l1="i", d0="x", d1="y", d2="r", d3="st", d4="ds", d5="prom", b0="in_frame", b1="obs").unionByName(
+        rows(rec, M.RECORD, l0="a", l1="b", l2="i", l3="j")).unionByName(
+        rows(cl.join(centres.selectExpr("image_id", "jid", "x as cx", "y as cy"), ["image_id", "jid"], "left"), M.CLAIM,
+             l0="vid", l1="jid", l2="lo", l3="hi", d0="cx", d1="cy"))
+    n, k = images.agg(F.sum("n"), F.count(F.lit(1))).first()
+    tasks = max(1, -(-n // DEALT), min(k, 2 * s.sparkSession.sparkContext.defaultParallelism))
+    return checkpointed(given.repartition(tasks, "image_id").groupBy("image_id").applyInArrow(M.settle(bridge, arm_min), M.KNOWN))
+
+
 def line_fixpoint(samples: DataFrame, records: DataFrame, claims: DataFrame, centres: DataFrame, bridge: int = BRIDGE,
-                  arm_min: float = ARM_MIN_PX) -> tuple[State, DataFrame]:
+                  arm_min: float = ARM_MIN_PX, small: int = SMALL) -> tuple[State, DataFrame]:
     """The state in which every junction left has three lines or more and no stub is left, and those junctions (image_id, jid).
-    Inputs as line_state.
+    Inputs as line_state. Images of at most `small` samples and records are solved in a task each, the others in rounds.
 
     A round takes the images that are still open. Junctions with two lines or less give their claims up, so that lines pass
     through; stubs are absorbed. Claims only go and absorbed samples only come, so an image is settled after finitely many
@@ -192,6 +224,15 @@ def line_fixpoint(samples: DataFrame, records: DataFrame, claims: DataFrame, cen
     s = checkpointed(samples.select(*E, "i", "x", "y", "r", "st", "ds", "prom", "in_frame", "obs"))
     rec, cl, ab = checkpointed(records.select("image_id", "a", "b", "i", "j").distinct()), checkpointed(claims.select(*E, "jid", "lo", "hi")), None
     out = {k: _Stored(spark) for k in ("samples", "runs", "edges", "degree", "active")}
+    images = checkpointed(_fitting(s, rec, small))
+    if not images.isEmpty():
+        known = _in_memory(s, rec, cl, centres, images, bridge, arm_min)
+        for kind, name in enumerate(M.KINDS):
+            out[name].add(known.where(f"kind = {kind}").selectExpr(*M.KINDS[name]))
+        s, rec, cl = (x.join(images, "image_id", "left_anti") for x in (s, rec, cl))
+        if s.isEmpty():
+            return State(*(out[k].read() for k in ("samples", "runs", "edges", "degree"))), out["active"].read()
+        s, rec, cl = checkpointed(s), checkpointed(rec), checkpointed(cl)
     while True:
         st = line_state(s, rec, cl, centres, ab, bridge, arm_min)
         st = State(checkpointed(st.samples), checkpointed(st.runs), checkpointed(st.edges), checkpointed(st.degree))
