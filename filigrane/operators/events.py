@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from filigrane import tables as T
 from filigrane.functions import columns as C
+from filigrane.operators import event_image as M
 from filigrane.operators import relate as J
 from filigrane.operators import runs as R
 from filigrane.operators import rules as U
@@ -18,6 +19,8 @@ from filigrane.session import checkpointed
 
 E = list(R.EDGE)
 MARGIN = "greatest(3L, cast(ceil((2 * st + 1) / ds) as long))"
+#: Discs and events of an image that is clustered in one task; rows of the images that make up a task.
+DISCS, EVENTS, DEALT = 1 << 15, 1 << 11, 1 << 16
 
 
 def crossing_cores(crossings: DataFrame, samples: DataFrame, runs: DataFrame, seen: str = "seen") -> DataFrame:
@@ -129,16 +132,19 @@ def fading_cores(ends: DataFrame, samples: DataFrame) -> DataFrame:
 
 
 def drop_redundant(cores: DataFrame) -> DataFrame:
-    """Fading ends of a pair that also crosses or touches are explained by that."""
+    """Fading ends of a pair that also crosses or touches are explained by that. cores is read three times."""
     pair = cores.groupBy("image_id", "ev", "kind").agg(F.min("vid").alias("p"), F.max("vid").alias("q"))
     solid = pair.where("kind <> 'vis_end'").select("image_id", "p", "q").distinct()
     gone = pair.where("kind = 'vis_end'").join(solid, ["image_id", "p", "q"]).select("ev")
     return cores.join(gone, "ev", "left_anti")
 
 
-def cluster_events(cores: DataFrame, samples: DataFrame):
+def cluster_events(cores: DataFrame, samples: DataFrame, discs: int = DISCS, events: int = EVENTS):
     """Events whose regions (discs of their core samples within 2 lambda of the centre) intersect, by complete linkage.
-    Returns (image_id, ev, cluster, x, y, extent)."""
+    Returns (image_id, ev, cluster, x, y, extent).
+
+    Images are independent: one of at most so many discs and events is clustered in one task (`event_image`), the others by joins. An image
+    with a place or reach that is NaN is left to the joins."""
     d = (R.interval_samples(cores, samples.select(*E, "i", samples["x"].alias("sx"), samples["y"].alias("sy"), "r", "st"), E)
          .withColumn("w", F.expr("r + st")).withColumn("d", F.expr("sqrt(power(sx - x, 2) + power(sy - y, 2))"))
          .where(f"d <= {2 * T.LAMBDA_PX}D"))
@@ -146,6 +152,17 @@ def cluster_events(cores: DataFrame, samples: DataFrame):
     ext = d.groupBy("image_id", "ev").agg(F.expr("max(d + w)").alias("extent"))
     ev = checkpointed(cores.groupBy("image_id", "ev").agg(F.min("x").alias("x"), F.min("y").alias("y"))
                       .join(ext, ["image_id", "ev"]))
+    size = d.groupBy("image_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("ev").alias("m"), F.expr(
+        "bool_and(coalesce(not isnan(sx + sy + w + d), false))").alias("whole"))
+    sound = ev.groupBy("image_id").agg(F.expr("bool_and(coalesce(not isnan(x + y + extent), false))").alias("sound"))
+    images = checkpointed(size.join(sound, "image_id").where(f"whole and sound and n <= {discs} and m <= {events}").select("image_id", "n", "m"))
+    done = None
+    if not images.isEmpty():
+        done = checkpointed(_in_memory(d, ev, images))
+        d, ev = (t.join(images, "image_id", "left_anti") for t in (d, ev))
+        if ev.isEmpty():
+            return done
+        d, ev = checkpointed(d), checkpointed(ev)
     p = d.selectExpr("image_id", "ev", "sx as x", "sy as y", "w")
     hits = J.reach_join(tag(p, "a"), tag(p, "b"), "a_w", "b_w", T.REACH_CLASSES, "a_ev < b_ev").selectExpr(
         "image_id", "a_ev as a", "b_ev as b").distinct()
@@ -157,7 +174,18 @@ def cluster_events(cores: DataFrame, samples: DataFrame):
     fits = checkpointed(fits)
     pairs = hits.join(fits, ["image_id", "a", "b"])
     c = U.linkage(ev.selectExpr("image_id", "ev as id"), pairs, fits)
-    return checkpointed(ev.join(c.selectExpr("image_id", "id as ev", "cluster"), ["image_id", "ev"]))
+    by_joins = ev.join(c.selectExpr("image_id", "id as ev", "cluster"), ["image_id", "ev"])
+    return checkpointed(by_joins if done is None else done.unionByName(by_joins))
+
+
+def _in_memory(d: DataFrame, ev: DataFrame, images: DataFrame) -> DataFrame:
+    """Clusters of the images' events, image by image in tasks of about DEALT rows."""
+    given = (d.selectExpr("cast(image_id as long) as image_id", "ev", "true as disc", "sx as x", "sy as y", "cast(w as double) as w")
+             .unionByName(ev.selectExpr("cast(image_id as long) as image_id", "ev", "false as disc", "x", "y", "cast(extent as double) as w"))
+             .join(images.select("image_id"), "image_id", "left_semi"))
+    n, k = images.agg(F.expr("sum(n + m)"), F.count(F.lit(1))).first()
+    tasks = max(1, -(-n // DEALT), min(k, 2 * d.sparkSession.sparkContext.defaultParallelism))
+    return given.repartition(tasks, "image_id").groupBy("image_id").applyInArrow(M.clusters, M.FOUND)
 
 
 def junction_table(samples: DataFrame, w: int, h: int):
@@ -169,7 +197,7 @@ def junction_table(samples: DataFrame, w: int, h: int):
     cc = checkpointed(crossing_cores(x, s, res))
     tc = touching_cores(res, s, cc, x)
     fc = fading_cores(J.fading_ends(s, "seen", w, h), s)
-    cores = checkpointed(drop_redundant(cc.unionByName(tc).unionByName(fc)).where(C.doubles(C.in_frame("x", "y", w, h))))
+    cores = checkpointed(drop_redundant(checkpointed(cc.unionByName(tc).unionByName(fc))).where(C.doubles(C.in_frame("x", "y", w, h))))
     ev = cluster_events(cores, s)
     # centre: the event nearest the mean of a cluster; radius: its farthest event's region
     mean = ev.groupBy("image_id", "cluster").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"),
