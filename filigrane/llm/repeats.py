@@ -3,6 +3,7 @@ Burrows-Wheeler transform level by level up to the minimum length."""
 from __future__ import annotations
 
 import gc
+import random
 import time
 import zlib
 from collections.abc import Iterator
@@ -100,8 +101,19 @@ def _piece_of(pieces: list[bytes], first: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _short(h: np.ndarray, bits: int) -> np.ndarray:
-    """Bucket and short anchor in one number."""
-    return ((h >> np.uint64(64 - bits)) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
+    """Bucket and short anchor in one number. An anchor is the least of many hashes, so its upper bits are small; buckets go by those in the
+    middle, which are even."""
+    return (((h >> np.uint64(32)) & np.uint64((1 << bits) - 1)) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
+
+
+def _in_order(key: np.ndarray, value: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Both sorted by key (of so many bits), then value. In one number where they fit, as numbers alone sort much faster than their places."""
+    low = int(value.max()).bit_length() if len(value) else 0
+    if bits + low <= 64:
+        both = np.sort((key << np.uint64(low)) | value.astype(np.uint64))
+        return both >> np.uint64(low), (both & np.uint64((1 << low) - 1)).astype(value.dtype)
+    order = np.lexsort((value, key))
+    return key[order], value[order]
 
 
 def _texts(batches):
@@ -113,30 +125,28 @@ def _texts(batches):
 def _gather(bits: int):
     """Anchors by bucket. Those that two documents of the same task share are suspects at once, and only one of them
     goes on, so a passage of very many documents is one anchor per task."""
-    def packed(keys: list[np.ndarray], ids: np.ndarray, docs: list[np.ndarray]):
+    def packed(keys: list[np.ndarray], ids: np.ndarray, docs: list[np.ndarray], deal: random.Random):
         key, doc = np.concatenate(keys), np.concatenate(docs)
         keys.clear()
         docs.clear()
-        order = np.argsort(key, kind="stable")
-        key, doc = key[order], doc[order]  # documents come in order
+        key, doc = _in_order(key, doc, 32 + bits)
         once = np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])
         key, doc = key[once], doc[once]
         lead = np.concatenate([[True], key[1:] != key[:-1]])
         first = np.flatnonzero(lead)
         n = np.diff(first, append=len(key))
         many = np.repeat(n > 1, n)
-        turn = 0  # the suspects found here need no counting and are spread over all routes
         for pick, kind in ((many, 1), (lead, 0)):
             k, d = key[pick], doc[pick]
-            bucket = (k >> np.uint64(32)).astype(np.int64)
-            order = np.argsort((bucket << 32) | d, kind="stable")  # by bucket, then document
-            bucket, d, short = bucket[order], d[order], k[order].astype(np.uint32)
+            low = np.uint64(len(ids).bit_length())
+            place, short = _in_order(((k >> np.uint64(32)) << low) | d.astype(np.uint64), k & np.uint64(0xFFFFFFFF), bits + int(low))
+            bucket, d, short = (place >> low).astype(np.int64), (place & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64), short.astype(np.uint32)
             cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
             for a, b in zip(cuts, [*cuts[1:], len(d)]):
                 held, n = np.unique(d[a:b], return_counts=True)
                 own = int(bucket[a])
-                turn += 1
-                yield {"route": [(own + kind * turn) % (1 << bits)], "bucket": [own], "kind": [kind], "ids": [zlib.compress(np.diff(ids[held], prepend=0).tobytes(), 1)],
+                # the suspects found here need no counting and are dealt out over all routes, those of one bucket too
+                yield {"route": [deal.randrange(1 << bits) if kind else own], "bucket": [own], "kind": [kind], "ids": [zlib.compress(np.diff(ids[held], prepend=0).tobytes(), 1)],
                        "counts": [zlib.compress(n.astype(np.uint32).tobytes(), 1)], "anchors": [short[a:b].tobytes()]}
 
     def run(batches):
@@ -146,17 +156,18 @@ def _gather(bits: int):
             for i, text in _texts(batches):
                 ids.append(i)
                 yield len(ids) - 1, text
-        keys, docs, n = [], [], 0
+        keys, docs, n, deal = [], [], 0, None
         for row, _, pieces in _blocks(numbered()):
             _, first, _, h = windows(pieces)
             keys.append(_short(h, bits))
             docs.append(row[_piece_of(pieces, first)[0]])
             n += len(h)
             if n >= GATHER:
-                yield from packed(keys, np.array(ids, np.int64), docs)
+                deal = deal or random.Random(ids[0])
+                yield from packed(keys, np.array(ids, np.int64), docs, deal)
                 n = 0
         if n:
-            yield from packed(keys, np.array(ids, np.int64), docs)
+            yield from packed(keys, np.array(ids, np.int64), docs, deal or random.Random(ids[0]))
     return run
 
 
@@ -185,7 +196,7 @@ def _suspect(batches):
                 yield by_part(held_i, held_a)
         ids, anchors = np.concatenate(own_i), np.concatenate(own_a)
         if len(ids):
-            order = np.argsort(anchors, kind="stable")
+            order = np.argsort(anchors)
             a, i = anchors[order], ids[order]
             first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
             many = np.minimum.reduceat(i, first) < np.maximum.reduceat(i, first)
@@ -201,7 +212,7 @@ def _listed(batches):
     for g in groups(batches, "part"):
         ids = np.frombuffer(b"".join(g.column("ids").to_pylist()), np.int64)
         anchors = np.frombuffer(b"".join(g.column("anchors").to_pylist()), np.uint64)
-        order = np.argsort(ids, kind="stable")
+        order = np.argsort(ids)
         ids, anchors = ids[order], anchors[order]
         cuts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
         yield {"_id": ids[cuts], "anchors": [anchors[a:b].tobytes() for a, b in zip(cuts, [*cuts[1:], len(ids)])]}
@@ -213,7 +224,7 @@ def _stretches(bits: int):
     def run(batches):
         names = ("_id", "_td", "at", "n", "anchor", "k")
         for b in batches:
-            ids, tds = (np.array(b.column(k).to_pylist(), np.int64) for k in (0, 1))
+            ids, tds = (np.asarray(b.column(k), np.int64) for k in (0, 1))
             held: list[tuple] = []
             size = 0
             for row, off, pieces in _blocks((k, t.as_py().encode()) for k, t in enumerate(b.column(2))):
@@ -349,7 +360,7 @@ def _expand(batches):
 
 def _expanded(held: list[pa.RecordBatch]) -> dict:
     every = pa.Table.from_batches(held)
-    ids = np.array(every.column("first").to_pylist(), np.int64)
+    ids = np.asarray(every.column("first").combine_chunks(), np.int64)
     found = earliest(every.column("bytes").to_pylist(), ids)
     return {"anchor": every.column("anchor").combine_chunks(), "k": every.column("k").combine_chunks(), "least": [_packed(f) for f in found]}
 
@@ -359,13 +370,19 @@ def _packed(least: np.ndarray) -> bytes:
     return least[:1].tobytes() if (least == least[0]).all() else zlib.compress(least.tobytes(), 1)
 
 
+def _longs(eight: pa.Array) -> np.ndarray:
+    """The numbers in an array of eight bytes each."""
+    first = np.frombuffer(eight.buffers()[1], np.int32, 1, 4 * eight.offset)[0] if len(eight) else 0
+    return np.frombuffer(eight.buffers()[2], np.int64, len(eight), first) if len(eight) else np.zeros(0, np.int64)
+
+
 def _ranges(batches):
     """Bytes to remove: of every window whose string starts in a smaller document."""
     for b in batches:
-        ids, tds, at, n = (np.array(b.column(k).to_pylist(), np.int64) for k in range(4))
+        ids, tds, at, n = (np.asarray(b.column(k), np.int64) for k in range(4))
         least = b.column(4)
         same = np.asarray(pc.binary_length(least), np.int64) == 8
-        low = np.frombuffer(b"".join(least.filter(pa.array(same)).to_pylist()), np.int64)
+        low = _longs(least.filter(pa.array(same)))
         whole = np.flatnonzero(same)[low < ids[same]]
         row, starts, ends = [], [], []
         for k in np.flatnonzero(~same).tolist():
