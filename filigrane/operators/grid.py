@@ -29,10 +29,14 @@ def grid_join(a: DataFrame, b: DataFrame, cell: float, on: str, keys=("image_id"
     right = b.withColumn("_ox", near).withColumn("_oy", near) \
              .withColumn("_cx", F.expr(f"cast(floor({bx} / {cell!r}) as long) + _ox")) \
              .withColumn("_cy", F.expr(f"cast(floor({by} / {cell!r}) as long) + _oy")).drop("_ox", "_oy")
-    crowd = (right.groupBy(*cells).count().where(F.col("count") > hot)
-             .selectExpr(*cells, f"cast(ceil(count / {hot}) as int) as _parts"))
+    # copies per cell, counted before they are made. At most one row per `hot` copies: sent to all tasks, so that the copies are shuffled
+    # and sorted once, for the join itself
+    alone = b.groupBy(*keys, F.expr(f"cast(floor({bx} / {cell!r}) as long)").alias("_cx"), F.expr(f"cast(floor({by} / {cell!r}) as long)").alias("_cy")).count()
+    crowd = (alone.withColumn("_ox", near).withColumn("_oy", near)
+             .groupBy(*keys, F.expr("_cx + _ox").alias("_cx"), F.expr("_cy + _oy").alias("_cy")).agg(F.sum("count").alias("count"))
+             .where(F.col("count") > hot).selectExpr(*cells, f"cast(ceil(count / {hot}) as int) as _parts").hint("broadcast"))
     right = (right.join(crowd, cells, "left")
-             .withColumn("_part", F.expr(f"pmod(xxhash64({', '.join(b.columns)}), coalesce(_parts, 1))"))
+             .withColumn("_part", F.expr(f"case when _parts is null then 0L else pmod(xxhash64({', '.join(b.columns)}), _parts) end"))
              .drop("_parts"))
     left = (left.join(crowd, cells, "left")
             .withColumn("_part", F.explode(F.expr("sequence(0L, cast(coalesce(_parts, 1) - 1 as long))")))

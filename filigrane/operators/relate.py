@@ -87,7 +87,8 @@ def meeting(seg: DataFrame, keys, on: str, hot: int) -> DataFrame:
     """Pairs (a_, b_) of rows of one cell (keys). The rows of a cell with more than `hot` are dealt to parts by a hash on one
     side and copied to each part on the other."""
     crowd = seg.groupBy(*keys).count().where(f"count > {hot}").selectExpr(*keys, f"ceil(count / {hot}) as _parts")
-    s = seg.join(crowd, keys, "left").withColumn("_parts", F.expr("coalesce(_parts, 1L)"))
+    # at most a row per `hot` segments
+    s = seg.join(crowd.hint("broadcast"), keys, "left").withColumn("_parts", F.expr("coalesce(_parts, 1L)"))
     a = s.withColumn("_part", F.expr("pmod(xxhash64(vid, i), _parts)")).drop("_parts")
     b = s.withColumn("_part", F.explode(F.expr("sequence(0L, _parts - 1)"))).drop("_parts")
     both = [*keys, "_part"]
